@@ -323,3 +323,286 @@ SELECT label, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars FROM
 def q_class_rows(spark, sf):
     pos = nb.class_rows(labelled_documents(spark, sf), 1)
     return pos.groupBy("label").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+
+
+# ---------------------------------------------------------------- sequences
+
+from glossa.operators import sequence as seq  # noqa: E402
+
+ENC_SQL = f"""{SEQ_VOCAB_SQL},
+occ AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM stok),
+ids AS (SELECT o.doc_id, list(CAST(coalesce(v.token_id, 1) AS BIGINT) ORDER BY o.pos) AS tids
+        FROM occ o LEFT JOIN svocab v ON o.token = v.token GROUP BY o.doc_id),
+enc AS (SELECT s.doc_id, s.label,
+          list_concat(list_concat([CAST(2 AS BIGINT)], coalesce(ids.tids, CAST([] AS BIGINT[]))[1:398]),
+                      [CAST(3 AS BIGINT)]) AS input_ids
+        FROM stok s LEFT JOIN ids ON s.doc_id = ids.doc_id)"""
+
+
+def _encoded(spark, sf) -> DataFrame:
+    s, train = train_tokens(spark, sf)
+    sv = vocab.seq_vocabulary(train)
+    return seq.encode(s, sv, keep_cols=("label",))
+
+
+@register("seq_encoded", f"""
+WITH {ENC_SQL}
+SELECT doc_id, label, input_ids FROM enc
+""")
+def q_seq_encoded(spark, sf):
+    return _encoded(spark, sf)
+
+
+@register("seq_padded", f"""
+WITH {ENC_SQL}
+SELECT doc_id, list_resize(input_ids, (SELECT max(len(input_ids)) FROM enc), CAST(0 AS BIGINT)) AS input_ids FROM enc
+""")
+def q_seq_padded(spark, sf):
+    return seq.pad_to_longest(_encoded(spark, sf)).select("doc_id", "input_ids")
+
+
+@register("seq_lengths", f"""
+WITH {ENC_SQL}
+SELECT doc_id, CAST(len(list_filter(input_ids, lambda x: x <> 0)) AS INTEGER) AS length,
+       CAST((SELECT max(len(input_ids)) FROM enc) AS INTEGER) AS padded_length FROM enc
+""")
+def q_seq_lengths(spark, sf):
+    padded = seq.pad_to_longest(_encoded(spark, sf))
+    return padded.select("doc_id", seq.true_length("input_ids").alias("length"),
+                         F.size("input_ids").alias("padded_length"))
+
+
+@register("batches", f"""
+WITH {SPLIT_ONLY}
+SELECT doc_id, (row_number() OVER (ORDER BY md5('42|0|' || doc_id), doc_id) - 1) // 64 AS batch
+FROM split WHERE split = 'train'
+""")
+def q_batches(spark, sf):
+    train = q_stratified_split(spark, sf).filter(F.col("split") == "train")
+    hashed = train.withColumn("h", split.seeded_hash(SEED, F.lit(0), "doc_id"))
+    return seq.assign_batches(hashed, 64, ["h", "doc_id"]).select("doc_id", "batch")
+
+
+# ---------------------------------------------------------------- evaluation
+
+from glossa.operators import evaluate as ev  # noqa: E402
+
+MODELS = ["m1", "m2", "m3"]
+# Fixed values of the pseudo-prediction fixture: first md5 hex digit that flips the label.
+FLIP_DIGITS = {"m1": ["0", "1"], "m2": ["0", "1", "2"], "m3": ["0"]}
+
+
+def predictions(spark, sf, drop_m2_f: bool = False) -> DataFrame:
+    """Deterministic pseudo-predictions of three models over docs (model, doc_id, text, label, prediction)."""
+    d = labelled_documents(spark, sf)
+    p = d.select("doc_id", "text", "label", F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model"))
+    digest = F.md5(F.concat_ws("|", "model", F.col("doc_id").cast("string")))
+    first = F.substring(digest, 1, 1)
+    flip = None
+    for m, digits in FLIP_DIGITS.items():
+        cond = (F.col("model") == m) & first.isin(*digits)
+        flip = cond if flip is None else (flip | cond)
+    p = p.withColumn("prediction", F.when(flip, F.lit(1) - F.col("label")).otherwise(F.col("label")).cast("tinyint"))
+    if drop_m2_f:
+        p = p.filter(~((F.col("model") == "m2") & (F.substring(digest, 2, 1) == "f")))
+    return p.select("model", "doc_id", "text", "label", "prediction")
+
+
+def _flip_sql(drop_m2_f: bool = False) -> str:
+    h = "md5(m.model || '|' || d.doc_id)"
+    conds = " OR ".join(
+        f"(m.model = '{m}' AND substr({h}, 1, 1) IN ({', '.join(repr(x) for x in ds)}))" for m, ds in FLIP_DIGITS.items())
+    where = f"WHERE NOT (m.model = 'm2' AND substr({h}, 2, 1) = 'f')" if drop_m2_f else ""
+    return f"""preds AS (
+  SELECT m.model, d.doc_id, d.text, d.label,
+         CAST(CASE WHEN {conds} THEN 1 - d.label ELSE d.label END AS TINYINT) AS prediction
+  FROM docs d CROSS JOIN (VALUES ('m1'), ('m2'), ('m3')) m(model) {where})"""
+
+
+PREDS_SQL = f"{DOCS},\n{_flip_sql()}"
+LABELS_SQL = "[" + ", ".join(repr(x) for x in tx.LENGTH_LABELS) + "]"
+BUCKETS_SQL = f"""{PREDS_SQL},
+b AS (SELECT model, label, prediction, {S.bucket_sql(S.word_count_sql('text'))} AS bucket_id FROM preds),
+agg AS (SELECT model, bucket_id, count(*) AS samples,
+               avg(CAST(coalesce(label = prediction, false) AS INTEGER)) AS accuracy FROM b GROUP BY model, bucket_id),
+grid AS (SELECT model, bucket_id FROM (SELECT DISTINCT model FROM preds) CROSS JOIN range(5) r(bucket_id)),
+summary AS (SELECT g.model, CAST(g.bucket_id AS INTEGER) AS bucket_id, {LABELS_SQL}[g.bucket_id + 1] AS length_bucket,
+                   CAST(coalesce(a.samples, 0) AS BIGINT) AS samples, a.accuracy
+            FROM grid g LEFT JOIN agg a ON g.model = a.model AND g.bucket_id = a.bucket_id)"""
+
+
+@register("accuracy", f"""
+WITH {PREDS_SQL}
+SELECT model, count(*) AS samples, round(avg(CAST(coalesce(label = prediction, false) AS INTEGER)), 6) AS accuracy
+FROM preds GROUP BY model
+""")
+def q_accuracy(spark, sf):
+    return ev.accuracy(predictions(spark, sf)).withColumn("accuracy", r6("accuracy"))
+
+
+@register("confusion", f"""
+WITH {PREDS_SQL},
+c AS (SELECT model, CAST(label AS INTEGER) AS label, CAST(prediction AS INTEGER) AS prediction, count(*) AS n
+      FROM preds WHERE label IN (0, 1) AND prediction IN (0, 1) GROUP BY ALL),
+g AS (SELECT model, l.label, p.prediction FROM (SELECT DISTINCT model FROM preds)
+      CROSS JOIN (VALUES (0), (1)) l(label) CROSS JOIN (VALUES (0), (1)) p(prediction))
+SELECT g.model, CAST(g.label AS INTEGER) AS label, CAST(g.prediction AS INTEGER) AS prediction,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM g LEFT JOIN c ON g.model = c.model AND g.label = c.label AND g.prediction = c.prediction
+""")
+def q_confusion(spark, sf):
+    return ev.confusion(predictions(spark, sf))
+
+
+@register("accuracy_by_length", f"""
+WITH {BUCKETS_SQL}
+SELECT model, bucket_id, length_bucket, samples, round(accuracy, 6) AS accuracy FROM summary
+""")
+def q_accuracy_by_length(spark, sf):
+    return ev.accuracy_by_length(predictions(spark, sf)).withColumn("accuracy", r6("accuracy"))
+
+
+@register("accuracy_pivot", f"""
+WITH {BUCKETS_SQL}
+SELECT bucket_id, length_bucket,
+       round(max(accuracy) FILTER (WHERE model = 'm1'), 6) AS m1,
+       round(max(accuracy) FILTER (WHERE model = 'm2'), 6) AS m2,
+       round(max(accuracy) FILTER (WHERE model = 'm3'), 6) AS m3
+FROM summary GROUP BY bucket_id, length_bucket
+""")
+def q_accuracy_pivot(spark, sf):
+    pv = ev.accuracy_pivot(ev.accuracy_by_length(predictions(spark, sf)), MODELS)
+    return pv.select("bucket_id", "length_bucket", *[r6(m).alias(m) for m in MODELS])
+
+
+def _pairs_sql() -> str:
+    parts = []
+    for a, b in [(MODELS[i], MODELS[j]) for i in range(len(MODELS)) for j in range(i + 1, len(MODELS))]:
+        parts.append(f"""SELECT '{a}' AS model_left, '{b}' AS model_right,
+       count(*) FILTER (WHERE l.doc_id IS NULL) AS missing_left,
+       count(*) FILTER (WHERE r.doc_id IS NULL) AS missing_right,
+       count(*) FILTER (WHERE l.label <> r.label) AS label_mismatch,
+       count(*) FILTER (WHERE l.doc_id IS NULL OR r.doc_id IS NULL OR l.label <> r.label) = 0 AS same_examples
+FROM (SELECT doc_id, label FROM preds WHERE model = '{a}') l
+FULL OUTER JOIN (SELECT doc_id, label FROM preds WHERE model = '{b}') r ON l.doc_id = r.doc_id""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("same_examples", f"""
+WITH {DOCS},
+{_flip_sql(drop_m2_f=True)}
+{_pairs_sql()}
+""")
+def q_same_examples(spark, sf):
+    return ev.same_examples(predictions(spark, sf, drop_m2_f=True), MODELS)
+
+
+@register("align_check", f"""
+WITH {SPLIT_ONLY},
+{_flip_sql()},
+e AS (SELECT doc_id, label FROM split WHERE split = 'test'),
+o AS (SELECT doc_id, label FROM preds WHERE model = 'm1')
+SELECT count(*) FILTER (WHERE o.doc_id IS NULL) AS only_expected,
+       count(*) FILTER (WHERE e.doc_id IS NULL) AS only_observed,
+       count(*) FILTER (WHERE e.label <> o.label) AS label_mismatch,
+       count(*) FILTER (WHERE o.doc_id IS NULL OR e.doc_id IS NULL OR e.label <> o.label) = 0 AS aligned
+FROM e FULL OUTER JOIN o ON e.doc_id = o.doc_id
+""")
+def q_align_check(spark, sf):
+    test = q_stratified_split(spark, sf).filter(F.col("split") == "test")
+    observed = predictions(spark, sf).filter(F.col("model") == "m1")
+    return ev.align_check(test, observed)
+
+
+@register("model_comparison", f"""
+WITH {PREDS_SQL}
+SELECT model, count(*) AS samples,
+       round(avg(CAST(coalesce(label = prediction, false) AS INTEGER)), 6) AS accuracy,
+       printf('%.2f%%', 100 * avg(CAST(coalesce(label = prediction, false) AS INTEGER))) AS accuracy_label,
+       count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+       count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+       count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+       count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp
+FROM preds GROUP BY model
+""")
+def q_model_comparison(spark, sf):
+    return ev.model_comparison(predictions(spark, sf)).withColumn("accuracy", r6("accuracy"))
+
+
+# ---------------------------------------------------------------- history
+
+from glossa.operators import history as hist  # noqa: E402
+
+
+def scoring_log(spark, sf) -> DataFrame:
+    """events as a per-row scoring log: epoch = day of month, logit = (value-50)/25, label = event_id % 2."""
+    e = table(spark, sf, "events")
+    return e.select(F.dayofmonth("ts").alias("epoch"), F.col("event_id").alias("row_id"),
+                    ((F.col("value") - 50) / 25).alias("logit"), (F.col("event_id") % 2).cast("int").alias("label"))
+
+
+LOG_SQL = """log AS (SELECT CAST(dayofmonth(ts) AS INTEGER) AS epoch, event_id AS row_id, (value - 50) / 25 AS logit,
+                CAST(event_id % 2 AS INTEGER) AS label FROM events),
+s AS (SELECT *, greatest(logit, 0) - logit * label + ln(1 + exp(-abs(logit))) AS loss,
+             CAST(CAST(1 / (1 + exp(-logit)) >= 0.5 AS INTEGER) = label AS INTEGER) AS correct FROM log),
+val AS (SELECT epoch, count(*) AS samples, avg(loss) AS val_loss, avg(correct) AS val_accuracy FROM s GROUP BY epoch),
+bt AS (SELECT epoch, avg(loss) AS bl FROM (SELECT epoch, loss,
+          (row_number() OVER (PARTITION BY epoch ORDER BY row_id) - 1) // 64 AS batch FROM s) GROUP BY epoch, batch),
+tr AS (SELECT epoch, avg(bl) AS train_loss, count(*) AS batches FROM bt GROUP BY epoch),
+h AS (SELECT tr.epoch, train_loss, val_loss, val_accuracy FROM tr JOIN val ON tr.epoch = val.epoch)"""
+
+
+@register("weighted_loss", f"""
+WITH {LOG_SQL}
+SELECT epoch, samples, round(val_loss, 6) AS val_loss, round(val_accuracy, 6) AS val_accuracy FROM val
+""")
+def q_weighted_loss(spark, sf):
+    w = hist.weighted_loss(scoring_log(spark, sf))
+    return w.select("epoch", "samples", r6("val_loss").alias("val_loss"), r6("val_accuracy").alias("val_accuracy"))
+
+
+@register("batch_mean_loss", f"""
+WITH {LOG_SQL}
+SELECT epoch, round(train_loss, 6) AS train_loss, batches FROM tr
+""")
+def q_batch_mean_loss(spark, sf):
+    b = hist.batch_mean_loss(scoring_log(spark, sf))
+    return b.select("epoch", r6("train_loss").alias("train_loss"), "batches")
+
+
+def _history(spark, sf) -> DataFrame:
+    return hist.check_history(hist.history_from_log(scoring_log(spark, sf)))
+
+
+@register("improved_epochs", f"""
+WITH {LOG_SQL}
+SELECT epoch, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss, round(val_accuracy, 6) AS val_accuracy,
+       coalesce(val_loss < min(val_loss) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)
+         AS improved
+FROM h
+""")
+def q_improved_epochs(spark, sf):
+    h = hist.improved_epochs(_history(spark, sf))
+    return h.select("epoch", *[r6(c).alias(c) for c in ("train_loss", "val_loss", "val_accuracy")], "improved")
+
+
+@register("best_epoch", f"""
+WITH {LOG_SQL}
+SELECT first(epoch ORDER BY val_loss, epoch) AS best_epoch, round(min(val_loss), 6) AS best_val_loss,
+       first(epoch ORDER BY val_accuracy DESC, epoch) AS best_accuracy_epoch,
+       round(max(val_accuracy), 6) AS best_val_accuracy
+FROM h
+""")
+def q_best_epoch(spark, sf):
+    b = hist.best_epoch(_history(spark, sf))
+    return b.select("best_epoch", r6("best_val_loss").alias("best_val_loss"), "best_accuracy_epoch",
+                    r6("best_val_accuracy").alias("best_val_accuracy"))
+
+
+@register("history_long", f"""
+WITH {LOG_SQL}
+SELECT epoch, metric, round(value, 6) AS value
+FROM (UNPIVOT h ON train_loss, val_loss, val_accuracy INTO NAME metric VALUE value)
+""")
+def q_history_long(spark, sf):
+    return hist.history_long(_history(spark, sf)).withColumn("value", r6("value"))
