@@ -113,6 +113,22 @@ def feature_set(tokens) -> Column:
     return F.array_distinct(F.concat(t, bigrams(t)))
 
 
+def explode_items(df, array_col, alias: str, *keep, with_pos: str | None = None):
+    """One row per array element, nothing for empty or null arrays.
+
+    ``explode_outer`` plus a null filter instead of ``explode``: for a plain
+    explode Catalyst infers ``size(array) > 0`` and pushes that predicate,
+    with the whole tokeniser expression inlined, below joins and exchanges,
+    where it runs the regex chain again for every row.
+    """
+    arr = F.col(array_col) if isinstance(array_col, str) else array_col
+    if with_pos:
+        out = df.select(*keep, F.posexplode_outer(arr).alias(with_pos, alias))
+    else:
+        out = df.select(*keep, F.explode_outer(arr).alias(alias))
+    return out.filter(F.col(alias).isNotNull())
+
+
 def word_count(text) -> Column:
     """White-space separated words; null text counts as 0."""
     parts = F.split(F.coalesce(_col(text), F.lit("")), WHITESPACE_PATTERN)

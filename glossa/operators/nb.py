@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.functions.text import explode_items
+
 
 def check_alpha(alpha: float) -> None:
     if alpha <= 0:
@@ -35,7 +37,7 @@ def check_training_labels(df: DataFrame, label_col: str = "label") -> None:
 
 def doc_features(docs: DataFrame, features_col: str = "features", feature_col: str = "feature") -> DataFrame:
     """(doc_id, label, features[]) -> one row per present feature (already distinct per doc)."""
-    return docs.select("doc_id", "label", F.explode(features_col).alias(feature_col))
+    return explode_items(docs, features_col, feature_col, "doc_id", "label")
 
 
 def class_doc_freq(feature_rows: DataFrame, feature_col: str = "feature", label_col: str = "label") -> DataFrame:

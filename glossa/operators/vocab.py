@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossa.functions.text import feature_set
+from glossa.functions.text import explode_items, feature_set
 from glossa.plans.ranking import dense_index
 
 # The reserved sequence tokens and their ids.
@@ -22,12 +22,12 @@ PAD_ID, UNK_ID, BOS_ID, EOS_ID = 0, 1, 2, 3
 
 def distinct_tokens(tokenized: DataFrame, tokens_col: str = "tokens", token_col: str = "token") -> DataFrame:
     """Distinct unigrams of a tokenised table."""
-    return tokenized.select(F.explode(F.array_distinct(tokens_col)).alias(token_col)).distinct()
+    return explode_items(tokenized, F.array_distinct(tokens_col), token_col).distinct()
 
 
 def distinct_features(tokenized: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """D1+D2: distinct unigrams and bigrams (bigram = 'w1 w2'), with their kind."""
-    feats = tokenized.select(F.explode(feature_set(tokens_col)).alias("feature")).distinct()
+    feats = explode_items(tokenized, feature_set(tokens_col), "feature").distinct()
     return feats.withColumn("kind", F.when(F.col("feature").contains(" "), F.lit("bigram")).otherwise(F.lit("unigram")))
 
 
@@ -77,7 +77,7 @@ def feature_ids(featured: DataFrame, nb_vocab: DataFrame, features_col: str = "f
     Documents without any known feature keep an empty array (left join back
     to the document list), exactly like an empty CSR row.
     """
-    exploded = featured.select(*key, F.explode(features_col).alias("feature"))
+    exploded = explode_items(featured, features_col, "feature", *key)
     known = exploded.join(nb_vocab.select("feature", "feature_id"), "feature")
     per_doc = known.groupBy(*key).agg(F.sort_array(F.collect_list("feature_id")).alias("feature_ids"))
     base = featured.select(*key, *keep_cols)
@@ -88,7 +88,7 @@ def feature_ids(featured: DataFrame, nb_vocab: DataFrame, features_col: str = "f
 def feature_id_rows(featured: DataFrame, nb_vocab: DataFrame, features_col: str = "features",
                     keep_cols: tuple[str, ...] = ()) -> DataFrame:
     """C1 long form: ``(doc_id, feature_id)`` presence rows (the sparse matrix)."""
-    exploded = featured.select("doc_id", *keep_cols, F.explode(features_col).alias("feature"))
+    exploded = explode_items(featured, features_col, "feature", "doc_id", *keep_cols)
     return exploded.join(nb_vocab.select("feature", "feature_id"), "feature").drop("feature")
 
 
@@ -100,7 +100,7 @@ def token_ids(tokenized: DataFrame, seq_vocab: DataFrame, tokens_col: str = "tok
     vocabulary (AQE splits the partitions of very frequent tokens) and
     re-assembled per document by position.  Empty documents keep [].
     """
-    occ = tokenized.select(*key, F.posexplode(tokens_col).alias("pos", "token"))
+    occ = explode_items(tokenized, tokens_col, "token", *key, with_pos="pos")
     looked = occ.join(seq_vocab.select("token", "token_id"), "token", "left")
     per_doc = looked.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))).alias("_p"))
@@ -118,7 +118,7 @@ def reverse_lookup(ids: DataFrame, vocab: DataFrame, id_col: str = "token_id", t
 def decode_ids(encoded: DataFrame, seq_vocab: DataFrame, ids_col: str = "token_ids",
                key: tuple[str, ...] = ("doc_id",), out_col: str = "decoded") -> DataFrame:
     """C3 on sequences: id arrays back to token arrays (itos), order kept."""
-    occ = encoded.select(*key, F.posexplode(ids_col).alias("pos", "token_id"))
+    occ = explode_items(encoded, ids_col, "token_id", *key, with_pos="pos")
     named = reverse_lookup(occ, seq_vocab)
     per_doc = named.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("_p"))
     per_doc = per_doc.select(*key, F.col("_p.token").alias(out_col))
@@ -128,7 +128,7 @@ def decode_ids(encoded: DataFrame, seq_vocab: DataFrame, ids_col: str = "token_i
 
 def oov_tokens(tokenized: DataFrame, seq_vocab: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """C4: occurrences whose token is not in the vocabulary (left anti join)."""
-    occ = tokenized.select("*", F.explode(tokens_col).alias("token"))
+    occ = explode_items(tokenized, tokens_col, "token", *tokenized.columns)
     return occ.join(seq_vocab.select("token"), "token", "left_anti")
 
 
@@ -138,7 +138,7 @@ def oov_rate(tokenized: DataFrame, seq_vocab: DataFrame, tokens_col: str = "toke
     Counting by distinct token first keeps the join small: each distinct
     token is looked up once, weighted by its frequency.
     """
-    freq = tokenized.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    freq = explode_items(tokenized, tokens_col, "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     marked = freq.join(seq_vocab.select("token", F.lit(1).alias("_known")), "token", "left")
     return marked.agg(
         F.sum("n").alias("tokens"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from glossa.functions import text as tx
 from glossa.operators import nb, split, vocab
 from glossa.plans import sqltext as S
-from glossa.sources.tables import labelled_documents, table
+from glossa.sources.tables import labelled_documents, spread, table, text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,7 +74,7 @@ stok AS (SELECT doc_id, label, split, {TOK('text')} AS t FROM split)"""
 SELECT page_id, {TOK('html')} AS tokens FROM pages
 """)
 def q_html_tokens(spark, sf):
-    return table(spark, sf, "pages").select("page_id", tx.tokenize("html").alias("tokens"))
+    return text_table(spark, sf, "pages", "page_id", "html").select("page_id", tx.tokenize("html").alias("tokens"))
 
 
 @register("doc_tokens", f"""
@@ -82,7 +82,7 @@ SELECT doc_id, t AS tokens, CAST(len(t) AS INTEGER) AS n_tokens
 FROM (SELECT doc_id, {TOK('text')} AS t FROM documents)
 """)
 def q_doc_tokens(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", tx.tokenize("text").alias("tokens"))
+    t = text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", tx.tokenize("text").alias("tokens"))
     return t.select("doc_id", "tokens", F.size("tokens").alias("n_tokens"))
 
 
@@ -91,7 +91,7 @@ SELECT doc_id, {S.bigrams_sql('t')} AS bigrams
 FROM (SELECT doc_id, {TOK('text')} AS t FROM documents)
 """)
 def q_doc_bigrams(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", tx.tokenize("text").alias("tokens"))
+    t = text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", tx.tokenize("text").alias("tokens"))
     return t.select("doc_id", tx.bigrams("tokens").alias("bigrams"))
 
 
@@ -100,7 +100,7 @@ SELECT doc_id, list_sort(list_distinct(list_concat(t, {S.bigrams_sql('t')}))) AS
 FROM (SELECT doc_id, {TOK('text')} AS t FROM documents)
 """)
 def q_doc_features(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", tx.tokenize("text").alias("tokens"))
+    t = text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", tx.tokenize("text").alias("tokens"))
     return t.select("doc_id", F.array_sort(tx.feature_set("tokens")).alias("features"))
 
 
@@ -234,7 +234,8 @@ FROM ct LEFT JOIN ids ON ct.conv_id = ids.conv_id AND ct.turn = ids.turn
 def q_token_ids(spark, sf):
     _, train = train_tokens(spark, sf)
     sv = vocab.seq_vocabulary(train)
-    conv = table(spark, sf, "conversations").select("conv_id", "turn", tx.tokenize("text").alias("tokens"))
+    conv = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select(
+        "conv_id", "turn", tx.tokenize("text").alias("tokens"))
     return vocab.token_ids(conv, sv, key=("conv_id", "turn"))
 
 
@@ -251,7 +252,8 @@ FROM ct LEFT JOIN dec ON ct.conv_id = dec.conv_id AND ct.turn = dec.turn
 def q_reverse_lookup(spark, sf):
     _, train = train_tokens(spark, sf)
     sv = vocab.seq_vocabulary(train)
-    conv = table(spark, sf, "conversations").select("conv_id", "turn", tx.tokenize("text").alias("tokens"))
+    conv = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select(
+        "conv_id", "turn", tx.tokenize("text").alias("tokens"))
     ids = vocab.token_ids(conv, sv, key=("conv_id", "turn"))
     return vocab.decode_ids(ids, sv, key=("conv_id", "turn"))
 
@@ -267,7 +269,8 @@ FROM occ
 def q_oov_rate(spark, sf):
     _, train = train_tokens(spark, sf)
     sv = vocab.seq_vocabulary(train)
-    conv = table(spark, sf, "conversations").select("conv_id", "turn", tx.tokenize("text").alias("tokens"))
+    conv = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select(
+        "conv_id", "turn", tx.tokenize("text").alias("tokens"))
     out = vocab.oov_rate(conv, sv)
     return out.select("tokens", "oov_tokens", r6("oov_rate").alias("oov_rate"))
 

@@ -40,8 +40,13 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], index_col: str = "
     restarts at ``start`` in every group (rank within class or epoch); the
     group keys lead the sort, so a hot group is still spread over many
     ranges.  ``group_size_col`` optionally adds the group's row count.
+
+    One small "block" table, one row per (range, group) pair present (at most
+    ranges + groups rows), carries every offset: it is built by one
+    aggregation over the checkpoint and joined back once.
     """
-    keys = [F.col(c) if isinstance(c, str) else c for c in (list(partition_by or []) + list(order))]
+    groups = list(partition_by or [])
+    keys = [F.col(c) for c in groups] + [F.col(c) if isinstance(c, str) else c for c in order]
     n = _ranges(df, partitions)
     ranged = (
         df.repartitionByRange(n, *keys)
@@ -50,19 +55,29 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], index_col: str = "
     )
     ranged = cut_lineage(ranged)
     ranged = ranged.withColumn("_gl_range", F.shiftright("_gl_mid", _ROW_BITS))
-    counts = ranged.groupBy("_gl_range").agg(F.count(F.lit(1)).alias("_gl_n"))
-    before = Window.orderBy("_gl_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_gl_range", F.coalesce(F.sum("_gl_n").over(before), F.lit(0)).alias("_gl_off"))
+    gcols = [F.col(c).alias(f"_gl_g{i}") for i, c in enumerate(groups)]
+    gnames = [f"_gl_g{i}" for i in range(len(groups))]
+    blocks = ranged.groupBy("_gl_range", *gcols).agg(F.count(F.lit(1)).alias("_gl_n"))
+    before = Window.orderBy("_gl_range", *gnames).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_gl_bstart", F.coalesce(F.sum("_gl_n").over(before), F.lit(0)))
+    blocks = blocks.withColumn("_gl_off", F.min("_gl_bstart").over(Window.partitionBy("_gl_range")))
+    if groups:
+        per_group = Window.partitionBy(*gnames)
+        blocks = blocks.withColumn("_gl_first", F.min("_gl_bstart").over(per_group)).withColumn(
+            "_gl_size", F.sum("_gl_n").over(per_group))
+    else:
+        blocks = blocks.withColumn("_gl_first", F.lit(0).cast("long"))
+        # one row per range: bounded by the number of ranges, safe to broadcast
+        blocks = F.broadcast(blocks)
+    blocks = blocks.drop("_gl_n", "_gl_bstart")
+    cond = [ranged["_gl_range"] == blocks["_gl_range"]] + [
+        ranged[c].eqNullSafe(blocks[g]) for c, g in zip(groups, gnames)]
+    out = ranged.join(blocks, cond).drop(blocks["_gl_range"])
     local = F.col("_gl_mid") - F.shiftleft(F.col("_gl_range"), _ROW_BITS)
-    out = ranged.join(F.broadcast(offsets), "_gl_range").withColumn("_gl_pos", F.col("_gl_off") + local)
-    if partition_by:
-        groups = out.groupBy(*partition_by).agg(
-            F.min("_gl_pos").alias("_gl_first"), F.count(F.lit(1)).alias("_gl_size"))
-        out = out.join(groups, list(partition_by)).withColumn("_gl_pos", F.col("_gl_pos") - F.col("_gl_first"))
-        if group_size_col:
-            out = out.withColumn(group_size_col, F.col("_gl_size"))
-    elif group_size_col:
-        raise ValueError("group_size_col needs partition_by")
-    out = out.withColumn(index_col, F.col("_gl_pos") + F.lit(start))
+    out = out.withColumn(index_col, F.col("_gl_off") + local - F.col("_gl_first") + F.lit(start))
+    if group_size_col:
+        if not groups:
+            raise ValueError("group_size_col needs partition_by")
+        out = out.withColumn(group_size_col, F.col("_gl_size"))
     keep = {index_col, group_size_col}
     return out.drop(*[c for c in out.columns if c.startswith("_gl_") and c not in keep])

@@ -26,6 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-heavy per-row work (regex tokenising) every core.
+
+    A scan split into fewer partitions than the cluster has cores (a small
+    file with one row group) is hash-partitioned on ``keys`` to the default
+    parallelism; a large input, already split into thousands of tasks, is
+    returned unchanged, so no shuffle is added at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str, *cols: str) -> DataFrame:
+    """Scan of a text table (only ``key`` and ``cols``) spread for tokenising."""
+    return spread(table(spark, sf_dir, name).select(key, *cols), key)
+
+
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``docs``: documents with a label (``label = quality``), (doc_id, text, label TINYINT).
 
@@ -33,7 +52,7 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     broadcast when the label table is small by file statistics, otherwise a
     shuffle join (Spark decides from the measured size).
     """
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = text_table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("tinyint").alias("label"))
     return documents.join(labels, "doc_id")
 
