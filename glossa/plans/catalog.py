@@ -609,3 +609,400 @@ FROM (UNPIVOT h ON train_loss, val_loss, val_accuracy INTO NAME metric VALUE val
 """)
 def q_history_long(spark, sf):
     return hist.history_long(_history(spark, sf)).withColumn("value", r6("value"))
+
+
+# ---------------------------------------------------------------- NB-SVM scoring
+
+from glossa.functions import scores as sc  # noqa: E402
+from glossa.operators import score as scoring  # noqa: E402
+
+ALPHAS = [0.1, 0.2, 0.3, 0.4]
+CS = [0.05, 0.1, 0.15, 0.2]
+
+
+def nb_model(spark, sf):
+    """(split tokens, vocabulary, model table (feature_id, feature, ratio, w=1)) from the train part."""
+    s, train = train_tokens(spark, sf)
+    v = vocab.nb_vocabulary(train)
+    featured = train.select("doc_id", "label", tx.feature_set("tokens").alias("features"))
+    ratio = nb.log_count_ratio(nb.class_doc_freq(nb.doc_features(featured)), ALPHA)
+    model = v.join(ratio.select("feature", "ratio"), "feature").select(
+        "feature_id", "feature", "ratio", F.lit(1.0).alias("w"))
+    return s, v, model
+
+
+def presence(part: DataFrame, v: DataFrame) -> DataFrame:
+    featured = part.select("doc_id", tx.feature_set("tokens").alias("features"))
+    return vocab.feature_id_rows(featured, v)
+
+
+MODEL_SQL = f"""{NB_VOCAB_SQL},
+occ AS (SELECT DISTINCT doc_id, split, label, unnest(list_concat(t, {S.bigrams_sql('t')})) AS feature FROM stok),
+cnt AS (SELECT feature, sum(label) AS n_pos, sum(1 - label) AS n_neg FROM occ WHERE split = 'train' GROUP BY feature),
+tot AS (SELECT sum(n_pos) + {ALPHA} * count(*) AS pt, sum(n_neg) + {ALPHA} * count(*) AS nt FROM cnt),
+model AS (SELECT v.feature_id, v.feature, ln(((c.n_pos + {ALPHA}) / pt) / ((c.n_neg + {ALPHA}) / nt)) AS ratio
+          FROM vocab v JOIN cnt c ON v.feature = c.feature, tot),
+scores AS (SELECT s.doc_id, s.label, s.split, coalesce(x.sm, 0.0) + 0.0 AS score
+           FROM stok s LEFT JOIN (SELECT o.doc_id, sum(m.ratio) AS sm FROM occ o JOIN model m ON o.feature = m.feature
+                                  GROUP BY o.doc_id) x ON s.doc_id = x.doc_id)"""
+
+
+@register("linear_score", f"""
+WITH {MODEL_SQL}
+SELECT doc_id, round(score, 6) AS score FROM scores WHERE split = 'test'
+""")
+def q_linear_score(spark, sf):
+    s, v, model = nb_model(spark, sf)
+    test = s.filter(F.col("split") == "test")
+    out = scoring.linear_scores(presence(test, v), test.select("doc_id"), model, 0.0)
+    return out.select("doc_id", r6("score").alias("score"))
+
+
+@register("nbsvm_predict", f"""
+WITH {MODEL_SQL}
+SELECT doc_id, label, CAST(score > 0 AS TINYINT) AS prediction,
+       CAST(coalesce(label = CAST(score > 0 AS TINYINT), false) AS INTEGER) AS correct
+FROM scores WHERE split = 'test'
+""")
+def q_nbsvm_predict(spark, sf):
+    s, v, model = nb_model(spark, sf)
+    test = s.filter(F.col("split") == "test")
+    out = scoring.nbsvm_predict(presence(test, v), test.select("doc_id", "label"), model, 0.0)
+    return out.select("doc_id", "label", "prediction", "correct")
+
+
+@register("weighted_features", f"""
+WITH {MODEL_SQL}
+SELECT o.doc_id, m.feature_id, round(m.ratio, 6) AS value
+FROM occ o JOIN model m ON o.feature = m.feature WHERE o.split = 'test'
+""")
+def q_weighted_features(spark, sf):
+    s, v, model = nb_model(spark, sf)
+    test = s.filter(F.col("split") == "test")
+    w = nb.weight_features(presence(test, v), model)
+    return w.select("doc_id", "feature_id", r6("value").alias("value"))
+
+
+@register("feature_space_check", f"""
+WITH {MODEL_SQL},
+pr AS (SELECT o.doc_id, o.split, v.feature_id FROM occ o JOIN vocab v ON o.feature = v.feature)
+SELECT split, count(*) AS nnz, count(*) FILTER (WHERE feature_id NOT IN (SELECT feature_id FROM model)) AS violations
+FROM pr GROUP BY split
+""")
+def q_feature_space_check(spark, sf):
+    s, v, model = nb_model(spark, sf)
+    featured = s.select("doc_id", "split", tx.feature_set("tokens").alias("features"))
+    rows = vocab.feature_id_rows(featured, v, keep_cols=("split",))
+    bad = rows.join(model.select("feature_id", F.lit(1).alias("_k")), "feature_id", "left")
+    return bad.groupBy("split").agg(F.count(F.lit(1)).alias("nnz"), F.count_if(F.col("_k").isNull()).alias("violations"))
+
+
+@register("matrix_stats", f"""
+WITH {MODEL_SQL},
+pr AS (SELECT o.doc_id, o.split, v.feature_id FROM occ o JOIN vocab v ON o.feature = v.feature)
+SELECT s.split, count(DISTINCT s.doc_id) AS rows, (SELECT count(*) FROM vocab) AS columns,
+       (SELECT count(*) FROM pr WHERE pr.split = s.split) AS nnz
+FROM stok s GROUP BY s.split
+""")
+def q_matrix_stats(spark, sf):
+    s, v, _ = nb_model(spark, sf)
+    featured = s.select("doc_id", "split", tx.feature_set("tokens").alias("features"))
+    rows = vocab.feature_id_rows(featured, v, keep_cols=("split",))
+    nnz = rows.groupBy("split").agg(F.count(F.lit(1)).alias("nnz"))
+    docs = s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    width = v.agg(F.count(F.lit(1)).alias("columns"))
+    return docs.join(nnz, "split", "left").crossJoin(F.broadcast(width)).select(
+        "split", "rows", "columns", F.coalesce("nnz", F.lit(0)).alias("nnz"))
+
+
+def _grid_cells():
+    return [(ci * len(ALPHAS) + ai, c, a, ai) for ci, c in enumerate(CS) for ai, a in enumerate(ALPHAS)]
+
+
+def grid_accuracy(spark, sf) -> DataFrame:
+    """Accuracy on the validation part of every (C, alpha) cell with unit SVM weights scaled by C.
+
+    Counts are computed once; the four ratio columns are projections of the
+    same count table, and all sixteen cells are conditional averages of one
+    pass over the validation scores.
+    """
+    s, train = train_tokens(spark, sf)
+    featured = train.select("doc_id", "label", tx.feature_set("tokens").alias("features"))
+    ratios = nb.ratios_for_alphas(nb.class_doc_freq(nb.doc_features(featured)), ALPHAS)
+    val = s.filter(F.col("split") == "validation")
+    occ = nb.doc_features(val.select("doc_id", "label", tx.feature_set("tokens").alias("features")))
+    sums = occ.join(ratios, "feature").groupBy("doc_id").agg(
+        *[F.sum(f"ratio_{i}").alias(f"s_{i}") for i in range(len(ALPHAS))])
+    scored = val.select("doc_id", "label").join(sums, "doc_id", "left")
+    cells = []
+    for cell_no, c, a, ai in _grid_cells():
+        pred = sc.svm_label(F.lit(c) * F.coalesce(F.col(f"s_{ai}"), F.lit(0.0)))
+        cells.append(F.struct(F.lit(cell_no).alias("cell_no"), F.lit(c).alias("C"), F.lit(a).alias("alpha"),
+                              F.avg(tx.correct_flag("label", pred).cast("double")).alias("accuracy")))
+    return scored.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
+
+
+GRID_SQL = f"""{MODEL_SQL},
+alphas AS (SELECT * FROM (VALUES {', '.join(f'({i}, CAST({a} AS DOUBLE))' for i, a in enumerate(ALPHAS))}) a(ai, alpha)),
+cs AS (SELECT * FROM (VALUES {', '.join(f'({i}, CAST({c} AS DOUBLE))' for i, c in enumerate(CS))}) c(ci, C)),
+gt AS (SELECT a.ai, a.alpha, sum(n_pos) + a.alpha * count(*) AS pt, sum(n_neg) + a.alpha * count(*) AS nt
+       FROM cnt CROSS JOIN alphas a GROUP BY a.ai, a.alpha),
+gr AS (SELECT cnt.feature, gt.ai, ln(((n_pos + gt.alpha) / pt) / ((n_neg + gt.alpha) / nt)) AS r FROM cnt CROSS JOIN gt),
+vs AS (SELECT o.doc_id, gr.ai, sum(gr.r) AS sm FROM occ o JOIN gr ON o.feature = gr.feature
+       WHERE o.split = 'validation' GROUP BY o.doc_id, gr.ai),
+vd AS (SELECT d.doc_id, d.label, a.ai, coalesce(vs.sm, 0.0) AS sm FROM stok d CROSS JOIN alphas a
+       LEFT JOIN vs ON vs.doc_id = d.doc_id AND vs.ai = a.ai WHERE d.split = 'validation'),
+grid AS (SELECT CAST(c.ci * {len(ALPHAS)} + a.ai AS INTEGER) AS cell_no, c.C, a.alpha,
+                avg(CAST(coalesce(label = CAST(c.C * sm > 0 AS TINYINT), false) AS INTEGER)) AS accuracy
+         FROM vd JOIN alphas a ON vd.ai = a.ai CROSS JOIN cs c GROUP BY c.ci, a.ai, c.C, a.alpha)"""
+
+
+@register("grid_accuracy", f"""
+WITH {GRID_SQL}
+SELECT cell_no, C, alpha, round(accuracy, 6) AS accuracy FROM grid
+""")
+def q_grid_accuracy(spark, sf):
+    return grid_accuracy(spark, sf).withColumn("accuracy", r6("accuracy"))
+
+
+@register("grid_best", f"""
+WITH {GRID_SQL}
+SELECT first(cell_no ORDER BY accuracy DESC, cell_no) AS best_cell,
+       first(C ORDER BY accuracy DESC, cell_no) AS best_C,
+       first(alpha ORDER BY accuracy DESC, cell_no) AS best_alpha,
+       round(max(accuracy), 6) AS best_accuracy
+FROM grid
+""")
+def q_grid_best(spark, sf):
+    g = grid_accuracy(spark, sf)
+    key = F.struct(F.col("accuracy"), -F.col("cell_no"))
+    return g.agg(F.max_by("cell_no", key).alias("best_cell"), F.max_by("C", key).alias("best_C"),
+                 F.max_by("alpha", key).alias("best_alpha"), r6(F.max("accuracy")).alias("best_accuracy"))
+
+
+def _sigmoid_model():
+    import numpy as np
+
+    def model(pdf):
+        return 1.0 / (1.0 + np.exp(-pdf["score"].to_numpy(dtype=float)))
+    return model
+
+
+@register("batch_score", f"""
+WITH {MODEL_SQL}
+SELECT doc_id, label, round(1 / (1 + exp(-score)), 6) AS probability_positive,
+       CAST(1 / (1 + exp(-score)) >= 0.5 AS TINYINT) AS prediction,
+       CAST(coalesce(label = CAST(1 / (1 + exp(-score)) >= 0.5 AS TINYINT), false) AS INTEGER) AS correct,
+       'linear' AS model
+FROM scores WHERE split = 'test'
+""")
+def q_batch_score(spark, sf):
+    s, v, model = nb_model(spark, sf)
+    test = s.filter(F.col("split") == "test")
+    scored = scoring.linear_scores(presence(test, v), test.select("doc_id", "label"), model, 0.0)
+    probs = scoring.batch_score(scored, _sigmoid_model, ["score"], keep_cols=("doc_id", "label"))
+    out = scoring.evaluate_scored(probs, model_name="linear")
+    return out.select("doc_id", "label", r6("probability_positive").alias("probability_positive"), "prediction",
+                      "correct", "model")
+
+
+@register("single_text", f"""
+WITH {MODEL_SQL},
+ct AS ({CONV_TOK}),
+co AS (SELECT DISTINCT conv_id, turn, unnest(list_concat(t, {S.bigrams_sql('t')})) AS feature FROM ct),
+cs AS (SELECT co.conv_id, co.turn, sum(m.ratio) AS sm FROM co JOIN model m ON co.feature = m.feature GROUP BY ALL)
+SELECT ct.conv_id, ct.turn, round(coalesce(cs.sm, 0.0), 6) AS score, CAST(coalesce(cs.sm, 0.0) > 0 AS TINYINT) AS prediction
+FROM ct LEFT JOIN cs ON ct.conv_id = cs.conv_id AND ct.turn = cs.turn
+""")
+def q_single_text(spark, sf):
+    _, v, model = nb_model(spark, sf)
+    conv = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    return score_texts(conv, v, model)
+
+
+def score_texts(texts: DataFrame, v: DataFrame, model: DataFrame) -> DataFrame:
+    """H7 as a stateless column pipeline (works unchanged on a stream): (conv_id, turn, score, prediction)."""
+    feats = texts.select("conv_id", "turn", tx.feature_set(tx.tokenize("text")).alias("features"))
+    occ = tx.explode_items(feats, "features", "feature", "conv_id", "turn")
+    u = model.select("feature", "ratio")
+    sums = occ.join(u, "feature").groupBy("conv_id", "turn").agg(F.sum("ratio").alias("_s"))
+    out = texts.select("conv_id", "turn").join(sums, ["conv_id", "turn"], "left")
+    score = F.coalesce(F.col("_s"), F.lit(0.0))
+    return out.select("conv_id", "turn", r6(score).alias("score"), sc.svm_label(score).alias("prediction"))
+
+
+# ---------------------------------------------------------------- score functions
+
+@register("sigmoid_threshold", """
+SELECT event_id, round(1 / (1 + exp(-((value - 50) / 25))), 6) AS probability,
+       CAST(1 / (1 + exp(-((value - 50) / 25))) >= 0.5 AS TINYINT) AS prediction
+FROM events
+""")
+def q_sigmoid_threshold(spark, sf):
+    z = (F.col("value") - 50) / 25
+    return table(spark, sf, "events").select("event_id", r6(sc.sigmoid(z)).alias("probability"),
+                                             sc.sigmoid_label(z).alias("prediction"))
+
+
+@register("bce_rows", """
+SELECT event_id, round(greatest((value - 50) / 25, 0) - (value - 50) / 25 * (event_id % 2)
+                       + ln(1 + exp(-abs((value - 50) / 25))), 6) AS loss
+FROM events
+""")
+def q_bce_rows(spark, sf):
+    z = (F.col("value") - 50) / 25
+    return table(spark, sf, "events").select("event_id", r6(sc.bce_with_logits(z, F.col("event_id") % 2)).alias("loss"))
+
+
+@register("softmax_binary", """
+WITH p AS (
+  SELECT vec_id,
+         list_transform(embedding[1:3], lambda x: exp(x - list_max(embedding[1:3]))) AS e3,
+         list_transform(embedding[1:2], lambda x: exp(x - list_max(embedding[1:2]))) AS e2
+  FROM embeddings)
+SELECT vec_id,
+       round((e3[3] / list_sum(e3)) / (e3[1] / list_sum(e3) + e3[3] / list_sum(e3) + 1e-9), 6) AS p_pos3,
+       round(e2[2] / list_sum(e2), 6) AS p_pos2,
+       CAST((e3[3] / list_sum(e3)) / (e3[1] / list_sum(e3) + e3[3] / list_sum(e3) + 1e-9) >= 0.5 AS TINYINT) AS pred3,
+       CAST(e2[2] / list_sum(e2) >= 0.5 AS TINYINT) AS pred2
+FROM p
+""")
+def q_softmax_binary(spark, sf):
+    e = table(spark, sf, "embeddings")
+    lg = F.transform("embedding", lambda x: x.cast("double"))
+    p3 = sc.positive_probability(sc.softmax(F.slice(lg, 1, 3)))
+    p2 = sc.positive_probability(sc.softmax(F.slice(lg, 1, 2)))
+    return e.select("vec_id", r6(p3).alias("p_pos3"), r6(p2).alias("p_pos2"),
+                    sc.probability_label(p3).alias("pred3"), sc.probability_label(p2).alias("pred2"))
+
+
+@register("head_truncate", f"""
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, t[1:128] AS head, len(t) > 128 AS truncated
+FROM (SELECT doc_id, {TOK('text')} AS t FROM documents)
+""")
+def q_head_truncate(spark, sf):
+    t = text_table(spark, sf, "documents", "doc_id", "text").select("doc_id", tx.tokenize("text").alias("tokens"))
+    return t.select("doc_id", F.size("tokens").alias("n_tokens"), tx.head_truncate("tokens", 128).alias("head"),
+                    (F.size("tokens") > 128).alias("truncated"))
+
+
+# ---------------------------------------------------------------- vectors
+
+from glossa.operators import vectors as vec  # noqa: E402
+
+EMBED_DIM = 64
+
+
+def pretrained_vectors(spark, sf, sv: DataFrame) -> DataFrame:
+    """The embeddings table as pretrained vectors: vec_id v belongs to the token with sequence id v + 4."""
+    e = table(spark, sf, "embeddings").select((F.col("vec_id") + 4).alias("token_id"), F.col("embedding").alias("vec"))
+    return e.join(sv, "token_id").select("token", "vec")
+
+
+VEC_SQL = f"""{SEQ_VOCAB_SQL},
+pre AS (SELECT s.token, e.embedding AS vec FROM embeddings e JOIN svocab s ON s.token_id = e.vec_id + 4),
+vecs AS (
+  SELECT CAST(s.token_id AS BIGINT) AS token_id, s.token,
+         CASE WHEN s.token = '[PAD]' THEN 'pad' WHEN p.vec IS NOT NULL THEN 'pretrained' ELSE 'random' END AS source,
+         CASE WHEN s.token = '[PAD]' THEN list_transform(range({EMBED_DIM}), lambda k: CAST(0 AS FLOAT))
+              WHEN p.vec IS NOT NULL THEN p.vec
+              ELSE list_transform(range({EMBED_DIM}), lambda k: CAST(
+                (CAST(CAST('0x' || substr(md5(s.token || '|' || k), 1, 8) AS BIGINT) AS DOUBLE) / CAST(4294967295.0 AS DOUBLE)
+                 - CAST(0.5 AS DOUBLE)) * CAST(0.02 AS DOUBLE) AS FLOAT)) END AS vec
+  FROM svocab s LEFT JOIN pre p ON s.token = p.token)"""
+
+
+def _vectors(spark, sf):
+    s, train = train_tokens(spark, sf)
+    sv = vocab.seq_vocabulary(train)
+    return s, sv, vec.lookup_vectors(sv, pretrained_vectors(spark, sf, sv), EMBED_DIM)
+
+
+@register("vector_lookup", f"""
+WITH {VEC_SQL}
+SELECT token_id, token, source, vec FROM vecs
+""")
+def q_vector_lookup(spark, sf):
+    return _vectors(spark, sf)[2]
+
+
+@register("attention_pool", f"""
+WITH {VEC_SQL},
+proj AS (SELECT list(m ORDER BY k) AS p FROM (SELECT k, avg(x) AS m FROM
+          (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY k)),
+occ AS (SELECT doc_id, unnest(t) AS token FROM stok WHERE split = 'test'),
+ids AS (SELECT o.doc_id, coalesce(v.token_id, 1) AS token_id FROM occ o LEFT JOIN svocab v ON o.token = v.token),
+j AS (SELECT i.doc_id, vv.vec, list_sum(list_transform(range({EMBED_DIM}), lambda k: vv.vec[k + 1] * proj.p[k + 1])) AS e
+      FROM ids i JOIN vecs vv ON i.token_id = vv.token_id CROSS JOIN proj),
+aw AS (SELECT doc_id, vec, exp(e - max(e) OVER (PARTITION BY doc_id)) AS w FROM j),
+z AS (SELECT doc_id, sum(w) AS z FROM aw GROUP BY doc_id),
+d AS (SELECT doc_id, k, sum(w * x) AS sm FROM
+       (SELECT doc_id, w, unnest(vec) AS x, generate_subscripts(vec, 1) AS k FROM aw) GROUP BY doc_id, k)
+SELECT d.doc_id, list(round(d.sm / z.z, 6) ORDER BY d.k) AS context FROM d JOIN z ON d.doc_id = z.doc_id GROUP BY d.doc_id
+""")
+def q_attention_pool(spark, sf):
+    s, sv, vecs = _vectors(spark, sf)
+    test = s.filter(F.col("split") == "test")
+    occ = tx.explode_items(test, "tokens", "token", "doc_id", with_pos="pos")
+    occ = occ.join(sv, "token", "left").select("doc_id", "pos", F.coalesce("token_id", F.lit(1)).alias("token_id"))
+    e = table(spark, sf, "embeddings")
+    dims = e.select(F.posexplode("embedding").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"))
+    proj = dims.agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("_p")).select(F.col("_p.m").alias("proj"))
+    occ = occ.crossJoin(F.broadcast(proj))
+    pooled = vec.attention_pool(occ.withColumnRenamed("proj", "_proj"), vecs, F.col("_proj"))
+    return pooled.select("doc_id", F.transform("context", lambda x: F.round(x, 6)).alias("context"))
+
+
+@register("halves_sum", f"""
+SELECT vec_id, list_transform(range({EMBED_DIM // 2}), lambda i: embedding[i + 1] + embedding[i + {EMBED_DIM // 2 + 1}]) AS halves
+FROM embeddings
+""")
+def q_halves_sum(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", vec.halves_sum("embedding", EMBED_DIM // 2).alias("halves"))
+
+
+# ---------------------------------------------------------------- metadata and set operations
+
+@register("run_metadata", f"""
+WITH {NB_VOCAB_SQL}
+SELECT 'stratified 45% train, 5% validation, 50% test split' AS split_method, 42 AS seed,
+       (SELECT count(*) FROM split WHERE split = 'train') AS train_samples,
+       (SELECT count(*) FROM split WHERE split = 'validation') AS validation_samples,
+       (SELECT count(*) FROM split WHERE split = 'test') AS test_samples,
+       (SELECT count(*) FROM vocab WHERE kind = 'unigram') AS unigram_features,
+       (SELECT count(*) FROM vocab WHERE kind = 'bigram') AS bigram_features,
+       (SELECT count(*) FROM vocab) AS total_features,
+       '{{"negative":0,"positive":1}}' AS labels
+""")
+def q_run_metadata(spark, sf):
+    from glossa.operators.metadata import run_metadata
+    s, train = train_tokens(spark, sf)
+    return run_metadata(s, vocab.nb_vocabulary(train), seed=SEED)
+
+
+@register("corpus_union", f"""
+SELECT 'documents' AS origin, doc_id AS id, CAST(len({TOK('text')}) AS INTEGER) AS n_tokens FROM documents
+UNION ALL
+SELECT 'benchmark' AS origin, item_id AS id, CAST(len({TOK('text')}) AS INTEGER) AS n_tokens FROM benchmark
+""")
+def q_corpus_union(spark, sf):
+    from glossa.operators.metadata import union_corpora
+    d = text_table(spark, sf, "documents", "doc_id", "text").withColumnRenamed("doc_id", "id")
+    b = text_table(spark, sf, "benchmark", "item_id", "text").withColumnRenamed("item_id", "id")
+    u = union_corpora({"documents": d, "benchmark": b})
+    return u.select("origin", "id", F.size(tx.tokenize("text")).alias("n_tokens"))
+
+
+@register("summary_union", f"""
+WITH {BUCKETS_SQL}
+SELECT model, CAST(NULL AS INTEGER) AS bucket_id, 'all' AS length_bucket, CAST(sum(samples) AS BIGINT) AS samples
+FROM summary GROUP BY model
+UNION ALL
+SELECT model, bucket_id, length_bucket, samples FROM summary
+""")
+def q_summary_union(spark, sf):
+    per_bucket = ev.accuracy_by_length(predictions(spark, sf)).select("model", "bucket_id", "length_bucket", "samples")
+    totals = per_bucket.groupBy("model").agg(F.sum("samples").cast("bigint").alias("samples")).select(
+        "model", F.lit(None).cast("int").alias("bucket_id"), F.lit("all").alias("length_bucket"), "samples")
+    return totals.unionByName(per_bucket)
