@@ -1006,3 +1006,59 @@ def q_summary_union(spark, sf):
     totals = per_bucket.groupBy("model").agg(F.sum("samples").cast("bigint").alias("samples")).select(
         "model", F.lit(None).cast("int").alias("bucket_id"), F.lit("all").alias("length_bucket"), "samples")
     return totals.unionByName(per_bucket)
+
+
+# ---------------------------------------------------------------- SVM fit (H1-H3), rows-only
+
+from glossa.operators import svm  # noqa: E402
+
+SVM_C = 0.05
+SVM_TOL = 1e-3
+
+
+def dense_ratio(model: DataFrame, n_features: int):
+    """The ratio vector as a dense array on the driver (model-sized, O(V))."""
+    import numpy as np
+
+    t = model.select("feature_id", "ratio").toArrow()
+    r = np.zeros(n_features)
+    r[t.column("feature_id").to_numpy()] = t.column("ratio").to_numpy()
+    return r
+
+
+def svm_setup(spark, sf):
+    s, v, model = nb_model(spark, sf)
+    n_features = v.count()
+    r = dense_ratio(model, n_features)
+    parts = {}
+    for name in ("train", "validation", "test"):
+        part = s.filter(F.col("split") == name)
+        parts[name] = svm.training_rows(presence(part, v), part.select("doc_id", "label"))
+    return r, parts
+
+
+@register("svm_fit")
+def q_svm_fit(spark, sf):
+    """H1 + H3: fit on the train part, report objective, convergence and accuracies (one row)."""
+    r, parts = svm_setup(spark, sf)
+    fitted = svm.fit(parts["train"], r, C=SVM_C, tol=SVM_TOL)
+    val = svm.decision_scores(parts["validation"], r, fitted).join(
+        parts["validation"].select("doc_id", "y"), "doc_id")
+    acc = val.agg(F.avg(((F.col("score") > 0) == (F.col("y") > 0)).cast("double")).alias("a")).first()["a"]
+    return spark.createDataFrame(
+        [(ALPHA, SVM_C, int(r.size), fitted.iterations, fitted.passes, fitted.objective,
+          fitted.grad_norm / max(fitted.grad_norm0, 1e-300), fitted.b, fitted.train_accuracy, float(acc))],
+        "alpha double, C double, n_features long, iterations long, passes long, objective double, "
+        "grad_ratio double, intercept double, train_accuracy double, validation_accuracy double")
+
+
+@register("svm_predict")
+def q_svm_predict(spark, sf):
+    """H4 with fitted weights: test predictions (doc_id, label, score, prediction, correct)."""
+    r, parts = svm_setup(spark, sf)
+    fitted = svm.fit(parts["train"], r, C=SVM_C, tol=SVM_TOL)
+    scored = svm.decision_scores(parts["test"], r, fitted).join(parts["test"].select("doc_id", "y"), "doc_id")
+    pred = sc.svm_label("score")
+    label = (F.col("y") > 0).cast("tinyint")
+    return scored.select("doc_id", label.alias("label"), "score", pred.alias("prediction"),
+                         tx.correct_flag(label, pred).alias("correct"))
