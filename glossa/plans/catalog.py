@@ -855,11 +855,12 @@ def q_bce_rows(spark, sf):
 
 
 @register("softmax_binary", """
-WITH p AS (
+WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS l FROM embeddings),
+p AS (
   SELECT vec_id,
-         list_transform(embedding[1:3], lambda x: exp(x - list_max(embedding[1:3]))) AS e3,
-         list_transform(embedding[1:2], lambda x: exp(x - list_max(embedding[1:2]))) AS e2
-  FROM embeddings)
+         list_transform(l[1:3], lambda x: exp(x - list_max(l[1:3]))) AS e3,
+         list_transform(l[1:2], lambda x: exp(x - list_max(l[1:2]))) AS e2
+  FROM d)
 SELECT vec_id,
        round((e3[3] / list_sum(e3)) / (e3[1] / list_sum(e3) + e3[3] / list_sum(e3) + 1e-9), 6) AS p_pos3,
        round(e2[2] / list_sum(e2), 6) AS p_pos2,
@@ -1062,3 +1063,25 @@ def q_svm_predict(spark, sf):
     label = (F.col("y") > 0).cast("tinyint")
     return scored.select("doc_id", label.alias("label"), "score", pred.alias("prediction"),
                          tx.correct_flag(label, pred).alias("correct"))
+
+
+# ---------------------------------------------------------------- streaming form of H7
+
+@register("stream_score", f"""
+WITH {MODEL_SQL},
+ct AS ({CONV_TOK}),
+co AS (SELECT DISTINCT conv_id, turn, unnest(list_concat(t, {S.bigrams_sql('t')})) AS feature FROM ct),
+cs AS (SELECT co.conv_id, co.turn, sum(m.ratio) AS sm FROM co JOIN model m ON co.feature = m.feature GROUP BY ALL)
+SELECT ct.conv_id, ct.turn, round(coalesce(cs.sm, 0.0), 6) AS score, CAST(coalesce(cs.sm, 0.0) > 0 AS TINYINT) AS prediction
+FROM ct LEFT JOIN cs ON ct.conv_id = cs.conv_id AND ct.turn = cs.turn
+""")
+def q_stream_score(spark, sf):
+    """The conversations file read as a stream and scored per micro-batch with the batch pipeline."""
+    from glossa.streaming.scoring import read_scored, score_stream, text_stream
+
+    _, v, model = nb_model(spark, sf)
+    schema = table(spark, sf, "conversations").select("conv_id", "turn", "text").schema
+    stream = text_stream(spark, sf.rstrip("/"), schema, file_glob="conversations.parquet")
+    query, out = score_stream(stream, lambda b: score_texts(b, v, model))
+    query.awaitTermination()
+    return read_scored(spark, out).select("conv_id", "turn", "score", "prediction")
