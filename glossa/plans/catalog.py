@@ -1085,3 +1085,36 @@ def q_stream_score(spark, sf):
     query, out = score_stream(stream, lambda b: score_texts(b, v, model))
     query.awaitTermination()
     return read_scored(spark, out).select("conv_id", "turn", "score", "prediction")
+
+
+@register("svm_grid_search")
+def q_svm_grid_search(spark, sf):
+    """H2 + D16 + H3: SVM fits of every (C, alpha) cell, validation accuracy, best cell flagged.
+
+    The alpha-free counts are computed once; each alpha is a projection of
+    them, and all sixteen fits share every data pass.
+    """
+    import numpy as np
+
+    s, train = train_tokens(spark, sf)
+    v = vocab.nb_vocabulary(train)
+    n_features = v.count()
+    featured = train.select("doc_id", "label", tx.feature_set("tokens").alias("features"))
+    ratios_df = nb.ratios_for_alphas(nb.class_doc_freq(nb.doc_features(featured)), ALPHAS)
+    t = v.select("feature", "feature_id").join(ratios_df, "feature").drop("feature").toArrow()
+    ids = t.column("feature_id").to_numpy()
+    ratios = {}
+    for i, a in enumerate(ALPHAS):
+        r = np.zeros(n_features)
+        r[ids] = t.column(f"ratio_{i}").to_numpy()
+        ratios[a] = r
+    rows = {}
+    for name in ("train", "validation"):
+        part = s.filter(F.col("split") == name)
+        rows[name] = svm.training_rows(presence(part, v), part.select("doc_id", "label"))
+    results, _ = svm.grid_search(rows["train"], rows["validation"], ratios, CS, tol=SVM_TOL)
+    return spark.createDataFrame(
+        [(r["cell_no"], r["C"], r["alpha"], r["validation_accuracy"], r["iterations"], r["objective"], r["is_best"])
+         for r in results],
+        "cell_no int, C double, alpha double, validation_accuracy double, iterations long, objective double, "
+        "is_best boolean")
