@@ -1031,10 +1031,9 @@ def svm_setup(spark, sf):
     s, v, model = nb_model(spark, sf)
     n_features = v.count()
     r = dense_ratio(model, n_features)
-    parts = {}
-    for name in ("train", "validation", "test"):
-        part = s.filter(F.col("split") == name)
-        parts[name] = svm.training_rows(presence(part, v), part.select("doc_id", "label"))
+    # one matrix for all three parts (one build, one checkpoint), filtered per part
+    rows = svm.training_rows(presence(s, v), s.select("doc_id", "label", "split"), keep=("split",))
+    parts = {name: rows.filter(F.col("split") == name).drop("split") for name in ("train", "validation", "test")}
     return r, parts
 
 
@@ -1108,10 +1107,9 @@ def q_svm_grid_search(spark, sf):
         r = np.zeros(n_features)
         r[ids] = t.column(f"ratio_{i}").to_numpy()
         ratios[a] = r
-    rows = {}
-    for name in ("train", "validation"):
-        part = s.filter(F.col("split") == name)
-        rows[name] = svm.training_rows(presence(part, v), part.select("doc_id", "label"))
+    both = s.filter(F.col("split") != "test")
+    matrix = svm.training_rows(presence(both, v), both.select("doc_id", "label", "split"), keep=("split",))
+    rows = {name: matrix.filter(F.col("split") == name).drop("split") for name in ("train", "validation")}
     results, _ = svm.grid_search(rows["train"], rows["validation"], ratios, CS, tol=SVM_TOL)
     return spark.createDataFrame(
         [(r["cell_no"], r["C"], r["alpha"], r["validation_accuracy"], r["iterations"], r["objective"], r["is_best"])
