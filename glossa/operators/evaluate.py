@@ -74,7 +74,8 @@ def accuracy_by_length(pred: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("samples"),
         F.avg(_correct(b).cast("double")).alias("accuracy"),
     )
-    grid = pred.select("model").distinct().select(
+    # the model list comes from the (small) aggregate, not from a second scan of the predictions
+    grid = agg.select("model").distinct().select(
         "model", F.explode(F.sequence(F.lit(0), F.lit(len(LENGTH_LABELS) - 1))).alias("bucket_id"))
     out = grid.join(agg, ["model", "bucket_id"], "left").select(
         "model", "bucket_id", length_bucket_label("bucket_id").alias("length_bucket"),

@@ -25,9 +25,12 @@ def run_metadata(split_df: DataFrame, nb_vocab: DataFrame, seed: int = 42) -> Da
         F.count(F.lit(1)).alias("total_features"),
     )
     labels = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in LABEL_NAMES.items()]))
-    return sizes.crossJoin(feats).select(
+    f = feats.first()
+    return sizes.select(
         F.lit(SPLIT_METHOD).alias("split_method"), F.lit(seed).alias("seed"), "train_samples", "validation_samples",
-        "test_samples", "unigram_features", "bigram_features", "total_features", labels.alias("labels"))
+        "test_samples", *[F.lit(f[c]).cast("bigint").alias(c) for c in ("unigram_features", "bigram_features",
+                                                                         "total_features")],
+        labels.alias("labels"))
 
 
 def write_metadata(meta: DataFrame, path: str) -> None:

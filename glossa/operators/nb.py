@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.text import explode_items
+from glossa.session import cut_lineage
 
 
 def check_alpha(alpha: float) -> None:
@@ -49,35 +50,45 @@ def class_doc_freq(feature_rows: DataFrame, feature_col: str = "feature", label_
     )
 
 
-def log_count_ratio(counts: DataFrame, alpha: float = 1.0) -> DataFrame:
+def log_count_ratio(counts: DataFrame, alpha: float = 1.0, materialize: bool = True) -> DataFrame:
     """``ln((p/|p|_1) / (q/|q|_1))`` with p = n_pos + alpha, q = n_neg + alpha.
 
-    The two smoothed totals are one global aggregate (one row, broadcast).
+    The two smoothed totals are one global aggregate read as two scalars.
+    The count table feeds both the totals and the per-feature rows, so it is
+    materialised once (reliable checkpoint, one row per feature) instead of
+    re-running tokenising and counting for the second consumer.
     """
     check_alpha(alpha)
+    if materialize:
+        counts = cut_lineage(counts)
+    pos_total, neg_total = smoothed_totals(counts, alpha)
     a = F.lit(float(alpha))
-    totals = counts.agg(
-        (F.sum("n_pos") + a * F.count(F.lit(1))).alias("pos_total"),
-        (F.sum("n_neg") + a * F.count(F.lit(1))).alias("neg_total"),
-    )
-    p = (F.col("n_pos") + a) / F.col("pos_total")
-    q = (F.col("n_neg") + a) / F.col("neg_total")
-    return counts.crossJoin(F.broadcast(totals)).withColumn("ratio", F.log(p / q)).drop("pos_total", "neg_total")
+    p = (F.col("n_pos") + a) / F.lit(pos_total)
+    q = (F.col("n_neg") + a) / F.lit(neg_total)
+    return counts.withColumn("ratio", F.log(p / q))
+
+
+def smoothed_totals(counts: DataFrame, alpha: float) -> tuple[float, float]:
+    """``sum(n_pos) + alpha * V`` and ``sum(n_neg) + alpha * V`` (one aggregate row, two scalars)."""
+    row = counts.agg(F.sum("n_pos").alias("sp"), F.sum("n_neg").alias("sn"), F.count(F.lit(1)).alias("v")).first()
+    v = row["v"] or 0
+    return float((row["sp"] or 0) + alpha * v), float((row["sn"] or 0) + alpha * v)
 
 
-def ratios_for_alphas(counts: DataFrame, alphas: Sequence[float], key_col: str = "feature") -> DataFrame:
+def ratios_for_alphas(counts: DataFrame, alphas: Sequence[float], key_col: str = "feature",
+                      materialize: bool = True) -> DataFrame:
     """H2 helper: one ratio column per alpha from one count table (``ratio_0``, ``ratio_1`` ...)."""
+    if materialize:
+        counts = cut_lineage(counts)
     out = counts
-    totals = counts.agg(
-        F.sum("n_pos").alias("_sp"), F.sum("n_neg").alias("_sn"), F.count(F.lit(1)).alias("_v"))
-    out = out.crossJoin(F.broadcast(totals))
     for i, alpha in enumerate(alphas):
         check_alpha(alpha)
+        pos_total, neg_total = smoothed_totals(counts, alpha)
         a = F.lit(float(alpha))
-        p = (F.col("n_pos") + a) / (F.col("_sp") + a * F.col("_v"))
-        q = (F.col("n_neg") + a) / (F.col("_sn") + a * F.col("_v"))
+        p = (F.col("n_pos") + a) / F.lit(pos_total)
+        q = (F.col("n_neg") + a) / F.lit(neg_total)
         out = out.withColumn(f"ratio_{i}", F.log(p / q))
-    return out.drop("_sp", "_sn", "_v")
+    return out
 
 
 def class_rows(df: DataFrame, label: int, label_col: str = "label") -> DataFrame:

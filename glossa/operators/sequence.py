@@ -43,10 +43,9 @@ def encode(tokenized: DataFrame, seq_vocab: DataFrame, max_seq_len: int = MAX_SE
 
 
 def pad_to_longest(encoded: DataFrame, ids_col: str = "input_ids", pad_value: int = PAD_ID) -> DataFrame:
-    """Pad every row to the longest framed sequence of the whole table."""
-    longest = encoded.agg(F.max(F.size(ids_col)).alias("_gl_len"))
-    return encoded.crossJoin(F.broadcast(longest)).withColumn(
-        ids_col, pad_ids(ids_col, "_gl_len", pad_value)).drop("_gl_len")
+    """Pad every row to the longest framed sequence of the whole table (one scalar aggregate)."""
+    longest = encoded.agg(F.max(F.size(ids_col)).alias("n")).first()["n"] or 0
+    return encoded.withColumn(ids_col, pad_ids(ids_col, int(longest), pad_value))
 
 
 def assign_batches(df: DataFrame, batch_size: int, order: list[str], partition_by: list[str] | None = None,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from glossa.functions import text as tx
 from glossa.operators import nb, split, vocab
 from glossa.plans import sqltext as S
+from glossa.session import cut_lineage
 from glossa.sources.tables import labelled_documents, spread, table, text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,14 +310,13 @@ SELECT feature, n_pos, n_neg, round(n_pos + {ALPHA}, 6) AS pos_smoothed, round(n
 FROM cnt, tot
 """)
 def q_class_doc_freq(spark, sf):
-    counts = _docs_counts(spark, sf)
+    counts = cut_lineage(_docs_counts(spark, sf))
     a = F.lit(ALPHA)
-    totals = counts.agg((F.sum("n_pos") + a * F.count(F.lit(1))).alias("pos_total"),
-                        (F.sum("n_neg") + a * F.count(F.lit(1))).alias("neg_total"))
-    return counts.crossJoin(F.broadcast(totals)).select(
+    pos_total, neg_total = nb.smoothed_totals(counts, ALPHA)
+    return counts.select(
         "feature", "n_pos", "n_neg", r6(F.col("n_pos") + a).alias("pos_smoothed"),
-        r6(F.col("n_neg") + a).alias("neg_smoothed"), r6("pos_total").alias("pos_total"),
-        r6("neg_total").alias("neg_total"))
+        r6(F.col("n_neg") + a).alias("neg_smoothed"), r6(F.lit(pos_total)).alias("pos_total"),
+        r6(F.lit(neg_total)).alias("neg_total"))
 
 
 @register("class_rows", f"""
@@ -710,9 +710,9 @@ def q_matrix_stats(spark, sf):
     rows = vocab.feature_id_rows(featured, v, keep_cols=("split",))
     nnz = rows.groupBy("split").agg(F.count(F.lit(1)).alias("nnz"))
     docs = s.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
-    width = v.agg(F.count(F.lit(1)).alias("columns"))
-    return docs.join(nnz, "split", "left").crossJoin(F.broadcast(width)).select(
-        "split", "rows", "columns", F.coalesce("nnz", F.lit(0)).alias("nnz"))
+    width = v.count()
+    return docs.join(nnz, "split", "left").select(
+        "split", "rows", F.lit(width).cast("bigint").alias("columns"), F.coalesce("nnz", F.lit(0)).alias("nnz"))
 
 
 def _grid_cells():
@@ -948,9 +948,9 @@ def q_attention_pool(spark, sf):
     occ = occ.join(sv, "token", "left").select("doc_id", "pos", F.coalesce("token_id", F.lit(1)).alias("token_id"))
     e = table(spark, sf, "embeddings")
     dims = e.select(F.posexplode("embedding").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"))
-    proj = dims.agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("_p")).select(F.col("_p.m").alias("proj"))
-    occ = occ.crossJoin(F.broadcast(proj))
-    pooled = vec.attention_pool(occ.withColumnRenamed("proj", "_proj"), vecs, F.col("_proj"))
+    # the projection has one entry per embedding dimension (bounded by the vector width)
+    proj = [r["m"] for r in dims.orderBy("k").collect()]
+    pooled = vec.attention_pool(occ, vecs, F.array(*[F.lit(float(x)) for x in proj]))
     return pooled.select("doc_id", F.transform("context", lambda x: F.round(x, 6)).alias("context"))
 
 
