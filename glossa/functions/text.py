@@ -63,12 +63,13 @@ def _unescape_batch(texts: pd.Series) -> pd.Series:
 def unescape_entities(text) -> Column:
     """B2: HTML5 character references decoded once (named, decimal, hex).
 
-    Only rows that contain ``&`` are shipped to the Arrow worker; the others
-    pass as null and keep their original value, so a corpus without entities
-    costs one null column per batch.
+    A reference starts with ``&`` followed by ``#`` or an ASCII letter (every
+    named entity is ASCII); only such rows are shipped to the Arrow worker,
+    the others pass as null and keep their value, so bare ampersands cost
+    one null column per batch.
     """
     t = _col(text)
-    return F.coalesce(_unescape_batch(F.when(t.contains("&"), t)), t)
+    return F.coalesce(_unescape_batch(F.when(t.contains("&") & t.rlike("&[#A-Za-z]"), t)), t)
 
 
 def expand_contractions(text) -> Column:
