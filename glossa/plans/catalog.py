@@ -46,8 +46,17 @@ def docs_tokens(spark, sf) -> DataFrame:
 
 
 def docs_split(spark, sf) -> DataFrame:
-    """E1 split of docs with tokens: (doc_id, label, tokens, split)."""
-    return split.stratified_split(docs_tokens(spark, sf), seed=SEED)
+    """E1 split of docs with tokens: (doc_id, label, tokens, split).
+
+    The split ranks (doc_id, label) only (a doc_id-only document scan), so
+    the range sampler never runs the tokeniser; the text is then joined to
+    its split, tokenised once and materialised for every consumer
+    (vocabularies, features, sequences).
+    """
+    assign = split.stratified_split(labelled_documents(spark, sf).select("doc_id", "label"), seed=SEED)
+    text = text_table(spark, sf, "documents", "doc_id", "text")
+    toks = text.join(assign, "doc_id").select("doc_id", "label", tx.tokenize("text").alias("tokens"), "split")
+    return cut_lineage(toks)
 
 
 def train_tokens(spark, sf) -> tuple[DataFrame, DataFrame]:
