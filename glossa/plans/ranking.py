@@ -24,10 +24,10 @@ _ROW_BITS = 33
 
 
 def _ranges(df: DataFrame, partitions: int | None) -> int:
+    """Number of ranges: given, else one per core of the cluster."""
     if partitions:
         return partitions
-    conf = df.sparkSession.conf
-    return max(int(conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    return max(df.sparkSession.sparkContext.defaultParallelism, 1)
 
 
 def dense_index(df: DataFrame, order: Sequence[str | Column], index_col: str = "idx",
