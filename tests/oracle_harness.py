@@ -92,7 +92,14 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:]
-    spark = build_session(shuffle_partitions=8)
+    if os.environ.get("HARNESS_PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session(shuffle_partitions=8)
     from __spark_entry__ import queries
 
     for n in names or list(queries()):
