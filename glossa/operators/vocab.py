@@ -36,14 +36,24 @@ def nb_vocabulary(tokenized: DataFrame, tokens_col: str = "tokens") -> DataFrame
 
     Output ``(feature_id BIGINT, kind, w1, w2, feature)``; ``w2`` null for unigrams.
     """
-    feats = distinct_features(tokenized, tokens_col).withColumn(
-        "_kind_order", F.when(F.col("kind") == "unigram", F.lit(0)).otherwise(F.lit(1)))
-    ranked = dense_index(feats, ["_kind_order", "feature"], index_col="feature_id")
+    return index_features(distinct_features(tokenized, tokens_col))
+
+
+def index_features(feats: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """D3 ids for a table of distinct ``feature`` strings (any extra columns in ``keep`` ride along).
+
+    Used directly on the class-count table, whose keys are exactly the
+    training features, so the vocabulary needs no pass of its own.
+    """
+    is_bigram = F.col("feature").contains(" ")
+    ranked = dense_index(feats.select("feature", *keep, F.when(is_bigram, F.lit(1)).otherwise(F.lit(0)).alias("_ko")),
+                         ["_ko", "feature"], index_col="feature_id")
     return ranked.select(
-        "feature_id", "kind",
+        "feature_id",
+        F.when(is_bigram, F.lit("bigram")).otherwise(F.lit("unigram")).alias("kind"),
         F.substring_index("feature", " ", 1).alias("w1"),
-        F.when(F.col("kind") == "bigram", F.substring_index("feature", " ", -1)).alias("w2"),
-        "feature",
+        F.when(is_bigram, F.substring_index("feature", " ", -1)).alias("w2"),
+        "feature", *keep,
     )
 
 

@@ -632,11 +632,12 @@ CS = [0.05, 0.1, 0.15, 0.2]
 def nb_model(spark, sf):
     """(split tokens, vocabulary, model table (feature_id, feature, ratio, w=1)) from the train part."""
     s, train = train_tokens(spark, sf)
-    v = vocab.nb_vocabulary(train)
     featured = train.select("doc_id", "label", tx.feature_set("tokens").alias("features"))
     ratio = nb.log_count_ratio(nb.class_doc_freq(nb.doc_features(featured)), ALPHA)
-    model = v.join(ratio.select("feature", "ratio"), "feature").select(
-        "feature_id", "feature", "ratio", F.lit(1.0).alias("w"))
+    # the count table's keys are exactly the training features: index it directly (D3 ids)
+    indexed = vocab.index_features(ratio, keep=("ratio",))
+    v = indexed.select("feature_id", "kind", "w1", "w2", "feature")
+    model = indexed.select("feature_id", "feature", "ratio", F.lit(1.0).alias("w"))
     return s, v, model
 
 
