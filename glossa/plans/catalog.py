@@ -1106,11 +1106,12 @@ def q_svm_grid_search(spark, sf):
     import numpy as np
 
     s, train = train_tokens(spark, sf)
-    v = vocab.nb_vocabulary(train)
-    n_features = v.count()
     featured = train.select("doc_id", "label", tx.feature_set("tokens").alias("features"))
     ratios_df = nb.ratios_for_alphas(nb.class_doc_freq(nb.doc_features(featured)), ALPHAS)
-    t = v.select("feature", "feature_id").join(ratios_df, "feature").drop("feature").toArrow()
+    indexed = vocab.index_features(ratios_df, keep=tuple(f"ratio_{i}" for i in range(len(ALPHAS))))
+    v = indexed.select("feature_id", "kind", "w1", "w2", "feature")
+    n_features = v.count()
+    t = indexed.drop("feature", "kind", "w1", "w2").toArrow()
     ids = t.column("feature_id").to_numpy()
     ratios = {}
     for i, a in enumerate(ALPHAS):
