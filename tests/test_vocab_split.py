@@ -73,3 +73,16 @@ def test_stratified_split_invariants(spark):
     for label in (0, 1):
         n = hc.get(("validation", label), 0) + hc.get(("train", label), 0)
         assert hc.get(("validation", label), 0) == -(-n // 10)
+
+
+def test_dense_index_hot_group_spans_ranges(spark):
+    """One group holds two thirds of the rows: positions stay exact and the group is cut over ranges."""
+    from pyspark.sql import Window
+
+    df = spark.range(0, 6000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 5).otherwise(F.lit(99)).alias("g"),
+                                     F.md5(F.col("id").cast("string")).alias("k"))
+    ours = dense_index(df, ["k"], index_col="i", partition_by=["g"], partitions=6)
+    ref = df.select("g", "k", (F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1).alias("i"))
+    assert sorted(map(tuple, ours.select("g", "k", "i").collect())) == sorted(map(tuple, ref.collect()))
+    hot = df.repartitionByRange(6, "g", "k").filter("g = 99").select(F.spark_partition_id().alias("p")).distinct()
+    assert hot.count() >= 3
