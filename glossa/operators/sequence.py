@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from glossa.operators.vocab import BOS_ID, EOS_ID, PAD_ID, token_ids
 from glossa.plans.ranking import dense_index
+from glossa.session import cut_lineage
 
 MAX_SEQ_LEN = 400
 
@@ -43,7 +44,12 @@ def encode(tokenized: DataFrame, seq_vocab: DataFrame, max_seq_len: int = MAX_SE
 
 
 def pad_to_longest(encoded: DataFrame, ids_col: str = "input_ids", pad_value: int = PAD_ID) -> DataFrame:
-    """Pad every row to the longest framed sequence of the whole table (one scalar aggregate)."""
+    """Pad every row to the longest framed sequence of the whole table (one scalar aggregate).
+
+    The encoded rows are materialised first, so the length scan and the
+    padding read them instead of repeating the id lookup.
+    """
+    encoded = cut_lineage(encoded)
     longest = encoded.agg(F.max(F.size(ids_col)).alias("n")).first()["n"] or 0
     return encoded.withColumn(ids_col, pad_ids(ids_col, int(longest), pad_value))
 
