@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import line_templates, quality_rules, simhash
+from glossa.llm import line_templates, mixing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_templates": line_templates.op2_line_templates,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_simhash": simhash.op7_simhash,
+    "op8_pivotal_mix": mixing.op8_pivotal_mix,
 }
 
 ORACLES: dict[str, str] = {}
