@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import line_templates, mixing, quality_rules, simhash
+import corpus_pipeline
+from glossa.llm import line_templates, mixing, packing, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_templates": line_templates.op2_line_templates,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_simhash": simhash.op7_simhash,
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
+    "op9_genetic_packing": packing.op9_genetic_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
