@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from glossa.llm import line_templates, mixing, packing, quality_rules, simhash
+from glossa.llm import line_templates, mixing, packing, quality_rules, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_redirect_filter": url_filter.op1_redirect_filter,
     "op2_line_templates": line_templates.op2_line_templates,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_simhash": simhash.op7_simhash,
@@ -18,4 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_redirect_filter": url_filter.ORACLE_SQL,
+}
