@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from glossa.llm import line_templates, mixing, packing, quality_rules, simhash, url_filter
+from glossa.llm import line_templates, mixing, packing, quality_rules, secret_scan, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_filter": url_filter.op1_redirect_filter,
     "op2_line_templates": line_templates.op2_line_templates,
+    "op3_entropy_secrets": secret_scan.op3_entropy_secrets,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_simhash": simhash.op7_simhash,
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
@@ -21,4 +22,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_redirect_filter": url_filter.ORACLE_SQL,
+    "op3_entropy_secrets": secret_scan.ORACLE_SQL,
 }
