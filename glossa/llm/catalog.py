@@ -7,20 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from glossa.llm import line_templates, mixing, packing, quality_rules, secret_scan, simhash, url_filter
+from glossa.llm import cover_tree, language_id, line_templates, mixing, packing, quality_rules, secret_scan, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_filter": url_filter.op1_redirect_filter,
     "op2_line_templates": line_templates.op2_line_templates,
     "op3_entropy_secrets": secret_scan.op3_entropy_secrets,
+    "op4_language_id": language_id.op4_language_id,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_simhash": simhash.op7_simhash,
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
     "op9_genetic_packing": packing.op9_genetic_packing,
+    "op10_cover_tree": cover_tree.op10_cover_tree,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
     "op1_redirect_filter": url_filter.ORACLE_SQL,
     "op3_entropy_secrets": secret_scan.ORACLE_SQL,
+    "op10_cover_tree": cover_tree.ORACLE_SQL,
 }

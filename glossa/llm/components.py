@@ -12,6 +12,7 @@ for the count and checksum that tell when a round changed nothing.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +58,28 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = cut.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return cut.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def stars(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Inside a task: every set that the boolean matrix ``near`` links between ids ``a`` and ``b``, as a star.
+
+    A star is (members, smallest member repeated): as many edges as members,
+    whatever the number of links.
+    """
+    fresh_rows, fresh_cols, out = near.any(axis=1), near.any(axis=0), []
+    if a is b:
+        fresh_rows &= near.sum(axis=1) > 1  # a point is near itself
+    for s in np.flatnonzero(fresh_rows):
+        if not fresh_rows[s]:
+            continue
+        members, rows = [], np.array([s])
+        while len(rows):
+            fresh_rows[rows] = False
+            cols = np.flatnonzero(near[rows].any(axis=0) & fresh_cols)
+            fresh_cols[cols] = False
+            members += [a[rows], b[cols]]
+            rows = np.flatnonzero(near[:, cols].any(axis=1) & fresh_rows) if len(cols) else cols
+        got = np.unique(np.concatenate(members))
+        if len(got) > 1:
+            out.append((got[1:], np.full(len(got) - 1, got[0])))
+    return out

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.llm.common import free_name, read_table
-from glossa.llm.components import components
+from glossa.llm.components import components, stars
 from glossa.session import cut_lineage
 
 SHINGLE = 3
@@ -122,29 +122,6 @@ def route(points: np.ndarray, nodes: list, bits: int):
 
 # ------------------------------------------------------------ inside a task
 
-def block_stars(a: np.ndarray, b: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For every linked set between two blocks: its members, each with the smallest one."""
-    near = np.bitwise_count(a[:, None] ^ b[None, :]) <= bits
-    fresh_rows, fresh_cols, out = near.any(axis=1), near.any(axis=0), []
-    alone = near.sum(axis=1) == 1
-    if a is b:
-        fresh_rows &= ~alone
-    for s in np.flatnonzero(fresh_rows):
-        if not fresh_rows[s]:
-            continue
-        members, rows = [], np.array([s])
-        while len(rows):
-            fresh_rows[rows] = False
-            cols = np.flatnonzero(near[rows].any(axis=0) & fresh_cols)
-            fresh_cols[cols] = False
-            members += [a[rows], b[cols]]
-            rows = np.flatnonzero(near[:, cols].any(axis=1) & fresh_rows) if len(cols) else cols
-        got = np.unique(np.concatenate(members))
-        if len(got) > 1:
-            out.append((got[1:], np.full(len(got) - 1, got[0])))
-    return out
-
-
 def shard_stars(a: np.ndarray, b: np.ndarray | None, bits: int) -> pd.DataFrame:
     """Stars of the links inside ``a`` (b None) or between ``a`` and ``b``."""
     pts = a if b is None else np.concatenate([a, b])
@@ -158,7 +135,8 @@ def shard_stars(a: np.ndarray, b: np.ndarray | None, bits: int) -> pd.DataFrame:
         for i in range(0, len(own), BLOCK):
             one = pts[own[i:i + BLOCK]]
             for j in range(i if b is None else 0, len(other), BLOCK):
-                found += block_stars(one, one if b is None and i == j else pts[other[j:j + BLOCK]], bits)
+                two = one if b is None and i == j else pts[other[j:j + BLOCK]]
+                found += stars(np.bitwise_count(one[:, None] ^ two[None, :]) <= bits, one, two)
     if not found:
         return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
     both = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], axis=1), axis=0)
