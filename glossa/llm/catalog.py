@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from glossa.llm import cover_tree, language_id, line_templates, mixing, packing, quality_rules, secret_scan, simhash, url_filter
+from glossa.llm import cotraining, cover_tree, language_id, line_templates, mixing, packing, quality_rules, secret_scan, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_filter": url_filter.op1_redirect_filter,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_entropy_secrets": secret_scan.op3_entropy_secrets,
     "op4_language_id": language_id.op4_language_id,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_cotraining": cotraining.op6_cotraining,
     "op7_simhash": simhash.op7_simhash,
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
     "op9_genetic_packing": packing.op9_genetic_packing,
