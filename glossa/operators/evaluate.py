@@ -37,14 +37,9 @@ def confusion(pred: DataFrame) -> DataFrame:
 
     Labels outside {0, 1} are ignored here (they still count in accuracy).
     """
-    counts = pred.filter(F.col("label").isin(*BINARY_LABELS) & F.col("prediction").isin(*BINARY_LABELS)).groupBy(
-        "model", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    grid = pred.select("model").distinct().select(
-        "model",
-        F.explode(F.array(*[F.lit(x) for x in BINARY_LABELS])).alias("label"),
-    ).select("model", "label", F.explode(F.array(*[F.lit(x) for x in BINARY_LABELS])).alias("prediction"))
-    return grid.join(counts, ["model", "label", "prediction"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint"))
+    cells = [F.struct(F.lit(y).alias("label"), F.lit(p).alias("prediction"), F.count_if(
+        (F.col("label") == y) & (F.col("prediction") == p)).alias("n")) for y in BINARY_LABELS for p in BINARY_LABELS]
+    return pred.groupBy("model").agg(F.array(*cells).alias("cells")).select("model", F.inline("cells"))
 
 
 def confusion_wide(pred: DataFrame) -> DataFrame:
@@ -91,12 +86,18 @@ def accuracy_pivot(summary: DataFrame, models: Sequence[str]) -> DataFrame:
 def same_examples(pred: DataFrame, models: Sequence[str]) -> DataFrame:
     """For every pair of models, examples missing on either side and label disagreements.
 
-    One groupBy on ``doc_id`` pivots the label of each model into a column;
-    every model pair is then a handful of conditional counts in a single
-    aggregate (no self join, no pair rows).
+    One groupBy on ``doc_id`` pivots each model's rows of the example into
+    columns; every model pair is then a handful of conditional counts in a
+    single aggregate (no self join, no pair rows).  An example is missing if
+    the model has no row of it.  Present on both sides, it mismatches unless
+    both hold it equally often with one and the same label (null labels agree
+    with null labels only).
     """
     models = list(models)
-    wide = pred.groupBy("doc_id").pivot("model", models).agg(F.first("label"))
+    value = F.coalesce(F.col("label").cast("string"), F.lit("null"))
+    one = F.when(F.min(value) == F.max(value), F.concat_ws("x", F.count(F.lit(1)), F.min(value))).otherwise(F.lit("mixed"))
+    examples = pred.groupBy("doc_id", "model").agg(one.alias("held"))
+    wide = examples.groupBy("doc_id").pivot("model", models).agg(F.first("held"))
     aggs = []
     pairs = list(combinations(models, 2))
     for a, b in pairs:
@@ -104,7 +105,7 @@ def same_examples(pred: DataFrame, models: Sequence[str]) -> DataFrame:
         aggs += [
             F.count_if(ca.isNull() & cb.isNotNull()).alias(f"{a}|{b}|missing_left"),
             F.count_if(ca.isNotNull() & cb.isNull()).alias(f"{a}|{b}|missing_right"),
-            F.count_if(ca.isNotNull() & cb.isNotNull() & (ca != cb)).alias(f"{a}|{b}|label_mismatch"),
+            F.count_if(ca.isNotNull() & cb.isNotNull() & ((ca != cb) | (ca == "mixed"))).alias(f"{a}|{b}|label_mismatch"),
         ]
     row = wide.agg(*aggs)
     stacked = F.explode(F.array(*[

@@ -1,10 +1,11 @@
 """The whole preparation job (H8) and the whole model comparison.
 
-Preparation: corpora are unioned with their origin (G1), validated (A2-A5),
-keyed (A6), split exactly (E1), tokenised once and materialised behind the
-split's checkpoint, the vocabulary is built from the training part only
-(D3), presence features are looked up for every part (C1), and splits,
-features, vocabulary and the metadata row are written (A7-A10).
+Preparation: corpora are validated (A2-A5), keyed by origin, file and row
+(A6) and pooled (G1); ids and labels alone are split exactly (E1); text is
+joined to its split, tokenised once and written partitioned by split, which
+every later step reads by partition.  The vocabulary is built from the
+training part only (D3), presence features are looked up for every part
+(C1), and splits, features, vocabulary and metadata are written (A7-A10).
 """
 
 from __future__ import annotations
@@ -16,35 +17,61 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import feature_set, tokenize
 from glossa.operators import evaluate as ev
-from glossa.operators.metadata import run_metadata, union_corpora, write_metadata
+from glossa.operators.metadata import DEFAULT_PARTS, run_metadata, union_corpora, write_metadata
 from glossa.operators.split import stratified_split
 from glossa.operators.vocab import feature_id_rows, nb_vocabulary
 from glossa.sources import sinks
-from glossa.sources.tables import union_results, validate_corpus, with_row_identity
+from glossa.sources.tables import require_unique, union_results, validate_corpus, with_row_identity
+
+
+def pool_corpora(corpora: Mapping[str, DataFrame]) -> DataFrame:
+    """A2-A6 + G1: one table with ``doc_id`` (unique over all corpora) and ``origin``.
+
+    Corpora without ids get them from origin, file and row; where only some
+    bring their own, or of different types, all ids become strings.
+    """
+    keyed = {name: with_row_identity(df, name) for name, df in corpora.items()}
+    checked = {name: validate_corpus(df) for name, df in keyed.items()}
+    if len({df.schema["doc_id"].dataType for df in checked.values()}) > 1:
+        checked = {name: df.withColumn("doc_id", F.col("doc_id").cast("string")) for name, df in checked.items()}
+    return require_unique(union_corpora(checked))
 
 
 def prepare_corpus(corpora: Mapping[str, DataFrame], out_dir: str, seed: int = 42,
                    tokenizer: Callable[[Column], Column] = tokenize,
-                   parts: Sequence[tuple[str, float]] = (("test", 0.50), ("validation", 0.05))) -> DataFrame:
-    """H8: returns the metadata row; writes splits, features, vocabulary, metadata under ``out_dir``."""
-    keyed = {name: with_row_identity(validate_corpus(df)) for name, df in corpora.items()}
-    pooled = union_corpora(keyed)
-    tokens = pooled.select("doc_id", "label", "text", "origin", tokenizer(F.col("text")).alias("tokens"))
-    split_df = stratified_split(tokens, parts=parts, seed=seed)  # checkpointed: tokens computed once
-    vocab = nb_vocabulary(split_df.filter(F.col("split") == "train"))
+                   parts: Sequence[tuple[str, float]] = DEFAULT_PARTS) -> DataFrame:
+    """H8: returns the metadata row; writes splits, features, vocabulary, metadata under ``out_dir``.
+
+    ``splits`` holds doc_id, label, text, origin and tokens, partitioned by split.
+    """
+    pooled = pool_corpora(corpora)
+    assigned = stratified_split(pooled.select("doc_id", "label"), parts=parts, seed=seed).select("doc_id", "split")
+    joined = pooled.select("doc_id", "label", "text", "origin").join(assigned, "doc_id")
+    sinks.write_splits(joined.withColumn("tokens", tokenizer(F.col("text"))), f"{out_dir}/splits")
+    split_df = pooled.sparkSession.read.parquet(f"{out_dir}/splits")
+    nb_vocabulary(split_df.filter(F.col("split") == "train")).write.mode("overwrite").parquet(f"{out_dir}/vocabulary")
+    vocab = pooled.sparkSession.read.parquet(f"{out_dir}/vocabulary")
     featured = split_df.select("doc_id", "split", feature_set("tokens").alias("features"))
-    presence = feature_id_rows(featured, vocab, keep_cols=("split",))
-    sinks.write_splits(split_df.select("doc_id", "label", "text", "origin", "split"), f"{out_dir}/splits")
-    sinks.write_features(presence, f"{out_dir}/features")
-    vocab.write.mode("overwrite").parquet(f"{out_dir}/vocabulary")
-    meta = run_metadata(split_df, vocab, seed=seed)
+    sinks.write_features(feature_id_rows(featured, vocab, keep_cols=("split",)), f"{out_dir}/features")
+    files = {name: sorted(df.inputFiles()) for name, df in corpora.items()}
+    meta = run_metadata(split_df, vocab, seed=seed, parts=parts, sources=files)
     write_metadata(meta, f"{out_dir}/metadata")
     return meta
 
 
+def require_same_examples(pred: DataFrame, models: Sequence[str]) -> DataFrame:
+    """C6 as a condition: refuse tables whose examples or labels differ between models."""
+    keyed = pred if "doc_id" in pred.columns else pred.withColumn("doc_id", F.md5(F.coalesce("text", F.lit(""))))
+    if len(models) > 1:
+        bad = [f"{r['model_left']} and {r['model_right']}" for r in ev.same_examples(keyed, models).collect() if not r["same_examples"]]
+        if bad:
+            raise ValueError(f"not the same examples: {'; '.join(bad)}")
+    return pred
+
+
 def compare_models(results: Mapping[str, DataFrame], summary_path: str | None = None) -> dict[str, DataFrame]:
-    """One predictions table feeds accuracy + confusion, the bucket summary and its pivot."""
-    pred = union_results(results)
+    """Emptiness (A4) and same-example (C6) checks, then accuracy + confusion, bucket summary and pivot."""
+    pred = require_same_examples(union_results(results), list(results))
     summary = ev.accuracy_by_length(pred)
     out = {
         "comparison": ev.model_comparison(pred),

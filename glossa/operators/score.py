@@ -10,6 +10,7 @@ applied by ``mapInPandas``: loaded once per Python worker, fed Arrow batches.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -44,7 +45,7 @@ def linear_scores(presence: DataFrame, docs: DataFrame, model: DataFrame, interc
 def check_feature_space(presence: DataFrame, model: DataFrame) -> None:
     """Refuse to score data with features the model does not know."""
     if not feature_space_violations(presence, model).isEmpty():
-        raise ValueError("Test feature count does not match the saved log-count ratio.")
+        raise ValueError("presence rows name features that the model lacks")
 
 
 def nbsvm_predict(presence: DataFrame, docs: DataFrame, model: DataFrame, intercept: float = 0.0,
@@ -61,28 +62,39 @@ def nbsvm_predict(presence: DataFrame, docs: DataFrame, model: DataFrame, interc
 
 # ------------------------------------------------------------------ pluggable models (H5-H7)
 
-_LOADED: dict[int, object] = {}
+_LOADED: dict[str, object] = {}
+
+
+def loaded(key: str, load_model: Callable[[], object]) -> object:
+    """The model of ``key``, loaded on first use in this Python worker.
+
+    Called through the imported module: a dictionary reached from a pickled
+    closure would be a new one in every task.
+    """
+    if key not in _LOADED:
+        _LOADED[key] = load_model()
+    return _LOADED[key]
 
 
 def batch_score(df: DataFrame, load_model: Callable[[], Callable[[pd.DataFrame], np.ndarray]],
                 input_cols: Sequence[str], keep_cols: Sequence[str] = ("doc_id",),
-                batch_size: int = 1024) -> DataFrame:
+                batch_size: int = 1024, model_key: str | None = None) -> DataFrame:
     """H5: probabilities from any model, in Arrow batches.
 
-    ``load_model()`` runs once per Python worker (cached); the returned
-    callable maps a pandas frame of ``input_cols`` to positive-class
+    ``load_model()`` runs once per Python worker and ``model_key`` (a name for
+    the model; by default one for this call); the returned callable maps a pandas frame of ``input_cols`` to positive-class
     probabilities (shape (n,)) or class logits (shape (n, k); softmax, then
     the 2- or 3-class rule of B21).  ``batch_size`` bounds rows per call.
     """
     keep_cols = list(keep_cols)
     fields = [df.schema[c] for c in keep_cols]
     schema = T.StructType(fields + [T.StructField("probability_positive", T.DoubleType(), True)])
-    key = id(load_model)
+    key = model_key or uuid.uuid4().hex
 
     def run(batches):
-        model = _LOADED.get(key)
-        if model is None:
-            model = _LOADED[key] = load_model()
+        from glossa.operators import score
+
+        model = score.loaded(key, load_model)
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]

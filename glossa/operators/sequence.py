@@ -39,7 +39,9 @@ def true_length(ids, pad_value: int = PAD_ID) -> Column:
 def encode(tokenized: DataFrame, seq_vocab: DataFrame, max_seq_len: int = MAX_SEQ_LEN,
            keep_cols: tuple[str, ...] = ("label",)) -> DataFrame:
     """H9 without padding: (doc_id, label, input_ids) framed sequences."""
-    ids = token_ids(tokenized, seq_vocab, keep_cols=keep_cols)
+    # only tokens that the frame keeps are looked up
+    head = tokenized.withColumn("tokens", F.slice("tokens", 1, max(max_seq_len - 2, 0)))
+    ids = token_ids(head, seq_vocab, keep_cols=keep_cols)
     return ids.select("doc_id", *keep_cols, frame_ids("token_ids", max_seq_len).alias("input_ids"))
 
 

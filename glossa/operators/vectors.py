@@ -55,13 +55,15 @@ def attention_pool(occurrences: DataFrame, vectors: DataFrame, projection: Colum
 
     ``occurrences`` are (key, pos, token_id) rows; ``projection`` is an
     array column (one row broadcast).  Each document's pairs are gathered
-    once (bounded by its length) and reduced with array functions.
+    once (bounded by its distinct tokens) and reduced with array functions.
     """
-    j = occurrences.join(vectors.select(id_col, "vec"), id_col)
+    # a token's occurrences in a document share energy and vector: one row with their number
+    counted = occurrences.groupBy(key, id_col).agg(F.count(F.lit(1)).alias("_n"))
+    j = counted.join(vectors.select(id_col, "vec"), id_col)
     j = j.withColumn("_e", F.aggregate(F.zip_with("vec", projection, lambda a, b: a * b), F.lit(0.0),
                                        lambda acc, x: acc + x))
-    per = j.groupBy(key).agg(F.collect_list(F.struct("_e", "vec")).alias("_items"), F.max("_e").alias("_m"))
-    items = F.transform("_items", lambda it: F.struct(F.exp(it["_e"] - F.col("_m")).alias("w"), it["vec"].alias("vec")))
+    per = j.groupBy(key).agg(F.collect_list(F.struct("_e", "_n", "vec")).alias("_items"), F.max("_e").alias("_m"))
+    items = F.transform("_items", lambda it: F.struct((it["_n"] * F.exp(it["_e"] - F.col("_m"))).alias("w"), it["vec"].alias("vec")))
     per = per.withColumn("_items", items).withColumn(
         "_z", F.aggregate("_items", F.lit(0.0), lambda acc, it: acc + it["w"]))
     first = F.col("_items")[0]["vec"]

@@ -84,15 +84,14 @@ def feature_ids(featured: DataFrame, nb_vocab: DataFrame, features_col: str = "f
                 keep_cols: tuple[str, ...] = (), key: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """C1 + B11: per document the sorted ids of its known features; unknown dropped.
 
-    Documents without any known feature keep an empty array (left join back
-    to the document list), exactly like an empty CSR row.
+    Documents without any known feature keep an empty array, exactly like an
+    empty CSR row: the outer explode leaves them a null feature, the left join
+    no id, and ``collect_list`` skips it, so no join back to the documents.
     """
-    exploded = explode_items(featured, features_col, "feature", *key)
-    known = exploded.join(nb_vocab.select("feature", "feature_id"), "feature")
-    per_doc = known.groupBy(*key).agg(F.sort_array(F.collect_list("feature_id")).alias("feature_ids"))
-    base = featured.select(*key, *keep_cols)
-    return base.join(per_doc, list(key), "left").withColumn(
-        "feature_ids", F.coalesce("feature_ids", F.array().cast("array<bigint>")))
+    exploded = featured.select(*key, *keep_cols, F.explode_outer(features_col).alias("feature"))
+    looked = exploded.join(nb_vocab.select("feature", "feature_id"), "feature", "left")
+    return looked.groupBy(*key).agg(
+        *[F.first(c).alias(c) for c in keep_cols], F.sort_array(F.collect_list("feature_id")).alias("feature_ids"))
 
 
 def feature_id_rows(featured: DataFrame, nb_vocab: DataFrame, features_col: str = "features",
@@ -108,16 +107,15 @@ def token_ids(tokenized: DataFrame, seq_vocab: DataFrame, tokens_col: str = "tok
 
     Occurrences are exploded with their position, left-joined to the
     vocabulary (AQE splits the partitions of very frequent tokens) and
-    re-assembled per document by position.  Empty documents keep [].
+    re-assembled per document by position.  Empty documents keep []: their
+    null position of the outer explode gives no pair to collect.
     """
-    occ = explode_items(tokenized, tokens_col, "token", *key, with_pos="pos")
+    occ = tokenized.select(*key, *keep_cols, F.posexplode_outer(tokens_col).alias("pos", "token"))
     looked = occ.join(seq_vocab.select("token", "token_id"), "token", "left")
-    per_doc = looked.groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))).alias("_p"))
-    per_doc = per_doc.select(*key, F.col("_p.id").alias("token_ids"))
-    base = tokenized.select(*key, *keep_cols)
-    return base.join(per_doc, list(key), "left").withColumn(
-        "token_ids", F.coalesce("token_ids", F.array().cast("array<bigint>")))
+    pair = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("id")))
+    return looked.groupBy(*key).agg(
+        *[F.first(c).alias(c) for c in keep_cols], F.sort_array(F.collect_list(pair)).alias("_p")
+    ).withColumn("token_ids", F.col("_p.id")).drop("_p")
 
 
 def reverse_lookup(ids: DataFrame, vocab: DataFrame, id_col: str = "token_id", token_col: str = "token") -> DataFrame:
@@ -137,8 +135,8 @@ def decode_ids(encoded: DataFrame, seq_vocab: DataFrame, ids_col: str = "token_i
 
 
 def oov_tokens(tokenized: DataFrame, seq_vocab: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """C4: occurrences whose token is not in the vocabulary (left anti join)."""
-    occ = explode_items(tokenized, tokens_col, "token", *tokenized.columns)
+    """C4: occurrences whose token is not in the vocabulary (left anti join); the token arrays stay behind."""
+    occ = explode_items(tokenized, tokens_col, "token", *[c for c in tokenized.columns if c != tokens_col])
     return occ.join(seq_vocab.select("token"), "token", "left_anti")
 
 

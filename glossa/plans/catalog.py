@@ -8,6 +8,7 @@ oracle.  Floating results are rounded to 6 decimals on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -509,6 +510,32 @@ def q_same_examples(spark, sf):
     return ev.same_examples(predictions(spark, sf, drop_m2_f=True), MODELS)
 
 
+@register("same_examples_repeated", f"""
+WITH {DOCS},
+{_flip_sql(drop_m2_f=True)},
+again AS (
+  SELECT model, doc_id, label FROM preds
+  UNION ALL SELECT model, doc_id, CASE WHEN model = 'm1' AND doc_id % 3 = 0 THEN 1 - label ELSE label END FROM preds WHERE doc_id % 5 < 2),
+ex AS (SELECT model, doc_id, count(*) AS n, min(label) AS lo, max(label) AS hi FROM again GROUP BY model, doc_id),
+pairs AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, b in combinations(MODELS, 2))}) p(model_left, model_right)),
+sides AS (
+  SELECT p.model_left, p.model_right, coalesce(l.doc_id, r.doc_id) AS doc_id, l.n AS ln, l.lo AS llo, l.hi AS lhi, r.n AS rn, r.lo AS rlo, r.hi AS rhi
+  FROM pairs p JOIN (SELECT DISTINCT doc_id FROM ex) d ON true
+  LEFT JOIN ex l ON l.model = p.model_left AND l.doc_id = d.doc_id LEFT JOIN ex r ON r.model = p.model_right AND r.doc_id = d.doc_id)
+SELECT model_left, model_right, count(*) FILTER (WHERE ln IS NULL AND rn IS NOT NULL) AS missing_left,
+  count(*) FILTER (WHERE rn IS NULL AND ln IS NOT NULL) AS missing_right,
+  count(*) FILTER (WHERE ln IS NOT NULL AND rn IS NOT NULL AND (ln <> rn OR llo <> lhi OR rlo <> rhi OR llo <> rlo)) AS label_mismatch,
+  count(*) FILTER (WHERE (ln IS NULL) <> (rn IS NULL) OR ln <> rn OR llo <> lhi OR rlo <> rhi OR llo <> rlo) = 0 AS same_examples
+FROM sides WHERE ln IS NOT NULL OR rn IS NOT NULL GROUP BY ALL
+""")
+def q_same_examples_repeated(spark, sf):
+    """C6 on result tables that hold some documents twice, one model with both labels."""
+    pred = predictions(spark, sf, drop_m2_f=True).select("model", "doc_id", F.col("label").cast("int").alias("label"))
+    turned = F.when((F.col("model") == "m1") & (F.col("doc_id") % 3 == 0), 1 - F.col("label")).otherwise(F.col("label"))
+    twice = pred.filter(F.col("doc_id") % 5 < 2).withColumn("label", turned)
+    return ev.same_examples(pred.unionByName(twice), MODELS)
+
+
 @register("align_check", f"""
 WITH {SPLIT_ONLY},
 {_flip_sql()},
@@ -949,7 +976,7 @@ aw AS (SELECT doc_id, vec, exp(e - max(e) OVER (PARTITION BY doc_id)) AS w FROM
 z AS (SELECT doc_id, sum(w) AS z FROM aw GROUP BY doc_id),
 d AS (SELECT doc_id, k, sum(w * x) AS sm FROM
        (SELECT doc_id, w, unnest(vec) AS x, generate_subscripts(vec, 1) AS k FROM aw) GROUP BY doc_id, k)
-SELECT d.doc_id, list(round(d.sm / z.z, 6) ORDER BY d.k) AS context FROM d JOIN z ON d.doc_id = z.doc_id GROUP BY d.doc_id
+SELECT d.doc_id, list(round(d.sm / z.z, 6) + 0.0 ORDER BY d.k) AS context FROM d JOIN z ON d.doc_id = z.doc_id GROUP BY d.doc_id
 """)
 def q_attention_pool(spark, sf):
     s, sv, vecs = _vectors(spark, sf)
@@ -961,7 +988,7 @@ def q_attention_pool(spark, sf):
     # the projection has one entry per embedding dimension (bounded by the vector width)
     proj = [r["m"] for r in dims.orderBy("k").collect()]
     pooled = vec.attention_pool(occ, vecs, F.array(*[F.lit(float(x)) for x in proj]))
-    return pooled.select("doc_id", F.transform("context", lambda x: F.round(x, 6)).alias("context"))
+    return pooled.select("doc_id", F.transform("context", lambda x: F.round(x, 6) + F.lit(0.0)).alias("context"))
 
 
 @register("halves_sum", f"""
@@ -989,7 +1016,7 @@ SELECT 'stratified 45% train, 5% validation, 50% test split' AS split_method, 42
 def q_run_metadata(spark, sf):
     from glossa.operators.metadata import run_metadata
     s, train = train_tokens(spark, sf)
-    return run_metadata(s, vocab.nb_vocabulary(train), seed=SEED)
+    return run_metadata(s, vocab.nb_vocabulary(train), seed=SEED).withColumn("labels", F.to_json("labels"))
 
 
 @register("corpus_union", f"""
@@ -1005,6 +1032,39 @@ def q_corpus_union(spark, sf):
     return u.select("origin", "id", F.size(tx.tokenize("text")).alias("n_tokens"))
 
 
+@register("prepare_corpus", f"""
+WITH pooled AS (
+  SELECT 'd' || CAST(d.doc_id AS VARCHAR) AS doc_id, d.text, CAST(l.quality AS TINYINT) AS label, 'documents' AS origin
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+  UNION ALL SELECT 'c' || CAST(d.doc_id AS VARCHAR), d.text, CAST(l.quality AS TINYINT), 'copies'
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1),
+split AS (
+  SELECT doc_id, origin, label, text,
+    CASE WHEN rk <= (n * 500000) // 1000000 THEN 'test' WHEN rk <= (n * 550000) // 1000000 THEN 'validation' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || doc_id), doc_id) AS rk, count(*) OVER (PARTITION BY label) AS n FROM pooled)),
+tok AS (SELECT doc_id, origin, label, split, {TOK('text')} AS t FROM split),
+feats AS (SELECT DISTINCT doc_id, split, unnest(list_concat(t, {S.bigrams_sql('t')})) AS feature FROM tok),
+known AS (SELECT DISTINCT feature FROM feats WHERE split = 'train'),
+found AS (SELECT doc_id, count(*) AS n FROM feats JOIN known USING (feature) GROUP BY doc_id)
+SELECT t.doc_id, t.origin, t.label, t.split, CAST(len(t.t) AS INTEGER) AS n_tokens, coalesce(f.n, 0) AS n_features
+FROM tok t LEFT JOIN found f ON t.doc_id = f.doc_id
+""")
+def q_prepare_corpus(spark, sf):
+    """H8 over two corpora that share texts (and come with ids that are unique only together with their origin's letter)."""
+    from glossa.operators.prepare import prepare_corpus
+    from glossa.sources.sinks import work_folder
+
+    both = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    part = lambda letter, df: df.select(
+        F.concat(F.lit(letter), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.col("quality").alias("label"))
+    out = work_folder(spark, "prepare")
+    prepare_corpus({"documents": part("d", both), "copies": part("c", both.filter("toxic = 1"))}, out, seed=SEED)
+    counts = spark.read.parquet(f"{out}/features").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_features"))
+    rows = spark.read.parquet(f"{out}/splits")
+    return rows.join(counts, "doc_id", "left").select(
+        "doc_id", "origin", "label", "split", F.size("tokens").alias("n_tokens"), F.coalesce("n_features", F.lit(0)).alias("n_features"))
+
+
 @register("summary_union", f"""
 WITH {BUCKETS_SQL}
 SELECT model, CAST(NULL AS INTEGER) AS bucket_id, 'all' AS length_bucket, CAST(sum(samples) AS BIGINT) AS samples
@@ -1086,11 +1146,11 @@ FROM ct LEFT JOIN cs ON ct.conv_id = cs.conv_id AND ct.turn = cs.turn
 """)
 def q_stream_score(spark, sf):
     """The conversations file read as a stream and scored per micro-batch with the batch pipeline."""
-    from glossa.streaming.scoring import read_scored, score_stream, text_stream
+    from glossa.streaming.scoring import read_scored, score_stream, table_stream
 
     _, v, model = nb_model(spark, sf)
     schema = table(spark, sf, "conversations").select("conv_id", "turn", "text").schema
-    stream = text_stream(spark, sf.rstrip("/"), schema, file_glob="conversations.parquet")
+    stream = table_stream(spark, sf, "conversations", schema)
     query, out = score_stream(stream, lambda b: score_texts(b, v, model))
     query.awaitTermination()
     return read_scored(spark, out).select("conv_id", "turn", "score", "prediction")

@@ -23,13 +23,6 @@ from glossa.session import cut_lineage
 _ROW_BITS = 33
 
 
-def _ranges(df: DataFrame, partitions: int | None) -> int:
-    """Number of ranges: given, else one per core of the cluster."""
-    if partitions:
-        return partitions
-    return max(df.sparkSession.sparkContext.defaultParallelism, 1)
-
-
 def dense_index(df: DataFrame, order: Sequence[str | Column], index_col: str = "idx",
                 partition_by: Sequence[str] | None = None, start: int = 0,
                 partitions: int | None = None, group_size_col: str | None = None) -> DataFrame:
@@ -47,9 +40,9 @@ def dense_index(df: DataFrame, order: Sequence[str | Column], index_col: str = "
     """
     groups = list(partition_by or [])
     keys = [F.col(c) for c in groups] + [F.col(c) if isinstance(c, str) else c for c in order]
-    n = _ranges(df, partitions)
+    # without a number: the session's shuffle width, which adaptive execution fits to the measured size
     ranged = (
-        df.repartitionByRange(n, *keys)
+        (df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys))
         .sortWithinPartitions(*keys)
         .withColumn("_gl_mid", F.monotonically_increasing_id())
     )

@@ -6,17 +6,25 @@ parquet table here, partitioned by the column later jobs filter on.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossa.session import ensure_checkpoint_dir
 from glossa.sources.tables import PREDICTION_COLUMNS, require_columns
 
 MODEL_WEIGHT_COLUMNS = ["feature_id", "ratio", "w"]
 MODEL_PARAM_COLUMNS = ["alpha", "C", "intercept", "n_features"]
 
 
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder for a job's intermediate tables below the cluster's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def write_splits(split_df: DataFrame, path: str) -> None:
     """One table, partitioned by split (train / validation / test)."""
     require_columns(split_df, ["doc_id", "label", "split"])
@@ -44,8 +52,9 @@ def vocabulary(spark: SparkSession, path: str, build: Callable[[], DataFrame], r
     if reuse:
         try:
             return spark.read.parquet(path)
-        except Exception:  # absent: build below
-            pass
+        except AnalysisException as e:  # only an absent table is built; any other failure must not replace it
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -62,12 +71,13 @@ def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """A11 reload with the key check of the reference."""
     weights = spark.read.parquet(f"{path}/weights")
     params = spark.read.parquet(f"{path}/params")
-    try:
-        require_columns(weights, MODEL_WEIGHT_COLUMNS)
-        require_columns(params, MODEL_PARAM_COLUMNS)
-    except ValueError as e:
-        raise ValueError("Model artifact does not contain classifier and log_count_ratio.") from e
-    return weights, params.first().asDict()
+    require_columns(weights, MODEL_WEIGHT_COLUMNS, "Saved weights lack")
+    require_columns(params, MODEL_PARAM_COLUMNS, "Saved parameters lack")
+    row = params.first().asDict()
+    width = weights.agg(F.count(F.lit(1)).alias("n"), F.max("feature_id").alias("last")).first()
+    if width["n"] != row["n_features"] or (width["last"] is not None and width["last"] >= row["n_features"]):
+        raise ValueError(f"saved weights have {width['n']} features up to id {width['last']}, the parameters say {row['n_features']}")
+    return weights, row
 
 
 def write_predictions(pred: DataFrame, path: str) -> None:

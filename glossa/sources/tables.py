@@ -26,18 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+TEXT_PARTITIONS = "spark.glossa.text.partitions"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy per-row work (regex tokenising) every core.
+    """Partitioning of text scans for CPU-heavy per-row work (regex tokenising).
 
-    A scan split into fewer partitions than the cluster has cores (a small
-    file with one row group) is hash-partitioned on ``keys`` to the default
-    parallelism; a large input, already split into thousands of tasks, is
-    returned unchanged, so no shuffle is added at scale.
+    Files of many row groups are split well by the scan itself: unset, the
+    session setting ``spark.glossa.text.partitions`` adds nothing.  Set, it is
+    the number of hash partitions on ``keys``, for tables that are one small
+    unsplittable file.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+    partitions = df.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(partitions), *keys) if partitions else df
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, key: str, *cols: str) -> DataFrame:
@@ -62,15 +63,19 @@ def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType = COR
 
     ``multiLine`` files cannot be split between tasks; land them once to
     parquet (``land_parquet``) and read that for every later job.
+
+    The header names the columns: required names that it lacks are refused
+    (A2), further columns are dropped, and the order is free.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    def reader():
+        return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+
+    header = reader().csv(path)
+    require_columns(header, schema.fieldNames())
+    known = {f.name: f for f in schema}
+    found = T.StructType([known.get(c, T.StructField(c, T.StringType(), True)) for c in header.columns])
+    df = reader().schema(found).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    return df.select(*schema.fieldNames())
 
 
 def land_parquet(df: DataFrame, path: str) -> DataFrame:
@@ -79,7 +84,7 @@ def land_parquet(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def require_columns(df: DataFrame, required: Iterable[str], what: str = "Missing required column(s)") -> None:
+def require_columns(df: DataFrame, required: Iterable[str], what: str = "Columns not found") -> None:
     """Metadata-only check; message lists missing names sorted, comma-joined."""
     missing = set(required).difference(df.columns)
     if missing:
@@ -104,17 +109,16 @@ def quarantine(df: DataFrame, text_col: str = "text", label_col: str = "label")
 def validate_corpus(df: DataFrame, text_col: str = "text", label_col: str = "label") -> DataFrame:
     """A2-A5: check columns, nulls, label domain and emptiness; return typed rows.
 
-    Raises with the reference's messages; the single collected row is the
-    three counters of ``label_problems``.
+    The single collected row is the three counters of ``label_problems``.
     """
     require_columns(df, [text_col, label_col])
     stats = label_problems(df, text_col, label_col).first()
     if stats["rows"] == 0:
-        raise ValueError("The dataset is empty.")
+        raise ValueError("no rows in the corpus")
     if stats["missing"]:
-        raise ValueError("The dataset contains missing texts or labels.")
+        raise ValueError(f"{stats['missing']} rows lack a text or a label")
     if stats["bad_label"]:
-        raise ValueError("Labels must contain only 0 and 1.")
+        raise ValueError(f"{stats['bad_label']} rows have a label other than 0 or 1")
     return normalize_types(df, text_col, label_col)
 
 
@@ -130,24 +134,24 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
     return df
 
 
-def with_row_identity(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A stable key for corpora without one: md5 of the text plus occurrence number.
+def with_row_identity(df: DataFrame, origin: str = "", id_col: str = "doc_id") -> DataFrame:
+    """A stable key for corpora without one: md5 of origin, file and row position.
 
-    ``df`` must be a direct file scan: the occurrence number orders copies of
-    one text by file path and row position (``_metadata``), which is
-    deterministic and unique, so the distributed dense index can spread even
-    a text that fills a third of the corpus over many ranges.
+    ``df`` must be a direct file scan (``_metadata``).  The key is unique by
+    construction, also over several corpora pooled under different origins,
+    and needs neither a ranking nor a shuffle.
     """
     if id_col in df.columns:
         return df
-    from glossa.plans.ranking import dense_index
+    place = F.concat_ws("|", F.lit(origin), F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    return df.select("*", F.md5(place).alias(id_col))
 
-    keyed = df.select("*", F.col("_metadata.file_path").alias("_src_file"),
-                      F.col("_metadata.row_index").alias("_src_row"),
-                      F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_digest"))
-    ranked = dense_index(keyed, ["_src_file", "_src_row"], index_col="_occ", partition_by=["_digest"])
-    return ranked.withColumn(id_col, F.concat_ws("#", "_digest", F.col("_occ").cast("string"))).drop(
-        "_src_file", "_src_row", "_digest", "_occ")
+
+def require_unique(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Refuse a table in which a key names two rows."""
+    if not df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        raise ValueError(f"{key} is not unique")
+    return df
 
 
 def union_results(frames: Mapping[str, DataFrame]) -> DataFrame:
@@ -161,6 +165,7 @@ def union_results(frames: Mapping[str, DataFrame]) -> DataFrame:
     out = None
     for model, frame in frames.items():
         require_columns(frame, ["text", "label", "prediction"])
+        require_rows(frame, f"no predictions of {model}")
         part = frame.withColumn("model", F.lit(model))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     if out is None:
@@ -171,4 +176,4 @@ def union_results(frames: Mapping[str, DataFrame]) -> DataFrame:
         out = out.withColumn("correct", F.lit(None).cast("int"))
     out = out.withColumn("correct", F.coalesce(F.col("correct").cast("int"), correct_flag("label", "prediction")))
     cols = [c for c in PREDICTION_COLUMNS if c in out.columns]
-    return out.select(*cols)
+    return out.select(*cols, *[c for c in out.columns if c not in cols])

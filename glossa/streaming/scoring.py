@@ -25,8 +25,9 @@ def text_stream(spark: SparkSession, folder: str, schema: T.StructType, file_glo
                 max_files_per_trigger: int = 100) -> DataFrame:
     """Parquet file stream over a folder (explicit schema; streaming sources never infer).
 
-    ``file_glob`` restricts the stream to matching file names (new files
-    that match are picked up by later triggers).
+    ``folder`` may be a table's folder of part files or hold tables as single
+    files; ``file_glob`` restricts the stream to matching file names (new
+    files that match are picked up by later triggers).
     """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if file_glob:
@@ -34,6 +35,15 @@ def text_stream(spark: SparkSession, folder: str, schema: T.StructType, file_glo
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType, **options) -> DataFrame:
+    """Stream over the table ``<folder>/<name>.parquet``, be it one file or a folder of part files."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    if len(files) == 1 and files[0].endswith(f"/{name}.parquet"):  # a stream reads folders: pick the file out of its own
+        return text_stream(spark, folder.rstrip("/"), schema, file_glob=f"{name}.parquet", **options)
+    return text_stream(spark, path, schema, **options)
+
+
 def score_stream(stream: DataFrame, score_batch: Callable[[DataFrame], DataFrame], out_path: str | None = None,
                  checkpoint: str | None = None, available_now: bool = True):
     """Run ``score_batch`` on every micro-batch; returns (query, out_path).

@@ -16,6 +16,7 @@ def test_oracle(spark, name):
     r = compare(spark, name, SF001)
     assert r["spark_rows"] == r["duck_rows"], r
     assert r["hash_match"], r
+    assert r["types_match"], r["types"]
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SKIP_RUN))

@@ -32,7 +32,7 @@ def test_prepare_corpus_end_to_end(spark):
     assert vocab.count() == meta["total_features"]
     feats = spark.read.parquet(f"{d}/out/features")
     assert feats.join(vocab, "feature_id", "left_anti").count() == 0
-    assert spark.read.json(f"{d}/out/metadata").first()["labels"] == '{"negative":0,"positive":1}'
+    assert spark.read.json(f"{d}/out/metadata").first()["labels"].asDict() == {"negative": 0, "positive": 1}
 
 
 def test_row_identity_is_stable_and_unique(spark):
@@ -42,7 +42,6 @@ def test_row_identity_is_stable_and_unique(spark):
     ids1 = sorted(r["doc_id"] for r in tables.with_row_identity(spark.read.parquet(d)).collect())
     ids2 = sorted(r["doc_id"] for r in tables.with_row_identity(spark.read.parquet(d)).collect())
     assert ids1 == ids2 and len(set(ids1)) == 3
-    assert sum(i.endswith("#1") for i in ids1) == 1
 
 
 def test_compare_models_and_history_append(spark):
@@ -62,9 +61,9 @@ def test_compare_models_and_history_append(spark):
 def test_training_label_checks(spark):
     ok = spark.createDataFrame([(1,), (0,)], "label int")
     nb.check_training_labels(ok)
-    with pytest.raises(ValueError, match="both classes"):
+    with pytest.raises(ValueError, match="one class"):
         nb.check_training_labels(spark.createDataFrame([(1,), (1,)], "label int"))
-    with pytest.raises(ValueError, match="only 0 and 1"):
+    with pytest.raises(ValueError, match="other than 0 or 1"):
         nb.check_training_labels(spark.createDataFrame([(1,), (2,)], "label int"))
 
 

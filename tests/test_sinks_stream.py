@@ -45,7 +45,7 @@ def test_model_round_trip_and_key_check(spark):
     weights, params = sinks.load_model(spark, f"{d}/m")
     assert weights.count() == 1 and params["intercept"] == 0.2
     w.drop("ratio").write.mode("overwrite").parquet(f"{d}/m/weights")
-    with pytest.raises(ValueError, match="does not contain"):
+    with pytest.raises(ValueError, match="Saved weights lack"):
         sinks.load_model(spark, f"{d}/m")
 
 
