@@ -28,9 +28,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+"), "")
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """A column name that ``df`` does not have (case is ignored, as in Spark)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+def sealed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that no operator's own can clash with, and their names by the original ones."""
+    inner = {c: f"_in_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*inner.values()), inner
+
+
+def unsealed(inner: dict[str, str]) -> list[Column]:
+    """The original columns again, for a select."""
+    return [F.col(v).alias(c) for c, v in inner.items()]

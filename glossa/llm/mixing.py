@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import SPACE, free_name, read_table
+from glossa.llm.common import SPACE, read_table, sealed, unsealed
 from glossa.plans.ranking import dense_index
 from glossa.session import cut_lineage
 
@@ -122,17 +122,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it, all columns kept."""
-    key, nth, times = (free_name(docs, n) for n in ("_m_key", "_m_nth", "_m_times"))
     of = lambda d, s, h: F.xxhash64(d, F.coalesce(s, F.lit("null")), s.isNull(), h)
-    order = Window.partitionBy("m_key").orderBy("copies")
     plan = mix(docs.select("doc_id", "source", "text"), **options).select(
         of(F.col("doc_id"), F.col("source"), F.col("hash")).alias("m_key"), "copies")
-    plan = plan.withColumn("m_nth", F.row_number().over(order)).filter("copies > 0")
-    left = docs.withColumn(key, of(docs["doc_id"], docs["source"], F.xxhash64(docs["text"])))
+    plan = plan.withColumn("m_nth", F.row_number().over(Window.partitionBy("m_key").orderBy("copies"))).filter("copies > 0")
+    left, at = sealed(docs)
+    left = left.withColumn("key", of(F.col(at["doc_id"]), F.col(at["source"]), F.xxhash64(at["text"])))
     # rows that agree in doc_id, source and text are told apart by their place among them
-    left = left.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    out = left.join(plan, (F.col(key) == F.col("m_key")) & (F.col(nth) == F.col("m_nth")))
-    return out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    left = left.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    out = left.join(plan, (F.col("key") == F.col("m_key")) & (F.col("nth") == F.col("m_nth")))
+    return out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*unsealed(at))
 
 
 def op8_pivotal_mix(spark, sf_dir) -> DataFrame:

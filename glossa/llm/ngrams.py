@@ -58,5 +58,5 @@ def runs(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             if size >= RUN:
                 yield np.concatenate(held), np.concatenate(rows)
                 held, rows, size = [], [], 0
-    if held:
+    if size:
         yield np.concatenate(held), np.concatenate(rows)

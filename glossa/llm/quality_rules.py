@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import let, read_table, words
+from glossa.llm.common import let, read_table, sealed, unsealed, words
 from glossa.session import cut_lineage
 
 # Common words of each language (lists of function words).
@@ -148,12 +148,13 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     the same doc_id, text and language share a verdict, so this key needs no
     unique doc_id.
     """
-    text_hash = F.xxhash64(F.col("text"))
-    judged = judge(docs.select("doc_id", "lang", "text", text_hash.alias("_q_hash")), ["doc_id", "_q_hash"])
+    kept, at = sealed(docs)
+    doc_id, text, lang = (F.col(at[c]) for c in ("doc_id", "text", "lang"))
+    judged = judge(docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("_q_hash")), ["doc_id", "_q_hash"])
     rejected = judged.filter(~F.col("_q_kept")).select(
         F.col("doc_id").alias("_q_id"), "_q_hash", F.col("_q_lang").alias("_q_key_lang")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("_q_id")) & (F.xxhash64(docs["text"]) == F.col("_q_hash"))
-                     & docs["lang"].eqNullSafe(F.col("_q_key_lang")), "left_anti")
+    return kept.join(rejected, doc_id.eqNullSafe(F.col("_q_id")) & (F.xxhash64(text) == F.col("_q_hash"))
+                     & lang.eqNullSafe(F.col("_q_key_lang")), "left_anti").select(*unsealed(at))
 
 
 def op5_quality_rules(spark, sf_dir) -> DataFrame:

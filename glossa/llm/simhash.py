@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import free_name, read_table
+from glossa.llm.common import read_table, sealed, unsealed
 from glossa.llm.components import components, stars
 from glossa.session import cut_lineage
 
@@ -189,18 +189,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One row of each group of near-duplicates (smallest doc_id, nulls last), with all columns of ``docs``."""
-    key, nth = free_name(docs, "_s_key"), free_name(docs, "_s_nth")
     found = near_duplicates(docs.select("doc_id", "text"), shingle, bits)
     ordered = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
     kept = found.groupBy("root").agg(F.min(ordered).alias("first")).select(
         F.col("first.doc_id").alias("k_id"), F.col("first.hash").alias("k_hash"))
-    kept = kept.select("k_id", "k_hash", F.xxhash64("k_id", "k_hash").alias("k_key"))
-    text_hash = F.xxhash64(docs["text"])
-    out = docs.withColumn(key, F.xxhash64(docs["doc_id"], text_hash)).join(
-        kept, (F.col(key) == F.col("k_key")) & docs["doc_id"].eqNullSafe(F.col("k_id")) & (text_hash == F.col("k_hash")), "left_semi")
+    kept = kept.withColumn("k_key", F.xxhash64("k_id", "k_hash"))
+    out, at = sealed(docs)
+    doc_id, text_hash = F.col(at["doc_id"]), F.xxhash64(at["text"])
+    out = out.withColumn("key", F.xxhash64(doc_id, text_hash)).join(
+        kept, (F.col("key") == F.col("k_key")) & doc_id.eqNullSafe(F.col("k_id")) & (text_hash == F.col("k_hash")), "left_semi")
     # equal rows (same doc_id and text) have the same key: one of them stays
-    out = out.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key)))
-    return out.filter(F.col(nth) == 1).drop(key, nth)
+    out = out.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    return out.filter("nth = 1").select(*unsealed(at))
 
 
 def op7_simhash(spark, sf_dir) -> DataFrame:
