@@ -131,22 +131,22 @@ def cotrain(views: list[np.ndarray], y: np.ndarray, calibration: np.ndarray, poo
     fitted = [View(np.vstack([v[train], p]) if len(p) else v[train], 1e-2) for v, p in zip(views, pool, strict=True)]
     extra_rows: list[list] = [[], []]
     extra_y: list[list] = [[], []]
-    free = np.ones(len(pool[0]), dtype=bool)
+    free = [np.ones(len(pool[0]), dtype=bool) for _ in range(2)]  # by the view that would get the row
     for r in range(ROUNDS + 1):
         for k, view in enumerate(fitted):
             rows = np.concatenate(extra_rows[k]).astype(int) if extra_rows[k] else np.zeros(0, int)
             view.fit(np.vstack([views[k][train], pool[k][rows]]), np.concatenate([y[train], *extra_y[k]]))
             view.calibrate(views[k][calibration], y[calibration])
-        if r == ROUNDS or not free.any():
+        if r == ROUNDS or not any(f.any() for f in free):
             break
         share = y[train].mean()
         for k, view in enumerate(fitted):
             p = probability(view.score(pool[k]))
             for sign, part in ((1.0, share), (0.0, 1 - share)):
                 sure = p if sign else 1 - p
-                asked = np.flatnonzero(free & (sure >= SURE))
+                asked = np.flatnonzero(free[1 - k] & (sure >= SURE))
                 asked = asked[np.argsort(-sure[asked], kind="stable")][: int(np.ceil(PER_ROUND * part))]
-                free[asked] = False
+                free[1 - k][asked] = False
                 extra_rows[1 - k].append(asked)
                 extra_y[1 - k].append(np.full(len(asked), sign))
     z = np.stack([v.score(x[calibration]) for v, x in zip(fitted, views)], axis=1)
