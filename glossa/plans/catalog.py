@@ -1079,59 +1079,104 @@ def q_summary_union(spark, sf):
     return totals.unionByName(per_bucket)
 
 
-# ---------------------------------------------------------------- SVM fit (H1-H3), rows-only
+# ---------------------------------------------------------------- SVM fit (H1-H3)
 
-from glossa.operators import svm  # noqa: E402
+from glossa.operators import jobs, svm  # noqa: E402
 
 SVM_C = 0.05
 SVM_TOL = 1e-3
+SVM_MAX_ITER = 25  # reported by ``converged`` where it ends a fit
+STEP = 0.001
 
 
-def dense_ratio(model: DataFrame, n_features: int):
-    """The ratio vector as a dense array on the driver (model-sized, O(V))."""
-    import numpy as np
-
-    t = model.select("feature_id", "ratio").toArrow()
-    r = np.zeros(n_features)
-    r[t.column("feature_id").to_numpy()] = t.column("ratio").to_numpy()
-    return r
+def svm_cells() -> list:
+    """The grid, C-major, in the order of ``_grid_cells``."""
+    return [svm.Cell(c, f"ratio_{ai}") for _, c, _, ai in _grid_cells()]
 
 
-def svm_setup(spark, sf):
-    s, v, model = nb_model(spark, sf)
-    n_features = v.count()
-    r = dense_ratio(model, n_features)
-    # one matrix for all three parts (one build, one checkpoint), filtered per part
-    rows = svm.training_rows(presence(s, v), s.select("doc_id", "label", "split"), keep=("split",))
-    parts = {name: rows.filter(F.col("split") == name).drop("split") for name in ("train", "validation", "test")}
-    return r, parts
+def svm_inputs(spark, sf, alphas=tuple(ALPHAS)):
+    """(vocabulary, ratios per alpha, presence and document list by part) from one count table."""
+    s, train = train_tokens(spark, sf)
+    featured = train.select("doc_id", "label", tx.feature_set("tokens").alias("features"))
+    counted = nb.ratios_for_alphas(nb.class_doc_freq(nb.doc_features(featured)), list(alphas))
+    names = tuple(f"ratio_{i}" for i in range(len(alphas)))
+    indexed = cut_lineage(vocab.index_features(counted, keep=names))
+    v = indexed.select("feature_id", "kind", "w1", "w2", "feature")
+    part = lambda name: s.filter(F.col("split") == name)
+    rows = {name: (presence(part(name), v), part(name).select("doc_id", "label")) for name in ("train", "validation", "test")}
+    return v, indexed.select("feature_id", *names), rows
+
+
+FIXED_SQL = f"""{GRID_SQL},
+wv AS (SELECT feature_id, feature, 0.01::DOUBLE * (feature_id % 7 - 3) AS w FROM vocab),
+rw AS (SELECT wv.feature_id, wv.feature, wv.w, gr.ai, gr.r FROM wv JOIN gr ON wv.feature = gr.feature),
+td AS (SELECT doc_id, 2.0::DOUBLE * label - 1 AS y FROM stok WHERE split = 'train'),
+tocc AS (SELECT doc_id, feature FROM occ WHERE split = 'train'),
+mm AS (SELECT o.doc_id, rw.ai, sum(rw.r * rw.w) AS m FROM tocc o JOIN rw ON o.feature = rw.feature GROUP BY ALL),
+sl AS (SELECT td.doc_id, td.y, a.ai, greatest(0, 1 - td.y * (coalesce(mm.m, 0) + 0.1::DOUBLE)) AS s
+       FROM td CROSS JOIN alphas a LEFT JOIN mm ON mm.doc_id = td.doc_id AND mm.ai = a.ai),
+pull AS (SELECT o.feature, sl.ai, sum(-2 * sl.y * sl.s) AS g FROM tocc o JOIN sl ON o.doc_id = sl.doc_id GROUP BY ALL),
+gw AS (SELECT rw.feature_id, rw.ai, rw.w, rw.r * coalesce(pull.g, 0) AS g FROM rw LEFT JOIN pull ON pull.feature = rw.feature AND pull.ai = rw.ai)"""
+
+
+def _fixed_state(ratios: DataFrame, cells) -> DataFrame:
+    return ratios.withColumns({f"w{k}": 0.01 * ((F.col("feature_id") % 7) - 3) for k in range(len(cells))})
+
+
+@register("svm_objective", f"""
+WITH {FIXED_SQL},
+per AS (SELECT ai, sum(s * s) AS l, sum(-2 * y * s) AS b FROM sl GROUP BY ai)
+SELECT CAST(c.ci * {len(ALPHAS)} + a.ai AS INTEGER) AS cell_no, c.C, a.alpha,
+  round(0.5 * ((SELECT sum(w * w) FROM wv) + 0.1::DOUBLE * 0.1::DOUBLE) + c.C * per.l, 3) AS objective,
+  round((SELECT sum((gw.w + c.C * gw.g) * (gw.w + c.C * gw.g)) FROM gw WHERE gw.ai = a.ai) + pow(0.1::DOUBLE + c.C * per.b, 2), 3) AS grad_sq
+FROM alphas a CROSS JOIN cs c JOIN per ON per.ai = a.ai
+""")
+def q_svm_objective(spark, sf):
+    """H1, H2: objective and squared gradient norm of every cell at one fixed (w, b)."""
+    _, ratios, rows = svm_inputs(spark, sf)
+    cells = svm_cells()
+    _, got = svm.evaluate(svm.Matrix(*rows["train"]), _fixed_state(ratios, cells), cells, [0.1] * len(cells))
+    return spark.createDataFrame([(no, c, al, round(r["objective"], 3), round(r["grad_sq"], 3)) for (no, c, al, _), r in zip(_grid_cells(), got)],
+                                 "cell_no int, C double, alpha double, objective double, grad_sq double")
+
+
+@register("svm_step", f"""
+WITH {FIXED_SQL}
+SELECT feature_id, round(w - {STEP} * (w + {SVM_C}::DOUBLE * g), 6) + 0.0 AS w FROM gw WHERE ai = 0
+""")
+def q_svm_step(spark, sf):
+    """H1: the weights after one fixed step against the gradient of the first cell."""
+    _, ratios, rows = svm_inputs(spark, sf, ALPHAS[:1])
+    cells = [svm.Cell(SVM_C, "ratio_0")]
+    state, _ = svm.evaluate(svm.Matrix(*rows["train"]), _fixed_state(ratios, cells), cells, [0.1])
+    return state.select("feature_id", (F.round(F.col("w0") - STEP * F.col("n0"), 6) + F.lit(0.0)).alias("w"))
 
 
 @register("svm_fit")
 def q_svm_fit(spark, sf):
     """H1 + H3: fit on the train part, report objective, convergence and accuracies (one row)."""
-    r, parts = svm_setup(spark, sf)
-    fitted = svm.fit(parts["train"], r, C=SVM_C, tol=SVM_TOL)
-    val = svm.decision_scores(parts["validation"], r, fitted).join(
-        parts["validation"].select("doc_id", "y"), "doc_id")
-    acc = val.agg(F.avg(((F.col("score") > 0) == (F.col("y") > 0)).cast("double")).alias("a")).first()["a"]
+    v, ratios, rows = svm_inputs(spark, sf, [ALPHA])
+    cells = [svm.Cell(SVM_C, "ratio_0")]
+    fitted = svm.fit(svm.Matrix(*rows["train"]), ratios, cells, tol=SVM_TOL, max_iter=SVM_MAX_ITER)
+    right = lambda part: svm.scores(*rows[part], fitted, cells).agg(
+        F.avg(((F.col("score0") > 0) == (F.col("label") == 1)).cast("double"))).first()[0]
     return spark.createDataFrame(
-        [(ALPHA, SVM_C, int(r.size), fitted.iterations, fitted.passes, fitted.objective,
-          fitted.grad_norm / max(fitted.grad_norm0, 1e-300), fitted.b, fitted.train_accuracy, float(acc))],
-        "alpha double, C double, n_features long, iterations long, passes long, objective double, "
-        "grad_ratio double, intercept double, train_accuracy double, validation_accuracy double")
+        [(ALPHA, SVM_C, v.count(), fitted.iterations, fitted.converged[0], fitted.objectives[0], fitted.grad_ratios[0], fitted.biases[0],
+          right("train"), right("validation"))],
+        "alpha double, C double, n_features long, iterations long, converged boolean, objective double, grad_ratio double, "
+        "intercept double, train_accuracy double, validation_accuracy double")
 
 
 @register("svm_predict")
 def q_svm_predict(spark, sf):
-    """H4 with fitted weights: test predictions (doc_id, label, score, prediction, correct)."""
-    r, parts = svm_setup(spark, sf)
-    fitted = svm.fit(parts["train"], r, C=SVM_C, tol=SVM_TOL)
-    scored = svm.decision_scores(parts["test"], r, fitted).join(parts["test"].select("doc_id", "y"), "doc_id")
-    pred = sc.svm_label("score")
-    label = (F.col("y") > 0).cast("tinyint")
-    return scored.select("doc_id", label.alias("label"), "score", pred.alias("prediction"),
-                         tx.correct_flag(label, pred).alias("correct"))
+    """H3 + H4: the training job saves its best cell, the evaluation job loads it and scores the test part."""
+    from glossa.sources.sinks import work_folder
+
+    v, ratios, rows = svm_inputs(spark, sf, [ALPHA])
+    path = work_folder(spark, "svm")
+    jobs.train(rows["train"], rows["validation"], ratios, [svm.Cell(SVM_C, "ratio_0")], [ALPHA], path, tol=SVM_TOL, max_iter=SVM_MAX_ITER)
+    out = jobs.evaluate(spark, path, *rows["test"], v.count())
+    return out.select("doc_id", "label", "score", "prediction", "correct")
 
 
 # ---------------------------------------------------------------- streaming form of H7
@@ -1158,32 +1203,15 @@ def q_stream_score(spark, sf):
 
 @register("svm_grid_search")
 def q_svm_grid_search(spark, sf):
-    """H2 + D16 + H3: SVM fits of every (C, alpha) cell, validation accuracy, best cell flagged.
+    """H2 + D16: SVM fits of every (C, alpha) cell, validation accuracy, best cell flagged.
 
     The alpha-free counts are computed once; each alpha is a projection of
     them, and all sixteen fits share every data pass.
     """
-    import numpy as np
-
-    s, train = train_tokens(spark, sf)
-    featured = train.select("doc_id", "label", tx.feature_set("tokens").alias("features"))
-    ratios_df = nb.ratios_for_alphas(nb.class_doc_freq(nb.doc_features(featured)), ALPHAS)
-    indexed = vocab.index_features(ratios_df, keep=tuple(f"ratio_{i}" for i in range(len(ALPHAS))))
-    v = indexed.select("feature_id", "kind", "w1", "w2", "feature")
-    n_features = v.count()
-    t = indexed.drop("feature", "kind", "w1", "w2").toArrow()
-    ids = t.column("feature_id").to_numpy()
-    ratios = {}
-    for i, a in enumerate(ALPHAS):
-        r = np.zeros(n_features)
-        r[ids] = t.column(f"ratio_{i}").to_numpy()
-        ratios[a] = r
-    both = s.filter(F.col("split") != "test")
-    matrix = svm.training_rows(presence(both, v), both.select("doc_id", "label", "split"), keep=("split",))
-    rows = {name: matrix.filter(F.col("split") == name).drop("split") for name in ("train", "validation")}
-    results, _ = svm.grid_search(rows["train"], rows["validation"], ratios, CS, tol=SVM_TOL)
+    _, ratios, rows = svm_inputs(spark, sf)
+    cells = svm_cells()
+    results, _ = svm.grid_search(svm.Matrix(*rows["train"]), ratios, cells, *rows["validation"], tol=SVM_TOL, max_iter=SVM_MAX_ITER)
     return spark.createDataFrame(
-        [(r["cell_no"], r["C"], r["alpha"], r["validation_accuracy"], r["iterations"], r["objective"], r["is_best"])
-         for r in results],
-        "cell_no int, C double, alpha double, validation_accuracy double, iterations long, objective double, "
-        "is_best boolean")
+        [(r["cell_no"], r["C"], alpha, r["validation_accuracy"], r["objective"], r["grad_ratio"], r["converged"], r["is_best"])
+         for r, (_, _, alpha, _) in zip(results, _grid_cells())],
+        "cell_no int, C double, alpha double, validation_accuracy double, objective double, grad_ratio double, converged boolean, is_best boolean")
