@@ -20,6 +20,7 @@ than a sequence; empty table: empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -38,7 +39,7 @@ POPULATION = 4
 GENERATIONS = 5
 ROUNDS = 3
 SETTLED = 0.995       # bins at least this full are final before the last round
-CACHE = 500_000       # tokenised words a worker keeps
+CACHE = 1_200_000     # tokenised words a worker keeps
 
 
 # --------------------------------------------------------------- tokenising
@@ -47,37 +48,79 @@ class Encoder:
     """Token ids of whole texts as little-endian bytes.
 
     The vocabulary's splitting rule always breaks before a space that is
-    followed by another character than white space, so what stands between
-    such spaces is encoded once per worker and kept.  A text with white space
-    after a space is encoded whole.
+    followed by another character than white space, around a run of newlines
+    between such characters (whose last newline stands alone), and between a
+    letter and a comma or full stop.  What stands between is encoded once per
+    worker and kept.  A text with other white space next to a space or newline
+    is encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}   # by word, the space before it implied
+        self.firsts: dict[str, bytes] = {}  # by word at the start of a line
+        self.newlines: dict[int, bytes] = {0: b""}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = dict(zip(",.", self._raw([",", "."])))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, into: dict[str, bytes], fresh: set[str], lead: str) -> None:
+        """Encodes new words; one that ends in a comma or full stop behind a letter shares its stem's ids."""
+        stems = {w: w[:-1] for w in fresh if len(w) > 1 and w[-1] in ",." and w[-2].isalpha()}
+        plain = list(fresh.difference(stems).union(stems.values()).difference(into))
+        into.update(zip(plain, self._raw([lead + w for w in plain])))
+        into.update((w, into[stem] + self.ends[w[-1]]) for w, stem in stems.items())
+
+    def _newline(self, n: int) -> bytes:
+        if n not in self.newlines:
+            self.newlines[n] = self._raw(["\n" * n])[0]
+        return self.newlines[n]
+
+    def _looked_up(self, text: str, heads: list, missing: list) -> list | None:
+        """Lists of ids and newline runs of a text, gaps noted in ``heads`` and ``missing``; None if it must be encoded whole."""
+        if any(s in text for s in self.special):
+            return None
+        out, run, known = [], -1, self.known.get
+        for line in text.split("\n"):
+            run += 1
+            if not line:
+                continue
+            if line[0].isspace() or line[-1].isspace():
+                return None
+            if run:
+                out.append([self._newline(run - 1), self._newline(1)] if run > 1 else [self._newline(1)])
+            run = 0
+            head, *ws = line.split(" ")
+            got = list(map(known, ws))
+            if None in got:
+                gaps = [(got, i, ws[i]) for i, x in enumerate(got) if x is None]
+                if any(not w or w[0].isspace() for _, _, w in gaps):
+                    return None
+                missing += gaps
+            first = [self.firsts.get(head)]
+            if first[0] is None:
+                heads.append((first, 0, head))
+            out += [first, got]
+        if run > 0:
+            out.append([self._newline(run)])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
             self.known, self.firsts = {}, {}
-        split = [t.split(" ") for t in texts]
-        fresh = list(set(chain.from_iterable(p[1:] for p in split)).difference(self.known))
-        plain = [w for w in fresh if w and not w[0].isspace()]
-        self.known.update(zip(plain, self._raw([" " + w for w in plain])))
-        heads = list({p[0] for p in split}.difference(self.firsts))
-        self.firsts.update(zip(heads, self._raw(heads)))
-        out = []
-        for text, parts in zip(texts, split):
-            try:
-                out.append(b"".join([self.firsts[parts[0]], *map(self.known.__getitem__, parts[1:])]))
-            except KeyError:
-                out.append(self._raw([text])[0])
-        return out
+        heads: list = []
+        missing: list = []
+        found = [self._looked_up(t, heads, missing) for t in texts]
+        for into, gaps, lead in ((self.firsts, heads, ""), (self.known, missing, " ")):
+            self._learn(into, {w for _, _, w in gaps}, lead)
+            for got, i, w in gaps:
+                got[i] = into[w]
+        whole = iter(self._raw([t for t, f in zip(texts, found) if f is None]))
+        return [next(whole) if f is None else b"".join(chain.from_iterable(f)) for f in found]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -86,8 +129,10 @@ _ENCODERS: dict[str, Encoder] = {}
 def _encoder(path: str) -> Encoder:
     """One per Python worker, wherever tasks of this module run."""
     if path not in _ENCODERS:
+        import gc
         import os
 
+        gc.set_threshold(200_000, 50, 100)  # the kept words are many long-lived objects
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
