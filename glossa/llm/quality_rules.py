@@ -165,3 +165,53 @@ def op5_quality_rules(spark, sf_dir) -> DataFrame:
         F.col("_q_dup_lines").alias("n_dup_lines"), F.col("_q_repeat").alias("n_repeat_words"),
         F.round("_q_dc", 6).alias("char_distance"), F.round("_q_dw", 6).alias("word_distance"),
         F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"))
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_SQL_DISTANCE = """CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(
+  list_zip(list_transform({p}, lambda x: x / list_sum({p})), list_transform({q}, lambda x: x / list_sum({q}))),
+  lambda z: 0.5 * (CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END
+                 + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END))))) ELSE 0 END"""
+
+_SQL_COUNT = "length(text) - length(regexp_replace(text, '{}', '', 'g'))"
+
+ORACLE_SQL = f"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text,
+    CASE lang {" ".join(f"WHEN '{k}' THEN {_sql_list(v)}" for k, v in COMMON_WORDS.items())} ELSE {_sql_list(ALL_WORDS)} END AS listed
+  FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+grams AS (
+  SELECT rid, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY rid),
+m AS (
+  SELECT w.rid, doc_id, lang, length(text) AS chars, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+    {_SQL_COUNT.format("[#*$%&|<>]")} AS n_symbols, {_SQL_COUNT.format("[0-9]")} AS digits, {_SQL_COUNT.format("[[:upper:]]").replace("[[:upper:]]", chr(92) + "p{Lu}")} AS upper,
+    {_SQL_COUNT.format("[.,;:!?''" + chr(92) + "x22()" + chr(92) + "-]")} AS points,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+    list_transform(listed, lambda x: len(list_filter(ws, lambda y: y = x))::DOUBLE) AS common
+  FROM w LEFT JOIN covered ON covered.rid = w.rid),
+h AS (
+  SELECT *, list_transform([chars - word_chars, n_symbols, digits, upper, points,
+      greatest(0, word_chars - n_symbols - digits - upper - points)], lambda x: x::DOUBLE) AS hc,
+    list_append(common, n_words - coalesce(list_sum(common), 0)) AS hw FROM m),
+parts AS (
+  SELECT lang, 0 AS kind, generate_subscripts(hc, 1) AS k, unnest(hc) AS x FROM h
+  UNION ALL SELECT lang, 1, generate_subscripts(hw, 1), unnest(hw) FROM h),
+sums AS (SELECT lang, kind, k, sum(x) AS x FROM parts GROUP BY ALL),
+refs AS (SELECT lang, list(x ORDER BY k) FILTER (kind = 0) AS rc, list(x ORDER BY k) FILTER (kind = 1) AS rw FROM sums GROUP BY lang),
+far AS (
+  SELECT h.*, {_SQL_DISTANCE.format(p="hc", q="rc")} AS dc, {_SQL_DISTANCE.format(p="hw", q="rw")} AS dw,
+    n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed
+  FROM h JOIN refs ON h.lang IS NOT DISTINCT FROM refs.lang)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, round(dc, 6) AS char_distance, round(dw, 6) AS word_distance, base_failed,
+  NOT (base_failed OR (chars >= {CHAR_GUARD} AND dc > {MAX_CHAR_DISTANCE}) OR (n_words >= {WORD_GUARD} AND dw > {MAX_WORD_DISTANCE})) AS kept
+FROM far
+"""
