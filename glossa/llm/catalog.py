@@ -25,6 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_redirect_filter": url_filter.ORACLE_SQL,
+    "op2_line_templates": line_templates.ORACLE_SQL,
     "op3_entropy_secrets": secret_scan.ORACLE_SQL,
+    "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op10_cover_tree": cover_tree.ORACLE_SQL,
 }

@@ -6,13 +6,13 @@ in a leaf share a template: at each position the token that more than half of
 the leaf's lines hold, else the wildcard, so numbers, names and edited words
 become variable fields.  A line belongs to its leaf's template if at least
 ``SIMILARITY`` of its positions agree with the template's tokens; a line that
-does not is a template of its own.  A template found in ``MIN_DOCS`` documents
+does not is a template of its own.  A template found in two documents
 or more is dropped, but for its first occurrence (smallest doc_id, then line),
 so that no content leaves the corpus altogether.
 
-Only hashes of lines are shuffled to find leaves and templates; token arrays
+Only hashes of lines are shuffled to find leaves and templates; token hashes
 are fetched for one line of each distinct wording in leaves that hold several.
-The texts are shuffled once for those and once to take the lines out.
+The texts themselves are shuffled once, to take the lines out.
 
 Defined cases: null text stays null and has no lines; lines without a token
 are never judged and stay; repeated rows (same doc_id and text) count as one
@@ -25,12 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import read_table, words
+from glossa.llm.common import let, read_table, sealed, unsealed, words
 from glossa.session import cut_lineage
 
 DEPTH = 3
 SIMILARITY = 0.8
-MIN_DOCS = 2
 WILD = "<*>"
 
 
@@ -39,11 +38,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("_l_id"), F.xxhash64("text").alias("_l_hash"), F.col("text").alias("_l_text"))
 
 
+def _tokens(line: Column) -> Column:
+    masked = F.when(line.rlike(r"\d"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*\d[^\x20\x09-\x0D]*", WILD))
+    return words(F.coalesce(masked, line))
+
+
 def _exploded(keyed: DataFrame) -> DataFrame:
     """One row per line with a token: key, line number, masked tokens."""
     lines = keyed.select("_l_id", "_l_hash", F.posexplode(F.split("_l_text", "\n")).alias("_l_no", "_l_line"))
-    masked = F.when(F.col("_l_line").rlike(r"\d"), F.regexp_replace("_l_line", r"[^\x20\x09-\x0D]*\d[^\x20\x09-\x0D]*", WILD))
-    lines = lines.withColumn("_l_tokens", words(F.coalesce(masked, F.col("_l_line"))))
+    lines = lines.withColumn("_l_tokens", _tokens(F.col("_l_line")))
     return lines.filter(F.size("_l_tokens") > 0)
 
 
@@ -90,9 +93,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     members = leaf_members(keyed, leaves)
     named = leaves.join(members, (F.col("_l_leaf") == F.col("m_leaf")) & (F.col("_l_exact") == F.col("m_exact")), "left").select(
         "_l_id", "_l_hash", "_l_no", F.when(F.col("m_leaf").isNull(), F.xxhash64("_l_leaf", "_l_exact")).otherwise(F.col("_l_leaf")).alias("_l_template"))
-    per_doc = named.groupBy("_l_template", "_l_id", "_l_hash").agg(F.min("_l_no").alias("no"))
-    recurring = per_doc.groupBy(F.col("_l_template").alias("r_template")).agg(
-        F.count("*").alias("n"), F.min(F.struct("_l_id", "_l_hash", "no")).alias("first")).filter(F.col("n") >= MIN_DOCS)
+    document = F.struct("_l_id", "_l_hash")
+    recurring = named.groupBy(F.col("_l_template").alias("r_template")).agg(
+        F.min(F.struct("_l_id", "_l_hash", F.col("_l_no").alias("no"))).alias("first"), F.min(document).alias("least"),
+        F.max(document).alias("most")).filter(~F.col("least").eqNullSafe(F.col("most"))).select("r_template", "first")
     first = F.struct("_l_id", "_l_hash", F.col("_l_no").alias("no"))
     return named.join(recurring, F.col("_l_template") == F.col("r_template")).filter(~first.eqNullSafe(F.col("first"))).distinct().groupBy(
         F.col("_l_id").alias("_d_id"), F.col("_l_hash").alias("_d_hash")).agg(F.collect_list("_l_no").alias("_d_lines"))
@@ -101,18 +105,55 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, plus ``_d_before`` and ``_d_dropped`` (line counts)."""
     gone = dropped_lines(docs)
-    df = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_d_id")) & (F.xxhash64(docs["text"]) == F.col("_d_hash")), "left")
-    lines = F.split(docs["text"], "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size("_d_all") - 1), F.col("_d_lines"))
-    text = F.when(F.col("_d_lines").isNull(), docs["text"]).otherwise(
-        F.array_join(F.transform(left, lambda i: F.get(F.col("_d_all"), i)), "\n"))
-    df = df.withColumns({"_d_all": lines, "_d_before": F.coalesce(F.size(lines), F.lit(0)).cast("long")})
-    df = df.withColumn("_d_before", F.when(docs["text"].isNull(), F.lit(0).cast("long")).otherwise(F.col("_d_before")))
-    return df.withColumns({"_d_text": text, "_d_dropped": F.coalesce(F.size("_d_lines"), F.lit(0)).cast("long")}).select(
-        *[F.col("_d_text").alias(c) if c == "text" else docs[c] for c in docs.columns], "_d_before",
-        F.when(F.col("_d_lines").isNull(), F.lit(0).cast("long")).otherwise(F.col("_d_dropped")).alias("_d_dropped"))
+    df, at = sealed(docs)
+    text = F.col(at["text"])
+    df = df.join(gone, F.col(at["doc_id"]).eqNullSafe(F.col("_d_id")) & (F.xxhash64(text) == F.col("_d_hash")), "left")
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_d_lines"))
+    cut = let(F.split(text, "\n"), lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))
+    number = lambda c, otherwise: F.when(c, F.lit(0)).otherwise(otherwise).cast("long")
+    df = df.withColumns({
+        "_d_before": number(text.isNull(), F.size(F.split(text, "\n"))),
+        "_d_dropped": number(F.col("_d_lines").isNull(), F.size("_d_lines")),
+        at["text"]: F.when(F.col("_d_lines").isNull(), text).otherwise(cut),
+    })
+    return df.select(*unsealed(at), "_d_before", "_d_dropped")
 
 
 def op2_line_templates(spark, sf_dir) -> DataFrame:
     out = drop_recurring_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", F.col("_d_before").alias("n_lines"), F.col("_d_dropped").alias("n_dropped"))
+
+
+_GAP = r"[\x20\x09-\x0D]"
+
+ORACLE_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT rid, doc_id, i AS no, ls[i] AS line FROM (SELECT rid, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)),
+toks AS (
+  SELECT rid, doc_id, no, list_filter(regexp_split_to_array(
+    regexp_replace(line, '[^{_GAP[1:-1]}]*[0-9][^{_GAP[1:-1]}]*', '{WILD}', 'g'), '{_GAP}+'), lambda x: x <> '') AS w FROM lines),
+keyed AS (
+  SELECT rid, doc_id, no, w, concat_ws(chr(10), len(w), coalesce(w[1], ''), coalesce(w[2], ''), coalesce(w[3], '')) AS leaf,
+    array_to_string(w, ' ') AS wording FROM toks WHERE len(w) > 0),
+wordings AS (SELECT leaf, wording, count(*) AS times, any_value(w) AS w FROM keyed GROUP BY leaf, wording),
+busy AS (SELECT * FROM wordings WHERE leaf IN (SELECT leaf FROM wordings GROUP BY leaf HAVING count(*) > 1)),
+places AS (SELECT leaf, wording, times, len(w) AS n, generate_subscripts(w, 1) AS pos, unnest(w) AS tok FROM busy),
+support AS (SELECT leaf, pos, tok, sum(times) AS n FROM places GROUP BY ALL),
+fields AS (SELECT leaf, pos, CASE WHEN 2 * max(n) > sum(n) THEN max_by(tok, n) END AS tok FROM support GROUP BY leaf, pos),
+members AS (
+  SELECT p.leaf, p.wording FROM places p JOIN fields f ON p.leaf = f.leaf AND p.pos = f.pos
+  GROUP BY p.leaf, p.wording HAVING count(*) FILTER (p.tok = f.tok) >= {SIMILARITY}::DOUBLE * any_value(p.n)),
+named AS (
+  SELECT k.rid, k.doc_id, k.no, CASE WHEN m.leaf IS NULL THEN 'w' || k.leaf || chr(10) || k.wording ELSE 'l' || k.leaf END AS template
+  FROM keyed k LEFT JOIN members m ON k.leaf = m.leaf AND k.wording = m.wording),
+recurring AS (
+  SELECT template, min({{'doc_id': doc_id, 'no': no}}) AS first FROM named GROUP BY template HAVING count(DISTINCT rid) > 1),
+gone AS (
+  SELECT n.rid, n.no FROM named n JOIN recurring r ON n.template = r.template WHERE {{'doc_id': n.doc_id, 'no': n.no}} <> r.first),
+kept AS (
+  SELECT l.rid, string_agg(l.line, chr(10) ORDER BY l.no) AS text FROM lines l ANTI JOIN gone g ON l.rid = g.rid AND l.no = g.no GROUP BY l.rid),
+counts AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT t.doc_id, CASE WHEN t.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+  coalesce(len(t.ls), 0)::BIGINT AS n_lines, coalesce(counts.n, 0)::BIGINT AS n_dropped
+FROM t LEFT JOIN kept ON kept.rid = t.rid LEFT JOIN counts ON counts.rid = t.rid
+"""
