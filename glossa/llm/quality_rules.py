@@ -11,9 +11,13 @@ One pass over the texts: the per-document counts are checkpointed (a few
 dozen numbers a row); references and verdicts are built from them.
 
 Defined cases: null or blank text has no words (rejected by the length rule);
-null language: the documents without language form a language of their own
-with the words of all lists; repeated rows are judged one by one and each
-counts in the reference; an empty table gives an empty result; further
+null language: the document is judged against the reference of every listed
+language and kept if one of them would keep it (a listed language that no
+document names gets its reference from the documents without language that
+hold enough of its common words; without any reference only the length and
+repetition rules apply); a language without a list is judged against the
+listed ones and its own, with the words of all lists; repeated rows are judged
+one by one and each counts in the reference; an empty table gives an empty result; further
 columns are kept by ``filter_documents`` and ignored by ``judge``.
 """
 
@@ -40,6 +44,7 @@ CHAR_GUARD = 200      # characters a text needs before its class histogram is ju
 WORD_GUARD = 50       # words a text needs before its common-word histogram is judged
 MAX_CHAR_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.297
+GUESS_SHARE = 0.08    # share of a list's words that makes a text without language count as that language
 
 
 def _repeat_words(ws: Column, n: Column) -> Column:
@@ -110,35 +115,84 @@ def _histograms(df: DataFrame) -> DataFrame:
         "_q_hw": F.concat(F.transform("_q_common", lambda x: x.cast("double")), F.array(as_double(others)))})
 
 
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def _of_list(hw: Column, places: Column) -> Column:
+    """The histogram over the words at ``places`` (and all others) from the one over the words of all lists."""
+    return let(F.transform(places, lambda i: F.get(hw, i)), lambda found: F.concat(found, F.array(_total(hw) - _total(found))))
+
+
+def _places(lang: str) -> Column:
+    return F.array(*[F.lit(ALL_WORDS.index(w)) for w in COMMON_WORDS[lang]])
+
+
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of equal length; 0 if either is empty."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    share = lambda a: let(total(a), lambda s: F.transform(a, lambda x: x / s))
+    share = lambda a: let(_total(a), lambda s: F.transform(a, lambda x: x / s))
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
-    both = lambda a, b: F.sqrt(F.greatest(F.lit(0.0), total(F.zip_with(
+    both = lambda a, b: F.sqrt(F.greatest(F.lit(0.0), _total(F.zip_with(
         a, b, lambda x, y: 0.5 * (term(x, (x + y) / 2) + term(y, (x + y) / 2))))))
-    return F.when((total(p) > 0) & (total(q) > 0), both(share(p), share(q))).otherwise(0.0)
+    return F.when((_total(p) > 0) & (_total(q) > 0), both(share(p), share(q))).otherwise(0.0)
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """One row per language: the summed histograms of all its documents."""
+    """One row per language: the summed histograms of all its documents.
+
+    Documents without language are summed by the list whose words they hold
+    most (``_q_guess``, null if too few), as histograms of that list.
+    """
     sums = lambda c, n: F.array(*[F.sum(F.get(F.col(c), F.lit(i))) for i in range(n)])
     width = max(len(ALL_WORDS), *map(len, COMMON_WORDS.values())) + 1
-    return _histograms(measured).groupBy(F.col("_q_lang").alias("_q_ref")).agg(
+    hw = F.col("_q_hw")
+    most = F.array_max(F.array(*[F.struct((1 - F.element_at(_of_list(hw, _places(k)), -1) / F.col("_q_n")).alias("share"), F.lit(k).alias("lang"))
+                                 for k in COMMON_WORDS]))
+    guess = F.when(F.col("_q_lang").isNull() & (F.col("_q_n") >= WORD_GUARD), let(
+        most, lambda m: F.when(m["share"] >= GUESS_SHARE, m["lang"])))
+    df = _histograms(measured).groupBy(F.col("_q_lang").alias("_q_ref"), guess.alias("_q_guess")).agg(
         sums("_q_hc", 6).alias("_q_rc"),
         F.filter(sums("_q_hw", width), lambda x: x.isNotNull()).alias("_q_rw"))
+    rw = F.col("_q_rw")
+    for k in COMMON_WORDS:
+        rw = F.when(F.col("_q_guess") == k, _of_list(F.col("_q_rw"), _places(k))).otherwise(rw)
+    return df.withColumn("_q_rw", rw)
+
+
+def _listed(known: DataFrame) -> Column:
+    """The references of the listed languages (two rows each at most reach the driver) as an array of constants."""
+    rows = known.filter(F.coalesce("_q_ref", "_q_guess").isin(list(COMMON_WORDS))).collect()
+    by_lang = {r["_q_ref"] or r["_q_guess"]: r for r in sorted(rows, key=lambda r: r["_q_ref"] is not None)}
+    doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    return F.array(*[F.struct(_places(k).alias("places"), doubles(r["_q_rc"]).alias("rc"), doubles(r["_q_rw"]).alias("rw"))
+                     for k, r in sorted(by_lang.items())]).cast(_CANDIDATES)
+
+
+_CANDIDATES = "array<struct<places:array<int>,rc:array<double>,rw:array<double>>>"
 
 
 def judge(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lang",
           max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
     """``keep`` plus counts, both distances, ``_q_base_failed`` and ``_q_kept``, one row per input row."""
     measured = cut_lineage(measures(docs, keep, text, lang))
-    df = _histograms(measured).join(references(measured), F.col("_q_lang").eqNullSafe(F.col("_q_ref")))
-    df = df.withColumns({"_q_dc": js_distance(F.col("_q_hc"), F.col("_q_rc")), "_q_dw": js_distance(F.col("_q_hw"), F.col("_q_rw"))})
+    known = cut_lineage(references(measured))
+    df = _histograms(measured).join(known.filter(F.col("_q_ref").isNotNull()), F.col("_q_lang") == F.col("_q_ref"), "left")
+    own = F.array(F.struct(F.lit(None).cast("array<int>").alias("places"), F.col("_q_rc").alias("rc"), F.col("_q_rw").alias("rw"))).cast(_CANDIDATES)
+    listed = _listed(known)
+    against = F.when(F.col("_q_lang").isNull(), listed).when(F.col("_q_lang").isin(list(COMMON_WORDS)), own).otherwise(F.concat(listed, own))
+
+    def verdict(c: Column) -> Column:
+        hw = F.when(c["places"].isNull(), F.col("_q_hw")).otherwise(_of_list(F.col("_q_hw"), c["places"]))
+        distances = let(hw, lambda h: F.struct(js_distance(h, c["rw"]).alias("dw"), js_distance(F.col("_q_hc"), c["rc"]).alias("dc")))
+        far = lambda d: ((F.col("_q_chars") >= CHAR_GUARD) & (d["dc"] > max_char_distance)) | (
+            (F.col("_q_n") >= WORD_GUARD) & (d["dw"] > max_word_distance))
+        return let(distances, lambda d: F.struct(far(d).alias("far"), d["dw"].alias("dw"), d["dc"].alias("dc")))
+
+    none = F.struct(F.lit(False).alias("far"), F.lit(0.0).alias("dw"), F.lit(0.0).alias("dc"))
+    df = df.withColumn("_q_best", F.coalesce(F.array_min(F.transform(against, verdict)), none))
     failed = (F.col("_q_n") < MIN_WORDS) | (100 * F.col("_q_repeat") > MAX_REPEAT_PCT * F.col("_q_n"))
-    far = ((F.col("_q_chars") >= CHAR_GUARD) & (F.col("_q_dc") > max_char_distance)) | (
-        (F.col("_q_n") >= WORD_GUARD) & (F.col("_q_dw") > max_word_distance))
-    return df.withColumn("_q_base_failed", failed).withColumn("_q_kept", ~failed & ~far)
+    df = df.withColumns({"_q_dc": F.col("_q_best.dc"), "_q_dw": F.col("_q_best.dw"), "_q_base_failed": failed})
+    return df.withColumn("_q_kept", ~F.col("_q_base_failed") & ~F.col("_q_best.far"))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
