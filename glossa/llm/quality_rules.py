@@ -7,6 +7,13 @@ document is rejected when a distance exceeds its limit, and only if it is long
 enough for that histogram to mean something; the plain length and repetition
 rules stand beside it.
 
+The limit of the common words follows the reference: a text without any common
+word has a distance that depends only on the common words' share of the
+reference, and where junk or a short list lowers it, the limit sinks with it.
+A text that holds common words is excused the sampling noise of its length, up
+to the fixed limit; one that holds more of them than the reference, or whose
+language has no list, has the fixed limit alone.
+
 One pass over the texts: the per-document counts are checkpointed (a few
 dozen numbers a row); references and verdicts are built from them.
 
@@ -23,6 +30,8 @@ columns are kept by ``filter_documents`` and ignored by ``judge``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +53,9 @@ CHAR_GUARD = 200      # characters a text needs before its class histogram is ju
 WORD_GUARD = 50       # words a text needs before its common-word histogram is judged
 MAX_CHAR_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.297
+BARE_SHARE = 0.985    # of the distance that a text without any common word has: no limit lies above it
+BARE_CHANCE = 0.001   # a text has none by chance more often than this: the limit stays
+NOISE = 4             # standard deviations of sampling noise that a text's length excuses
 GUESS_SHARE = 0.08    # share of a list's words that makes a text without language count as that language
 
 
@@ -137,6 +149,18 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((_total(p) > 0) & (_total(q) > 0), both(share(p), share(q))).otherwise(0.0)
 
 
+def word_limit(h: Column, ref: Column, n: Column, highest: float) -> Column:
+    """The largest common-word distance to ``ref`` that a text of ``n`` words and histogram ``h`` may have."""
+    last = F.size(ref) - 1
+    bare = BARE_SHARE * js_distance(F.transform(ref, lambda x, i: F.when(i == last, 1.0).otherwise(0.0)), ref)
+    # 8 n ln(2) times the squared distance of a sample to its own source is nearly chi-squared
+    noise = F.sqrt((last + NOISE * F.sqrt(2.0 * last)) / (8 * math.log(2) * F.greatest(n, F.lit(1))))
+    others = lambda a: F.try_divide(F.element_at(a, -1), _total(a))
+    telling = -n * F.log(others(ref)) > -math.log(BARE_CHANCE)
+    return F.least(F.lit(highest), F.when(others(h) <= others(ref), highest).when(others(h) < 1, F.greatest(bare, noise))
+                   .when(telling, bare).otherwise(highest))
+
+
 def references(measured: DataFrame) -> DataFrame:
     """One row per language: the summed histograms of all its documents.
 
@@ -183,9 +207,12 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text", lang: str = "lan
 
     def verdict(c: Column) -> Column:
         hw = F.when(c["places"].isNull(), F.col("_q_hw")).otherwise(_of_list(F.col("_q_hw"), c["places"]))
-        distances = let(hw, lambda h: F.struct(js_distance(h, c["rw"]).alias("dw"), js_distance(F.col("_q_hc"), c["rc"]).alias("dc")))
+        distances = let(hw, lambda h: F.struct(
+            js_distance(h, c["rw"]).alias("dw"), js_distance(F.col("_q_hc"), c["rc"]).alias("dc"),
+            F.when(c["places"].isNotNull() | F.col("_q_lang").isin(list(COMMON_WORDS)), word_limit(h, c["rw"], F.col("_q_n"), max_word_distance))
+            .otherwise(max_word_distance).alias("limit")))
         far = lambda d: ((F.col("_q_chars") >= CHAR_GUARD) & (d["dc"] > max_char_distance)) | (
-            (F.col("_q_n") >= WORD_GUARD) & (d["dw"] > max_word_distance))
+            (F.col("_q_n") >= WORD_GUARD) & (d["dw"] > d["limit"]))
         return let(distances, lambda d: F.struct(far(d).alias("far"), d["dw"].alias("dw"), d["dc"].alias("dc")))
 
     none = F.struct(F.lit(False).alias("far"), F.lit(0.0).alias("dw"), F.lit(0.0).alias("dc"))

@@ -39,3 +39,22 @@ def test_language_without_a_list_keeps_its_own_reference(spark):
     rows = [(k, _words(rng, 300, "en"), "en") for k in range(20)] + [(100 + k, _words(rng, 300), "xx") for k in range(20)]
     rows += [(200 + k, _words(rng, 300, "en"), "yy") for k in range(2)]
     assert all(_kept(spark, rows).values())
+
+
+def test_a_third_of_the_rows_without_common_words(spark):
+    rng = random.Random(14)
+    rows = [(1000 * i + k, _words(rng, n, lang), lang) for i, lang in enumerate(quality_rules.COMMON_WORDS)
+            for k, n in enumerate([60, 100, 140, 200, 300, 600] * 8)]
+    junk = [(5000 + 100 * i + k, _words(rng, n), lang) for i, lang in enumerate(quality_rules.COMMON_WORDS)
+            for k, n in enumerate([60, 100, 140, 200, 300, 600] * 4)]
+    got = _kept(spark, rows + junk)
+    assert not any(got[r[0]] for r in junk)
+    assert sum(got[r[0]] for r in rows) >= 0.97 * len(rows) and all(got[r[0]] for r in rows if len(r[1].split()) >= 100)
+
+
+def test_clean_prose_stays_beside_a_majority_of_junk(spark):
+    rng = random.Random(15)
+    rows = [(k, _words(rng, 300, "en"), "en") for k in range(20)]
+    junk = [(5000 + k, _words(rng, 300), "en") for k in range(80)]
+    got = _kept(spark, rows + junk)
+    assert all(got[r[0]] for r in rows) and not any(got[r[0]] for r in junk)
