@@ -5,8 +5,12 @@ Every line goes down a tree of fixed depth: its token count, then its first
 in a leaf share a template: at each position the token that more than half of
 the leaf's lines hold, else the wildcard, so numbers, names and edited words
 become variable fields.  A line belongs to its leaf's template if at least
-``SIMILARITY`` of its positions agree with the template's tokens; a line that
-does not is a template of its own.  A template found in two documents
+``SIMILARITY`` of its positions agree with the template's tokens.  The wordings
+that do not form further templates of the leaf: wordings that hold the same
+tokens in a band of positions take their most frequent one as a seed, and those
+that agree with a seed in ``SIMILARITY`` of all positions are linked; linked
+wordings share a template (the leaf's own, if one of its members is linked).
+Any other line is a template of its own.  A template found in two documents
 or more is dropped, but for its first occurrence (smallest doc_id, then line),
 so that no content leaves the corpus altogether.
 
@@ -26,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import let, read_table, sealed, unsealed, words
+from glossa.llm.components import components
 from glossa.session import cut_lineage
 
 DEPTH = 3
@@ -62,7 +67,7 @@ def line_leaves(keyed: DataFrame) -> DataFrame:
 
 
 def leaf_members(keyed: DataFrame, leaves: DataFrame) -> DataFrame:
-    """For wordings that belong to their leaf's template: _l_leaf, _l_exact."""
+    """For wordings that share a template: m_leaf, m_exact, m_template."""
     wordings = leaves.groupBy("_l_leaf", "_l_exact").agg(
         F.count("*").alias("_l_times"), F.min(F.struct("_l_id", "_l_hash", "_l_no")).alias("_l_at"))
     several = wordings.groupBy("_l_leaf").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("_l_leaf").alias("_l_busy"))
@@ -82,8 +87,52 @@ def leaf_members(keyed: DataFrame, leaves: DataFrame) -> DataFrame:
     template = fields.groupBy(F.col("_l_leaf").alias("t_leaf")).agg(
         F.array_sort(F.collect_list(F.struct("pos", fixed.alias("tok")))).alias("t_fields"))
     both = found.join(template, F.col("_l_leaf") == F.col("t_leaf"))
-    agree = F.size(F.filter(F.zip_with("_l_t", "t_fields", lambda a, b: a == b["tok"]), lambda x: x))
-    return both.filter(agree >= SIMILARITY * F.size("_l_t")).select(F.col("_l_leaf").alias("m_leaf"), F.col("_l_exact").alias("m_exact"))
+    agree = _agreeing(F.col("_l_t"), F.transform("t_fields", lambda f: f["tok"]))
+    judged = both.select("_l_leaf", "_l_exact", "_l_times", "_l_t", (agree >= SIMILARITY * F.size("_l_t")).alias("_l_member"))
+    judged = cut_lineage(judged.withColumn("_l_node", F.when(F.col("_l_member"), F.col("_l_leaf")).otherwise(F.col("_l_exact"))))
+    joined = components(seed_links(judged), "a", "b").select(F.col("node").alias("j_node"), F.col("root").alias("j_root"))
+    named = F.coalesce("j_root", F.when(F.col("_l_member"), F.col("_l_leaf")))
+    return judged.join(joined, F.col("_l_node") == F.col("j_node"), "left").select(
+        F.col("_l_leaf").alias("m_leaf"), F.col("_l_exact").alias("m_exact"), named.alias("m_template")).filter("m_template is not null")
+
+
+def _agreeing(a: Column, b: Column) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+
+
+def _bands(t: Column) -> Column:
+    """Hashes of groups of positions; two wordings that agree in ``SIMILARITY`` of all positions share one at least.
+
+    There is one group more than positions may differ, so one holds no
+    difference; neighbouring groups taken together stand beside the single ones.
+    """
+    n = F.size(t)
+    count = (n - F.ceil(SIMILARITY * n) + 1).cast("int")
+    band = lambda b: F.filter(t, lambda x, i: (i >= DEPTH) & ((i - DEPTH) % count == b))
+    single = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.xxhash64(b, band(b)))
+    return let(single, lambda s: F.concat(s, F.transform(s, lambda x, i: F.xxhash64(x, F.get(s, (i + 1) % count), F.lit("two")))))
+
+
+def seed_links(judged: DataFrame) -> DataFrame:
+    """Links a, b between nodes of wordings and of seeds they agree with, in leaves where the leaf's template leaves some out.
+
+    The seed of each group of wordings that hold the same tokens in a band is
+    its most frequent one; a wording links to seeds, never to every other.
+    """
+    # fewer than five tokens agree in 0.8 only if equal
+    some = judged.filter(F.size("_l_t") >= 5)
+    open_leaves = some.filter(~F.col("_l_member")).select(F.col("_l_leaf").alias("o_leaf")).distinct()
+    pool = some.join(open_leaves, F.col("_l_leaf") == F.col("o_leaf"), "left_semi")
+    rows = pool.select("_l_leaf", "_l_exact", "_l_times", F.explode(_bands(F.col("_l_t"))).alias("_l_band"))
+    seeds = rows.groupBy(F.col("_l_leaf").alias("s_leaf"), F.col("_l_band").alias("s_band")).agg(
+        F.max(F.struct("_l_times", "_l_exact")).alias("s"), F.count("*").alias("s_n")).filter("s_n > 1")
+    pairs = rows.join(seeds, (F.col("_l_leaf") == F.col("s_leaf")) & (F.col("_l_band") == F.col("s_band"))).filter(
+        F.col("_l_exact") != F.col("s._l_exact")).select(F.col("_l_leaf").alias("p_leaf"), F.col("_l_exact").alias("p_exact"), F.col("s._l_exact").alias("p_seed")).distinct()
+    side = lambda k: judged.select(*[F.col(f"_l_{c}").alias(f"{k}_{c}") for c in ("leaf", "exact", "t", "node")])
+    both = pairs.join(side("w"), (F.col("p_leaf") == F.col("w_leaf")) & (F.col("p_exact") == F.col("w_exact"))).join(
+        side("z"), (F.col("p_leaf") == F.col("z_leaf")) & (F.col("p_seed") == F.col("z_exact")))
+    return both.filter((_agreeing(F.col("w_t"), F.col("z_t")) >= SIMILARITY * F.size("w_t")) & (F.col("w_node") != F.col("z_node"))).select(
+        F.col("w_node").alias("a"), F.col("z_node").alias("b"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -92,7 +141,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     leaves = cut_lineage(line_leaves(keyed))
     members = leaf_members(keyed, leaves)
     named = leaves.join(members, (F.col("_l_leaf") == F.col("m_leaf")) & (F.col("_l_exact") == F.col("m_exact")), "left").select(
-        "_l_id", "_l_hash", "_l_no", F.when(F.col("m_leaf").isNull(), F.xxhash64("_l_leaf", "_l_exact")).otherwise(F.col("_l_leaf")).alias("_l_template"))
+        "_l_id", "_l_hash", "_l_no", F.coalesce("m_template", F.xxhash64("_l_leaf", "_l_exact")).alias("_l_template"))
     document = F.struct("_l_id", "_l_hash")
     recurring = named.groupBy(F.col("_l_template").alias("r_template")).agg(
         F.min(F.struct("_l_id", "_l_hash", F.col("_l_no").alias("no"))).alias("first"), F.min(document).alias("least"),
