@@ -174,6 +174,14 @@ def _featured(df: DataFrame, keep: str) -> DataFrame:
     return df.mapInPandas(make, (f"{keep}, " if keep else "") + "x binary, m array<double>")
 
 
+def _bounded(docs: DataFrame, rows: int) -> DataFrame:
+    """``docs`` without repeated (doc_id, text); about 2 * ``rows`` of them if a doc_id with many texts makes them more."""
+    key = ["doc_id", F.xxhash64("text").alias("_k_text")]
+    n = docs.select(*key).distinct().count()
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit("bounded")), F.lit(1 << 30)) / float(1 << 30)
+    return docs.filter(share < 2 * rows / max(n, 1)).withColumn("_k_text", key[1]).dropDuplicates(["doc_id", "_k_text"]).drop("_k_text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> dict:
     """Model from bounded samples; ``docs``: doc_id, text, lang, source; ``labels``: doc_id, quality."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
@@ -181,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows:
     totals = known.agg(F.count("*").alias("n"), F.avg("good").alias("share")).first()
     n_docs = docs.count()
     chosen = known.filter(_luck("labelled") < fit_rows / max(totals["n"], 1))  # about fit_rows pairs of numbers
-    rows = _featured(docs.join(F.broadcast(chosen), "doc_id"), "good double").toPandas()
+    rows = _featured(_bounded(docs.join(F.broadcast(chosen), "doc_id"), fit_rows), "good double").toPandas()
     # the order of collected rows must not matter
     rows = rows.assign(h=[zlib.crc32(b) for b in rows["x"]]).sort_values(["h", "x"], kind="stable").reset_index(drop=True)
     y = rows["good"].to_numpy(dtype=float)
@@ -190,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows:
     if min((min((p > 0).sum(), (p == 0).sum()) for p in parts), default=0) < LEAST:
         return {"share": 0.5 if totals["share"] is None else float(totals["share"])}
     pool = docs.filter(_luck("pool") < pool_rows / max(n_docs, 1)).join(F.broadcast(chosen), "doc_id", "left_anti")
-    pool = _featured(pool, "").toPandas()
+    pool = _featured(_bounded(pool, pool_rows), "").toPandas()
     pool = pool.assign(h=[zlib.crc32(b) for b in pool["x"]]).sort_values(["h", "x"], kind="stable")
     matrix = lambda f: np.frombuffer(b"".join(f["x"]), dtype=np.float16).reshape(len(f), 1 << BUCKET_BITS).astype(np.float32)
     meta = lambda f: np.array(f["m"].tolist(), dtype=np.float64).reshape(len(f), 10 + _TAGS)
