@@ -1,8 +1,8 @@
 """Spark session and lineage helpers shared by every job.
 
 The library never creates its own scratch space on a cluster: lineage is cut
-with reliable ``checkpoint()`` into the folder the cluster names in
-``spark.checkpoint.dir``.  Only a local-mode session without that setting
+with reliable ``checkpoint()``, or with a Parquet table written and read back,
+in the folder the cluster names in ``spark.checkpoint.dir``.  Only a local-mode session without that setting
 (tests, laptops) gets a fresh folder under the system temp directory.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,3 +67,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with a reliable checkpoint (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def land(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared folder and read it back.
+
+    For loops: the table read has the size of its files as its estimate and
+    no constraints, while a checkpointed DataFrame keeps the estimate of the
+    plan it came from, whose number of bits doubles with every join of a
+    round.  The files are ordinary shared files and outlive executors.
+    """
+    spark = df.sparkSession
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
