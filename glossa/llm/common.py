@@ -37,3 +37,8 @@ def sealed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def unsealed(inner: dict[str, str]) -> list[Column]:
     """The original columns again, for a select."""
     return [F.col(v).alias(c) for c, v in inner.items()]
+
+
+def text_hashes(column: str) -> list[Column]:
+    """Two independent 64-bit hashes, ``hash`` and ``hash2``: together an identity for any number of texts."""
+    return [F.xxhash64(column).alias("hash"), F.xxhash64(F.lit("second"), column).alias("hash2")]

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating star contraction.
 
 Every round turns each node's neighbourhood into a star around its smallest
-known neighbour, first over larger neighbours, then over smaller ones; the
+known neighbour, first over larger neighbours, then over smaller ones; every
+step is a table of its own, so no round inherits plans or size estimates; the
 number of rounds grows with the logarithm of the component's size, not with
 its diameter.  Only grouped minima (combined before the shuffle) and
 equi-joins against them are used.  A hub may own a third of all edges: the
@@ -16,13 +17,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.session import cut_lineage
+from glossa.session import land
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
     """(u, v) with ``m``, the smallest of u and its v; u may own any number of rows."""
     least = pairs.groupBy(F.col("u").alias("mu")).agg(F.min("v").alias("m"))
-    least = cut_lineage(least.select("mu", F.least("mu", "m").alias("m")))
+    least = land(least.select("mu", F.least("mu", "m").alias("m")))
     return pairs.join(least, F.col("u") == F.col("mu"))
 
 
@@ -38,18 +39,18 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataF
     (a node with loops only does not appear).  Empty input: empty result.
     """
     cut = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    cut = cut_lineage(cut)
+    cut = land(cut)
     state = _state(cut)
     for _ in range(max_rounds):
         if not state[0]:
             break
         both = cut.unionByName(cut.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut_lineage(large)
+        large = land(large)
         star = _stars(large)
         small = star.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             star.select("u", F.col("m").alias("v")))
-        cut = cut_lineage(small.distinct())
+        cut = land(small.distinct())
         now = _state(cut)
         if now == state:
             break

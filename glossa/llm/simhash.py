@@ -1,25 +1,29 @@
-"""SimHash near-dedup with a vantage-point tree (operator 7).
+"""SimHash near-dedup with vantage-point trees (operator 7).
 
 Fingerprints of whole texts are made in Arrow batches.  Equal fingerprints are
-one point.  A vantage-point tree over Hamming distance deals the points into
-shards: a node sends points nearer than its radius to one side and the others
-to the other, and, by the triangle inequality, a link can cross the boundary
-only from the outer points within ``bits`` of it, which are sent to the inner
-side as well.  So each linked pair meets in at least one shard.  A shard is
-searched by the same tree again, down to blocks that are compared bit by bit.
-Of a block only a spanning star of each linked set leaves the task, never all
-pairs of a group; the stars meet in distributed connected components.
-
-The top tree is built from a sample of the distinct fingerprints (one in
-``SAMPLE_SHARE``, at most ``MAX_SAMPLE``: 16 MB); it only steers how evenly
-points are dealt, never which links are found.  A shard that stays too large,
-as points lie too close for any vantage point to part them, is dealt into
-blocks, and pairs of blocks go to tasks of their own.
+one point.  Two fingerprints within ``bits`` bits agree in at least one of
+``bits + 1`` slices, so there is one vantage-point tree for each slice, over
+the Hamming distance of the slice's values and with a tolerance of zero: a
+node sends values within its radius to one side, the others to the other, and
+no point is copied.  Each point goes to exactly one shard of each tree, and
+each linked pair meets in at least one, whatever the number of points.  A
+shard is searched by a tree over all 64 bits, where points within ``bits`` of
+a boundary (the triangle inequality's bound) go to both sides, down to blocks
+that are compared bit by bit.  Of a block only a spanning star of each linked
+set leaves the task, never all pairs of a group; the stars meet in distributed
+connected components.
+
+The slice trees part the possible values, not a sample; only how finely they
+part them follows the number of points.  A shard beyond ``SHARD`` points (a
+hot slice value) is dealt again by the slices of its remaining bits, and where
+those are hot as well into blocks, pairs of which go to tasks of their own.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like
-any other; texts with fewer words than a shingle are one shingle; rows with a
-null doc_id take part, and component_id is the smallest non-null doc_id (null
-if there is none); repeated rows are linked; empty table: empty result.
+any other; long texts are hashed in runs of bounded memory; texts with fewer
+words than a shingle are one shingle; rows with a null doc_id take part, and
+component_id is the smallest non-null doc_id (null if there is none); repeated
+rows are linked; of tied rows (equal doc_id and text) ``keep_one`` keeps any
+one; empty table: empty result.
 """
 
 from __future__ import annotations
@@ -30,17 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import read_table, sealed, unsealed
+from glossa.llm.common import read_table, sealed, text_hashes, unsealed
 from glossa.llm.components import components, stars
-from glossa.session import cut_lineage
+from glossa.session import land
 
 SHINGLE = 3
 BITS = 3
 SEED = 42
-SHARD = 65_536        # points a shard is meant to hold; twice this many are dealt into blocks
+SHARD = 65_536        # points of a shard that one task searches
+LEAF = 1_024          # points a shard is meant to hold
 BLOCK = 2_048         # points compared bit by bit
-SAMPLE_SHARE = 16
-MAX_SAMPLE = 2_000_000
+SLICE_BITS = 16       # of a slice, at most
 _RUN = 65_536         # shingles hashed at once
 
 
@@ -143,63 +147,140 @@ def shard_stars(a: np.ndarray, b: np.ndarray | None, bits: int) -> pd.DataFrame:
     return pd.DataFrame({"u": both[:, 0].copy().view(np.int64), "v": both[:, 1].copy().view(np.int64)})
 
 
-def links(points: DataFrame, bits: int) -> DataFrame:
-    """(u, v): edges that connect exactly what the links within ``bits`` connect; ``points`` has distinct longs ``fp``."""
-    spark = points.sparkSession
-    n = points.count()
-    nodes: list = [None]
-    if n > SHARD:
-        share = min(1 / SAMPLE_SHARE, MAX_SAMPLE / n)
-        picked = points.filter(F.pmod(F.xxhash64("fp", F.lit("vantage")), F.lit(1 << 30)) < int(share * (1 << 30))).toPandas()["fp"]
-        sample = np.sort(picked.to_numpy(dtype=np.int64)).view(np.uint64)
-        nodes = build_tree(sample, 1 / share, SHARD, bits)
-    tree = spark.sparkContext.broadcast(nodes)  # at most MAX_SAMPLE / 4 nodes
-
-    def deal(batches):
+def slice_tree(width: int, leaves: int, seed: int = 0) -> np.ndarray:
+    """Leaf number of every value of ``width`` bits, in a vantage-point tree of about ``leaves`` leaves.
+
+    Every node parts its values at the distance from a vantage value that
+    halves them best; a leaf's values are at most one side of each boundary.
+    """
+    rng = np.random.default_rng(seed)
+    todo, out = [(np.arange(1 << width, dtype=np.int64), leaves)], np.zeros(1 << width, dtype=np.int32)
+    number = 0
+    while todo:
+        values, want = todo.pop()
+        if want > 1 and len(values) > 1:
+            near = np.bitwise_count(values ^ rng.choice(values))
+            cum = np.cumsum(np.bincount(near))[:-1]
+            inner = near <= int(np.argmin(np.abs(2 * cum - len(values))))
+            share = min(max(round(want * inner.sum() / len(values)), 1), want - 1)
+            todo += [(values[inner], share), (values[~inner], want - share)]
+            continue
+        out[values] = number
+        number += 1
+    return out
+
+
+def _width(bits: int, total: int) -> int:
+    return min(SLICE_BITS, total // (bits + 1))
+
+
+def _piece(values: np.ndarray, number: int, width: int) -> np.ndarray:
+    return (values >> np.uint64(number * width)) & np.uint64((1 << width) - 1)
+
+
+def deal(points: DataFrame, bits: int, leaves: int) -> DataFrame:
+    """(shard, fp): every point once in each of the ``bits + 1`` slice trees."""
+    width = _width(bits, 64)
+    leaf_of = points.sparkSession.sparkContext.broadcast(slice_tree(width, leaves))  # 2 ** SLICE_BITS numbers at most
+
+    def route_batch(batches):
         for pdf in batches:
             fp = pdf["fp"].to_numpy(dtype=np.int64)
-            for leaf, idx in route(fp.view(np.uint64), tree.value, bits):
-                yield pd.DataFrame({"leaf": np.int64(leaf), "fp": fp[idx]})
+            for s in range(bits + 1):
+                leaf = leaf_of.value[_piece(fp.view(np.uint64), s, width).astype(np.int64)]
+                yield pd.DataFrame({"shard": np.int64(s) << 32 | leaf.astype(np.int64), "fp": fp})
+
+    return points.select("fp").mapInPandas(route_batch, "shard long, fp long")
 
-    dealt = points.mapInPandas(deal, "leaf long, fp long")
-    sizes = dealt.groupBy("leaf").agg(F.count("*").alias("n"))
-    sizes = cut_lineage(sizes.select(F.col("leaf").alias("s_leaf"), F.when(F.col("n") > 2 * SHARD, F.ceil(F.col("n") / SHARD)).otherwise(1).cast("int").alias("parts")))
-    dealt = dealt.join(sizes, F.col("leaf") == F.col("s_leaf")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "leaf", "fp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
+def deal_again(hot: DataFrame, bits: int) -> DataFrame:
+    """(shard, value, piece, sub, fp): points of hot shards, by their slice's value and once by each slice of the other bits."""
+    width = _width(bits, 64)
+    rest_bits = 64 - width
+    fine = _width(bits, rest_bits)
+
+    def split_batch(batches):
+        for pdf in batches:
+            fp = pdf["fp"].to_numpy(dtype=np.int64)
+            own = (pdf["shard"].to_numpy(dtype=np.int64) >> 32).astype(np.uint64) * np.uint64(width)
+            bare = fp.view(np.uint64)
+            value = (bare >> own) & np.uint64((1 << width) - 1)
+            high = np.where(own + np.uint64(width) >= 64, np.uint64(0), (bare >> ((own + np.uint64(width)) & np.uint64(63))) << own)
+            rest = (bare & ((np.uint64(1) << own) - np.uint64(1))) | high
+            for piece in range(bits + 1):
+                sub = _piece(rest, piece, fine)
+                yield pd.DataFrame({"shard": pdf["shard"], "value": value.astype(np.int64), "piece": np.int32(piece), "sub": sub.astype(np.int64), "fp": fp})
+
+    return hot.mapInPandas(split_batch, "shard long, value long, piece int, sub long, fp long")
+
+
+def _search(bits: int):
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        return shard_stars(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64), None, bits)
+
+    return search
+
+
+def _search_pairs(bits: int):
     def search(key, pdf):
         own = pdf["own"].to_numpy()
         fp = pdf["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-        return shard_stars(fp, None, bits) if key[1] == key[2] else shard_stars(fp[own == key[1]], fp[own == key[2]], bits)
+        i, j = key[-2], key[-1]
+        return shard_stars(fp, None, bits) if i == j else shard_stars(fp[own == i], fp[own == j], bits)
+
+    return search
+
+
+def _parted(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups of at most SHARD rows, and rows of the larger ones with their number of rows."""
+    big = land(rows.groupBy(*keys).agg(F.count("*").alias("rows_here")).filter(F.col("rows_here") > SHARD))
+    return rows.join(big, keys, "left_anti"), rows.join(big, keys)
 
-    return tasks.groupBy("leaf", "i", "j").applyInPandas(search, "u long, v long")
+
+def links(points: DataFrame, bits: int) -> DataFrame:
+    """(u, v): edges that connect exactly what the links within ``bits`` connect; ``points`` has distinct longs ``fp``."""
+    edge = "u long, v long"
+    leaves = max(points.count() // LEAF, 1)
+    fit, hot = _parted(land(deal(points, bits, min(leaves, 1 << SLICE_BITS))), ["shard"])
+    out = fit.groupBy("shard").applyInPandas(_search(bits), edge)
+    if hot.isEmpty():
+        return out
+    keys = ["shard", "value", "piece", "sub"]
+    fit, hot = _parted(land(deal_again(hot.select("shard", "fp"), bits)), keys)
+    out = out.unionByName(fit.groupBy(*keys).applyInPandas(_search(bits), edge))
+    if hot.isEmpty():
+        return out
+    parts = F.ceil(F.col("rows_here") / SHARD).cast("int")
+    dealt = hot.withColumn("own", F.pmod(F.xxhash64("fp"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    tasks = dealt.select(*keys, "fp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return out.unionByName(tasks.groupBy(*keys, "i", "j").applyInPandas(_search_pairs(bits), edge))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """doc_id, ``fp`` (long), ``hash`` (of the text) and ``component_id`` per row of ``docs``."""
-    prints = cut_lineage(docs.select("doc_id", F.xxhash64("text").alias("hash"), fingerprints(shingle)(F.col("text")).alias("fp")))
-    points = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(points.select("fp"), bits), "u", "v")
+    """doc_id, ``fp`` (long), ``hash`` and ``hash2`` (of the text) and ``component_id`` per row of ``docs``."""
+    prints = land(docs.select("doc_id", *text_hashes("text"), fingerprints(shingle)(F.col("text")).alias("fp")))
+    points = land(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(points, bits), "u", "v")
     placed = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy(F.col("root").alias("g")).agg(F.min("least").alias("component_id"))
-    placed = cut_lineage(placed.join(names, F.col("root") == F.col("g")).select(F.col("fp").alias("p_fp"), "component_id", "root"))
+    placed = land(placed.join(names, F.col("root") == F.col("g")).select(F.col("fp").alias("p_fp"), "component_id", "root"))
     return prints.join(placed, F.col("fp") == F.col("p_fp")).drop("p_fp")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One row of each group of near-duplicates (smallest doc_id, nulls last), with all columns of ``docs``."""
     found = near_duplicates(docs.select("doc_id", "text"), shingle, bits)
-    ordered = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+    ordered = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "hash2")
     kept = found.groupBy("root").agg(F.min(ordered).alias("first")).select(
-        F.col("first.doc_id").alias("k_id"), F.col("first.hash").alias("k_hash"))
+        F.col("first.doc_id").alias("k_id"), F.col("first.hash").alias("k_hash"), F.col("first.hash2").alias("k_hash2"))
     kept = kept.withColumn("k_key", F.xxhash64("k_id", "k_hash"))
     out, at = sealed(docs)
-    doc_id, text_hash = F.col(at["doc_id"]), F.xxhash64(at["text"])
-    out = out.withColumn("key", F.xxhash64(doc_id, text_hash)).join(
-        kept, (F.col("key") == F.col("k_key")) & doc_id.eqNullSafe(F.col("k_id")) & (text_hash == F.col("k_hash")), "left_semi")
+    doc_id = F.col(at["doc_id"])
+    out = out.withColumns(dict(zip(("hash", "hash2"), text_hashes(at["text"])))).withColumn("key", F.xxhash64(doc_id, F.col("hash"))).join(
+        kept, (F.col("key") == F.col("k_key")) & doc_id.eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash"))
+        & (F.col("hash2") == F.col("k_hash2")), "left_semi")
     # equal rows (same doc_id and text) have the same key: one of them stays
-    out = out.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    out = out.withColumn("nth", F.row_number().over(Window.partitionBy("key", "hash2").orderBy("key")))
     return out.filter("nth = 1").select(*unsealed(at))
 
 

@@ -151,9 +151,11 @@ def _planted(n_clusters, size, seed):
     return np.unique(np.array(out, dtype=np.uint64))
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 200])
+@pytest.mark.parametrize("shard", [1 << 20, 200, 40])
 def test_vantage_point_links_equal_all_pairs(spark, monkeypatch, shard):
+    """Shards that hold, shards dealt again by their other bits, and such as go to pairs of blocks."""
     monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "LEAF", 64)
     pts = _planted(60, 30, shard)
     pts = np.unique(np.concatenate([pts, _planted(1, 900, 9)]))  # one dense group above a shard's size
     df = spark.createDataFrame([(int(x),) for x in pts.view(np.int64)], "fp long")
@@ -164,6 +166,28 @@ def test_vantage_point_links_equal_all_pairs(spark, monkeypatch, shard):
     assert len(edges) < 40 * len(pts)
 
 
+def test_every_point_goes_once_to_each_slice_tree(spark):
+    for n in (50, 5000):
+        df = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        for bits in (0, 2, 3, 7):
+            dealt = simhash.deal(df, bits, 16).select("fp", F.shiftright("shard", 32).alias("tree"))
+            assert dealt.count() == (bits + 1) * n == dealt.distinct().count()
+
+
+def test_slice_tree_parts_all_values():
+    for leaves in (1, 7, 64, 1 << 16):
+        leaf = simhash.slice_tree(16, leaves)
+        assert len(set(leaf.tolist())) == leaves
+
+
+def test_components_of_a_long_chain(spark):
+    """20,000 nodes in random order: the rounds follow the logarithm of the length."""
+    nodes = np.random.default_rng(3).permutation(20_000).tolist()
+    links = spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long")
+    got = components.components(links, "a", "b")
+    assert got.count() == 20_000 and got.filter("root <> 0").isEmpty()
+
+
 def test_components_of_chain_star_and_random(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(200)] + [(500, 500 + i) for i in range(1, 300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)]
