@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from glossa.llm import cotraining, cover_tree, language_id, line_templates, mixing, packing, quality_rules, secret_scan, simhash, url_filter
+from glossa.llm import (bpe, collocations, cotraining, cover_tree, language_id, line_templates, mixing, packing, quality_rules, secret_scan,
+                        simhash, url_filter, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_redirect_filter": url_filter.op1_redirect_filter,
@@ -20,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pivotal_mix": mixing.op8_pivotal_mix,
     "op9_genetic_packing": packing.op9_genetic_packing,
     "op10_cover_tree": cover_tree.op10_cover_tree,
+    "op11_shifted_cholesky": whitening.op11_shifted_cholesky,
+    "op12_bpe_codec": bpe.op12_bpe_codec,
+    "op13_hat_trie": collocations.op13_hat_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -29,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op3_entropy_secrets": secret_scan.ORACLE_SQL,
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op10_cover_tree": cover_tree.ORACLE_SQL,
+    "op13_hat_trie": collocations.ORACLE_SQL,
 }
