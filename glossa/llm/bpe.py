@@ -9,10 +9,10 @@ linked list of its symbols; an entry whose symbols have changed since it was
 queued is skipped.  Decoding concatenates the vocabulary's strings, with the
 blank that the file's missing decoder stands for.
 
-Words recur, so a worker keeps the ids of short ones, in at most ``KEEP``
-bytes.  Texts are taken in runs of about ``RUN`` characters that end at a
-space, where no word ends are lost; memory beyond the text and its ids follows
-the longest word.
+No word reaches over white space, and what stands between recurs, so a worker
+keeps the ids of such short stretches, in about ``KEEP`` bytes.  Texts are
+taken in runs of about ``RUN`` characters that end at a blank; memory beyond
+the text and its ids follows the longest word.
 
 Defined cases: null, empty and blank texts have no ids and decode to the empty
 text; long texts are encoded whole; symbols that the vocabulary lacks are left
@@ -22,6 +22,7 @@ rank go to the first place; empty table: empty result.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import unicodedata
@@ -37,11 +38,12 @@ from pyspark.sql import functions as F
 from glossa.llm.common import read_table, sealed, unsealed
 
 RUN = 1 << 20
-KEEP = 96 << 20
-KEPT_WORD = 64
+KEEP = 160 << 20
+KEPT_WORD = 64        # characters of a stretch that is kept
 # fixed values: the white space of the vocabulary's patterns (Unicode White_Space)
 BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _END = "</w>"
+_CONTROLS = regex.compile("[" + "".join(map(chr, range(0x1C, 0x20))) + "]")
 
 
 def byte_alphabet() -> list[str]:
@@ -64,9 +66,11 @@ class Vocabulary:
                 or model["unk_token"] or model["byte_fallback"] or spec["decoder"] or not split["invert"] or level["use_regex"]:
             raise ValueError(f"{path}: not a lower-casing byte vocabulary with word ends")
         self.ids: dict[str, int] = model["vocab"]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # by pair of ids
+        self.made: list[int] = []        # by rank
         for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+            self.ranks[self.ids[a] << 20 | self.ids[b]] = rank
+            self.made.append(self.ids[a + b])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         texts = {**{i: s for s, i in self.ids.items()}, **{i: s for s, i in self.special.items()}}
         self.texts = [texts.get(i, "") for i in range(max(texts) + 1)]
@@ -83,67 +87,75 @@ class Vocabulary:
         """Ids of one word."""
         raw = word.encode("utf-8", "surrogatepass")
         symbols = [i for i in [*map(self.inside.__getitem__, raw[:-1]), self.last[raw[-1]]] if i >= 0]
-        n, merges = len(symbols), self.merges
-        after, before = list(range(1, n)) + [-1], list(range(-1, n - 1))
-        queue = []
-
-        def offer(at: int) -> None:
-            found = merges.get((symbols[at], symbols[after[at]]))
-            if found:
-                heapq.heappush(queue, (found[0], at, found[1]))
-
+        n, rank_of, made = len(symbols), self.ranks.get, self.made
+        queue = []  # rank, then place, in one number
         for at in range(n - 1):
-            offer(at)
+            rank = rank_of(symbols[at] << 20 | symbols[at + 1])
+            if rank is not None:
+                queue.append(rank << 32 | at)
+        if not queue:
+            return symbols
+        heapq.heapify(queue)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         while queue:
-            _, at, made = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            rank, at = entry >> 32, entry & 0xFFFFFFFF
             right = after[at]
-            if symbols[at] < 0 or right < 0:
-                continue  # swallowed, or now the last
-            found = merges.get((symbols[at], symbols[right]))
-            if not found or found[1] != made:
-                continue  # one of the two has changed since
-            symbols[at], symbols[right] = made, -1
-            after[at] = after[right]
-            if after[at] >= 0:
-                before[after[at]] = at
-                offer(at)
-            if before[at] >= 0:
-                offer(before[at])
+            if right < 0 or symbols[at] < 0 or rank_of(symbols[at] << 20 | symbols[right]) != rank:
+                continue  # swallowed, now the last, or changed since
+            symbols[at], symbols[right] = made[rank], -1
+            nxt, prev = after[right], before[at]
+            after[at] = nxt
+            if nxt >= 0:
+                before[nxt] = at
+                rank = rank_of(symbols[at] << 20 | symbols[nxt])
+                if rank is not None:
+                    heapq.heappush(queue, rank << 32 | at)
+            if prev >= 0:
+                rank = rank_of(symbols[prev] << 20 | symbols[at])
+                if rank is not None:
+                    heapq.heappush(queue, rank << 32 | prev)
         return [i for i in symbols if i >= 0]
 
 
 class Encoder(dict):
-    """Ids of words as little-endian bytes, those of short words kept."""
+    """Ids of stretches without white space as little-endian bytes, those of short ones kept."""
 
     def __init__(self, vocabulary: Vocabulary, keep: int = KEEP):
         super().__init__()
         self.vocabulary, self.room, self.keep = vocabulary, keep, keep
 
-    def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.vocabulary.merge(word)).tobytes()
-        if len(word) <= KEPT_WORD:
-            self.room -= 200 + 4 * len(word) + len(ids)
+    def __missing__(self, stretch: str) -> bytes:
+        words = self.vocabulary.words.findall(stretch)
+        if len(words) == 1:
+            ids = array("I", self.vocabulary.merge(words[0])).tobytes()
+        else:
+            ids = b"".join([self[w] if w != stretch else b"" for w in words])
+        if len(stretch) <= KEPT_WORD:
+            self.room -= 250 + 2 * len(stretch) + len(ids)
             if self.room < 0:
                 self.clear()
                 self.room = self.keep
-            self[word] = ids
+            self[stretch] = ids
         return ids
 
     def _normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-            text = text.replace("Σ", "σ")  # character by character: no final form
-        return self.vocabulary.blanks.sub(" ", text).lower()
+            text = text.replace("\u03a3", "\u03c3")  # capital sigma, character by character: no final form
+        return text.lower()
 
-    def _runs(self, text: str) -> Iterator[str]:
+    def _stretches(self, text: str) -> Iterator[list[str]]:
+        # Python's white space is the vocabulary's and four control characters
+        split = self.vocabulary.blanks.split if _CONTROLS.search(text) else str.split
         at = 0
         while len(text) - at > RUN:
             stop = text.find(" ", at + RUN)
             if stop < 0:
                 break
-            yield text[at:stop]
+            yield split(text[at:stop])
             at = stop
-        yield text[at:] if at else text
+        yield split(text[at:] if at else text)
 
     def encode(self, text: str) -> bytes:
         v, out = self.vocabulary, []
@@ -151,8 +163,8 @@ class Encoder(dict):
             if piece in v.special:
                 out.append(array("I", [v.special[piece]]).tobytes())
                 continue
-            for run in self._runs(self._normal(piece)):
-                out.append(b"".join(map(self.__getitem__, v.words.findall(run))))
+            for stretches in self._stretches(self._normal(piece)):
+                out.append(b"".join(map(self.__getitem__, stretches)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -162,14 +174,14 @@ class Encoder(dict):
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file."""
+    gc.set_threshold(200_000, 50, 100)  # what is kept are many long-lived objects
     return Encoder(Vocabulary(path))
 
 
 def _encode_udf(path: str):
     @F.pandas_udf("binary")
     def udf(texts: pd.Series) -> pd.Series:
-        encode = encoder(path).encode
-        return pd.Series([encode(t) for t in texts], index=texts.index, dtype=object)
+        return pd.Series([*map(encoder(path).encode, texts)], index=texts.index, dtype=object)
 
     return udf
 
@@ -177,8 +189,16 @@ def _encode_udf(path: str):
 def _decode_udf(path: str):
     @F.pandas_udf("string")
     def udf(ids: pd.Series) -> pd.Series:
-        decode = encoder(path).decode
-        return pd.Series([decode(i) for i in ids], index=ids.index, dtype=object)
+        return pd.Series([*map(encoder(path).decode, ids)], index=ids.index, dtype=object)
+
+    return udf
+
+
+def _round_udf(path: str):
+    @F.pandas_udf("ids binary, decoded string")
+    def udf(texts: pd.Series) -> pd.DataFrame:
+        ids = [*map(encoder(path).encode, texts)]
+        return pd.DataFrame({"ids": ids, "decoded": [*map(encoder(path).decode, ids)]}, index=texts.index)
 
     return udf
 
@@ -200,6 +220,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded"
     return found.select(*unsealed({c: v for c, v in at.items() if c != out}), F.col("decoded").alias(out))
 
 
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` and its last columns ``ids`` and ``decoded``, as by ``encode`` and ``decode``, with one worker's vocabulary for both."""
+    inner, at = sealed(docs)
+    found = inner.withColumn("both", _round_udf(path)(F.coalesce(F.col(at[text]).cast("string"), F.lit(""))))
+    own = {c: v for c, v in at.items() if c not in ("ids", "decoded")}
+    return found.select(*unsealed(own), "both.ids", "both.decoded")
+
+
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -209,6 +237,6 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 def op12_bpe_codec(spark, sf_dir, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, path).drop("text"), path)
+    both = encode_and_decode(docs, path)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

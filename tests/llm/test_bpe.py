@@ -72,13 +72,15 @@ def test_defined_cases(spark, library):
     long = " ".join(f"w{i}" for i in range(40_000))
     rows = [(1, None, "a", 1), (2, "", "b", 2), (3, " \n", "c", 3), (4, "Same text", "d", 4), (4, "Same text", "d", 4), (None, "x", None, None), (5, long, "e", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded int")
-    out = bpe.decode(bpe.encode(df, bpe.vocabulary_path()), bpe.vocabulary_path())
-    assert out.columns == ["doc_id", "text", "ids", "decoded"]
-    got = out.collect()
+    path = bpe.vocabulary_path()
+    got = []
+    for out in (bpe.decode(bpe.encode(df, path), path), bpe.encode_and_decode(df, path)):
+        assert out.columns == ["doc_id", "text", "ids", "decoded"]
+        got = out.collect() + got
     for r in got:
         want = library.encode(r["text"] or "", add_special_tokens=False).ids
         assert list(array("I", bytes(r["ids"]))) == want and r["decoded"] == library.decode(want, skip_special_tokens=False)
-    assert len(got) == len(rows)
+    assert len(got) == 2 * len(rows)
     assert bpe.encode(df.filter("false"), bpe.vocabulary_path()).count() == 0
 
 
