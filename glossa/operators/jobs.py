@@ -15,10 +15,10 @@ Part = tuple[DataFrame, DataFrame]  # presence rows (key, feature_id), documents
 
 
 def train(training: Part, validation: Part, ratios: DataFrame, cells: Sequence[svm.Cell], alphas: Sequence[float], path: str,
-          key: str = "doc_id", tol: float = 1e-3, max_iter: int = 100) -> list[dict]:
+          key: str = "doc_id", tol: float = 1e-4, max_iter: int = 200) -> list[dict]:
     """Grid over ``cells`` (``alphas``: each cell's smoothing), refit of the best one, saved under ``path``; the grid's rows."""
-    matrix = svm.Matrix(*training, key)
-    rows, fitted = svm.grid_search(matrix, ratios, cells, *validation, tol=tol, max_iter=max_iter)
+    matrix = svm.Matrix(*training, ratios, key)
+    rows, fitted = svm.grid_search(matrix, ratios, cells, *validation, key=key, tol=tol, max_iter=max_iter)
     best = next(r["cell_no"] for r in rows if r["is_best"])
     one = [cells[best]]
     if len(cells) > 1:

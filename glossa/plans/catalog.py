@@ -1084,8 +1084,7 @@ def q_summary_union(spark, sf):
 from glossa.operators import jobs, svm  # noqa: E402
 
 SVM_C = 0.05
-SVM_TOL = 1e-3
-SVM_MAX_ITER = 25  # reported by ``converged`` where it ends a fit
+SVM_TOL = 1e-4  # of the gradient at zero weights
 STEP = 0.001
 
 
@@ -1135,7 +1134,7 @@ def q_svm_objective(spark, sf):
     """H1, H2: objective and squared gradient norm of every cell at one fixed (w, b)."""
     _, ratios, rows = svm_inputs(spark, sf)
     cells = svm_cells()
-    _, got = svm.evaluate(svm.Matrix(*rows["train"]), _fixed_state(ratios, cells), cells, [0.1] * len(cells))
+    _, got = svm.evaluate(svm.Matrix(*rows["train"], ratios), _fixed_state(ratios, cells), cells, [0.1] * len(cells))
     return spark.createDataFrame([(no, c, al, round(r["objective"], 3), round(r["grad_sq"], 3)) for (no, c, al, _), r in zip(_grid_cells(), got)],
                                  "cell_no int, C double, alpha double, objective double, grad_sq double")
 
@@ -1148,7 +1147,7 @@ def q_svm_step(spark, sf):
     """H1: the weights after one fixed step against the gradient of the first cell."""
     _, ratios, rows = svm_inputs(spark, sf, ALPHAS[:1])
     cells = [svm.Cell(SVM_C, "ratio_0")]
-    state, _ = svm.evaluate(svm.Matrix(*rows["train"]), _fixed_state(ratios, cells), cells, [0.1])
+    state, _ = svm.evaluate(svm.Matrix(*rows["train"], ratios), _fixed_state(ratios, cells), cells, [0.1])
     return state.select("feature_id", (F.round(F.col("w0") - STEP * F.col("n0"), 6) + F.lit(0.0)).alias("w"))
 
 
@@ -1157,7 +1156,7 @@ def q_svm_fit(spark, sf):
     """H1 + H3: fit on the train part, report objective, convergence and accuracies (one row)."""
     v, ratios, rows = svm_inputs(spark, sf, [ALPHA])
     cells = [svm.Cell(SVM_C, "ratio_0")]
-    fitted = svm.fit(svm.Matrix(*rows["train"]), ratios, cells, tol=SVM_TOL, max_iter=SVM_MAX_ITER)
+    fitted = svm.fit(svm.Matrix(*rows["train"], ratios), ratios, cells, tol=SVM_TOL)
     right = lambda part: svm.scores(*rows[part], fitted, cells).agg(
         F.avg(((F.col("score0") > 0) == (F.col("label") == 1)).cast("double"))).first()[0]
     return spark.createDataFrame(
@@ -1174,9 +1173,10 @@ def q_svm_predict(spark, sf):
 
     v, ratios, rows = svm_inputs(spark, sf, [ALPHA])
     path = work_folder(spark, "svm")
-    jobs.train(rows["train"], rows["validation"], ratios, [svm.Cell(SVM_C, "ratio_0")], [ALPHA], path, tol=SVM_TOL, max_iter=SVM_MAX_ITER)
+    jobs.train(rows["train"], rows["validation"], ratios, [svm.Cell(SVM_C, "ratio_0")], [ALPHA], path, tol=SVM_TOL)
     out = jobs.evaluate(spark, path, *rows["test"], v.count())
-    return out.select("doc_id", "label", "score", "prediction", "correct")
+    params = spark.read.parquet(f"{path}/params").first()
+    return out.select("doc_id", "label", "score", "prediction", "correct", F.lit(params["converged"]).alias("converged"))
 
 
 # ---------------------------------------------------------------- streaming form of H7
@@ -1210,7 +1210,7 @@ def q_svm_grid_search(spark, sf):
     """
     _, ratios, rows = svm_inputs(spark, sf)
     cells = svm_cells()
-    results, _ = svm.grid_search(svm.Matrix(*rows["train"]), ratios, cells, *rows["validation"], tol=SVM_TOL, max_iter=SVM_MAX_ITER)
+    results, _ = svm.grid_search(svm.Matrix(*rows["train"], ratios), ratios, cells, *rows["validation"], tol=SVM_TOL)
     return spark.createDataFrame(
         [(r["cell_no"], r["C"], alpha, r["validation_accuracy"], r["objective"], r["grad_ratio"], r["converged"], r["is_best"])
          for r, (_, _, alpha, _) in zip(results, _grid_cells())],
