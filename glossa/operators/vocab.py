@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.functions.text import explode_items, feature_set
+from glossa.operators.membership import bit_filter, maybe_members, surely_absent
 from glossa.plans.ranking import dense_index
 
 # The reserved sequence tokens and their ids.
@@ -135,9 +136,15 @@ def decode_ids(encoded: DataFrame, seq_vocab: DataFrame, ids_col: str = "token_i
 
 
 def oov_tokens(tokenized: DataFrame, seq_vocab: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """C4: occurrences whose token is not in the vocabulary (left anti join); the token arrays stay behind."""
+    """C4: occurrences whose token is not in the vocabulary (left anti join); the token arrays stay behind.
+
+    Occurrences that the vocabulary's bit filter rules out are unknown without
+    a join; only the others are shuffled for the exact anti join.
+    """
     occ = explode_items(tokenized, tokens_col, "token", *[c for c in tokenized.columns if c != tokens_col])
-    return occ.join(seq_vocab.select("token"), "token", "left_anti")
+    bits = bit_filter(seq_vocab, F.col("token"))
+    rest = maybe_members(occ, F.col("token"), bits).join(seq_vocab.select("token"), "token", "left_anti")
+    return surely_absent(occ, F.col("token"), bits).unionByName(rest)
 
 
 def oov_rate(tokenized: DataFrame, seq_vocab: DataFrame, tokens_col: str = "tokens") -> DataFrame:
