@@ -6,16 +6,18 @@ in a leaf share a template: at each position the token that more than half of
 the leaf's lines hold, else the wildcard, so numbers, names and edited words
 become variable fields.  A line belongs to its leaf's template if at least
 ``SIMILARITY`` of its positions agree with the template's tokens.  The wordings
-that do not form further templates of the leaf: wordings that hold the same
-tokens in a band of positions take their most frequent one as a seed, and those
-that agree with a seed in ``SIMILARITY`` of all positions are linked; linked
-wordings share a template (the leaf's own, if one of its members is linked).
+that do not form further templates of the leaf: of wordings that hold the same
+tokens in a band of positions the most frequent one is a seed; seeds are taken
+as templates by falling frequency, and each wording joins the first one that
+it agrees with itself in ``SIMILARITY`` of all positions.  Nothing is joined
+through a third wording, so every member of a template agrees with the seed.
 Any other line is a template of its own.  A template found in two documents
 or more is dropped, but for its first occurrence (smallest doc_id, then line),
 so that no content leaves the corpus altogether.
 
 Only hashes of lines are shuffled to find leaves and templates; token hashes
-are fetched for one line of each distinct wording in leaves that hold several.
+are fetched for one line of each distinct wording in leaves that hold several,
+and a bit filter of these lines spares all others the second tokenising.
 The texts themselves are shuffled once, to take the lines out.
 
 Defined cases: null text stays null and has no lines; lines without a token
@@ -30,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm.common import let, read_table, sealed, unsealed, words
-from glossa.llm.components import components
-from glossa.session import cut_lineage
+from glossa.operators.membership import bit_filter, maybe_members
+from glossa.session import cut_lineage, land
 
 DEPTH = 3
 SIMILARITY = 0.8
@@ -48,9 +50,12 @@ def _tokens(line: Column) -> Column:
     return words(F.coalesce(masked, line))
 
 
-def _exploded(keyed: DataFrame) -> DataFrame:
-    """One row per line with a token: key, line number, masked tokens."""
-    lines = keyed.select("_l_id", "_l_hash", F.posexplode(F.split("_l_text", "\n")).alias("_l_no", "_l_line"))
+def _lines(keyed: DataFrame) -> DataFrame:
+    return keyed.select("_l_id", "_l_hash", F.posexplode(F.split("_l_text", "\n")).alias("_l_no", "_l_line"))
+
+
+def _tokenised(lines: DataFrame) -> DataFrame:
+    """Lines with a token: key, line number, masked tokens."""
     lines = lines.withColumn("_l_tokens", _tokens(F.col("_l_line")))
     return lines.filter(F.size("_l_tokens") > 0)
 
@@ -62,7 +67,7 @@ def _leaf(tokens: Column) -> Column:
 def line_leaves(keyed: DataFrame) -> DataFrame:
     """Narrow rows: document key, line number, leaf and hash of the masked wording."""
     t = F.col("_l_tokens")
-    return _exploded(keyed).select("_l_id", "_l_hash", "_l_no", _leaf(t).alias("_l_leaf"),
+    return _tokenised(_lines(keyed)).select("_l_id", "_l_hash", "_l_no", _leaf(t).alias("_l_leaf"),
                                    F.xxhash64(F.array_join(t, " ")).alias("_l_exact"))
 
 
@@ -74,12 +79,15 @@ def leaf_members(keyed: DataFrame, leaves: DataFrame) -> DataFrame:
     chosen = wordings.join(several, F.col("_l_leaf") == F.col("_l_busy"), "left_semi").select(
         "_l_leaf", "_l_exact", "_l_times", F.col("_l_at._l_id").alias("c_id"), F.col("_l_at._l_hash").alias("c_hash"),
         F.col("_l_at._l_no").alias("c_no"))
-    texts = _exploded(keyed).select("_l_id", "_l_hash", "_l_no", F.transform("_l_tokens", lambda t: F.xxhash64(t)).alias("_l_t"))
+    chosen = land(chosen)
+    at = lambda *names: F.struct(*[F.col(n) for n in names])
+    lines = maybe_members(_lines(keyed), at("_l_id", "_l_hash", "_l_no"), bit_filter(chosen, at("c_id", "c_hash", "c_no")))
+    texts = _tokenised(lines).select("_l_id", "_l_hash", "_l_no", F.transform("_l_tokens", lambda t: F.xxhash64(t)).alias("_l_t"))
     # repeated rows give the same line twice; one suffices
     found = texts.join(chosen, F.col("_l_id").eqNullSafe(F.col("c_id")) & (F.col("_l_hash") == F.col("c_hash"))
                        & (F.col("_l_no") == F.col("c_no"))).groupBy("_l_leaf", "_l_exact").agg(
         F.first("_l_times").alias("_l_times"), F.first("_l_t").alias("_l_t"))
-    found = cut_lineage(found)
+    found = land(found)
     support = found.select("_l_leaf", "_l_times", F.posexplode("_l_t").alias("pos", "tok")).groupBy("_l_leaf", "pos", "tok").agg(
         F.sum("_l_times").alias("n"))
     fields = support.groupBy("_l_leaf", "pos").agg(F.max(F.struct("n", "tok")).alias("top"), F.sum("n").alias("all"))
@@ -89,11 +97,12 @@ def leaf_members(keyed: DataFrame, leaves: DataFrame) -> DataFrame:
     both = found.join(template, F.col("_l_leaf") == F.col("t_leaf"))
     agree = _agreeing(F.col("_l_t"), F.transform("t_fields", lambda f: f["tok"]))
     judged = both.select("_l_leaf", "_l_exact", "_l_times", "_l_t", (agree >= SIMILARITY * F.size("_l_t")).alias("_l_member"))
-    judged = cut_lineage(judged.withColumn("_l_node", F.when(F.col("_l_member"), F.col("_l_leaf")).otherwise(F.col("_l_exact"))))
-    joined = components(seed_links(judged), "a", "b").select(F.col("node").alias("j_node"), F.col("root").alias("j_root"))
-    named = F.coalesce("j_root", F.when(F.col("_l_member"), F.col("_l_leaf")))
-    return judged.join(joined, F.col("_l_node") == F.col("j_node"), "left").select(
-        F.col("_l_leaf").alias("m_leaf"), F.col("_l_exact").alias("m_exact"), named.alias("m_template")).filter("m_template is not null")
+    judged = land(judged)
+    further = joined_seeds(judged).select(F.col("_l_leaf").alias("j_leaf"), F.col("_l_exact").alias("j_exact"), "seed")
+    named = F.when(F.col("_l_member"), F.col("_l_leaf")).otherwise(F.xxhash64("_l_leaf", "seed"))
+    placed = judged.join(further, (F.col("_l_leaf") == F.col("j_leaf")) & (F.col("_l_exact") == F.col("j_exact")), "left")
+    return placed.filter(F.col("_l_member") | F.col("seed").isNotNull()).select(
+        F.col("_l_leaf").alias("m_leaf"), F.col("_l_exact").alias("m_exact"), named.alias("m_template"))
 
 
 def _agreeing(a: Column, b: Column) -> Column:
@@ -113,26 +122,45 @@ def _bands(t: Column) -> Column:
     return let(single, lambda s: F.concat(s, F.transform(s, lambda x, i: F.xxhash64(x, F.get(s, (i + 1) % count), F.lit("two")))))
 
 
-def seed_links(judged: DataFrame) -> DataFrame:
-    """Links a, b between nodes of wordings and of seeds they agree with, in leaves where the leaf's template leaves some out.
+def seed_pairs(judged: DataFrame) -> DataFrame:
+    """(_l_leaf, _l_exact, seed, rank): wordings outside their leaf's template and the seeds they agree with; a seed agrees with itself.
 
     The seed of each group of wordings that hold the same tokens in a band is
-    its most frequent one; a wording links to seeds, never to every other.
+    its most frequent one; a wording is compared with seeds, never with every other.
     """
     # fewer than five tokens agree in 0.8 only if equal
-    some = judged.filter(F.size("_l_t") >= 5)
-    open_leaves = some.filter(~F.col("_l_member")).select(F.col("_l_leaf").alias("o_leaf")).distinct()
-    pool = some.join(open_leaves, F.col("_l_leaf") == F.col("o_leaf"), "left_semi")
-    rows = pool.select("_l_leaf", "_l_exact", "_l_times", F.explode(_bands(F.col("_l_t"))).alias("_l_band"))
-    seeds = rows.groupBy(F.col("_l_leaf").alias("s_leaf"), F.col("_l_band").alias("s_band")).agg(
-        F.max(F.struct("_l_times", "_l_exact")).alias("s"), F.count("*").alias("s_n")).filter("s_n > 1")
-    pairs = rows.join(seeds, (F.col("_l_leaf") == F.col("s_leaf")) & (F.col("_l_band") == F.col("s_band"))).filter(
-        F.col("_l_exact") != F.col("s._l_exact")).select(F.col("_l_leaf").alias("p_leaf"), F.col("_l_exact").alias("p_exact"), F.col("s._l_exact").alias("p_seed")).distinct()
-    side = lambda k: judged.select(*[F.col(f"_l_{c}").alias(f"{k}_{c}") for c in ("leaf", "exact", "t", "node")])
+    pool = judged.filter((F.size("_l_t") >= 5) & ~F.col("_l_member"))
+    banded = land(pool.select("_l_leaf", "_l_exact", "_l_times", F.explode(_bands(F.col("_l_t"))).alias("_l_band")))
+    seeds = banded.groupBy(F.col("_l_leaf").alias("s_leaf"), F.col("_l_band").alias("s_band")).agg(
+        F.max(F.struct("_l_times", "_l_exact")).alias("rank"), F.count("*").alias("s_n")).filter("s_n > 1")
+    pairs = banded.join(seeds, (F.col("_l_leaf") == F.col("s_leaf")) & (F.col("_l_band") == F.col("s_band"))).select(
+        F.col("_l_leaf").alias("p_leaf"), F.col("_l_exact").alias("p_exact"), "rank").distinct()
+    side = lambda k: pool.select(*[F.col(f"_l_{c}").alias(f"{k}_{c}") for c in ("leaf", "exact", "t")])
     both = pairs.join(side("w"), (F.col("p_leaf") == F.col("w_leaf")) & (F.col("p_exact") == F.col("w_exact"))).join(
-        side("z"), (F.col("p_leaf") == F.col("z_leaf")) & (F.col("p_seed") == F.col("z_exact")))
-    return both.filter((_agreeing(F.col("w_t"), F.col("z_t")) >= SIMILARITY * F.size("w_t")) & (F.col("w_node") != F.col("z_node"))).select(
-        F.col("w_node").alias("a"), F.col("z_node").alias("b"))
+        side("z"), (F.col("p_leaf") == F.col("z_leaf")) & (F.col("rank._l_exact") == F.col("z_exact")))
+    return both.filter(_agreeing(F.col("w_t"), F.col("z_t")) >= SIMILARITY * F.size("w_t")).select(
+        F.col("p_leaf").alias("_l_leaf"), F.col("p_exact").alias("_l_exact"), F.col("rank._l_exact").alias("seed"), "rank")
+
+
+def joined_seeds(judged: DataFrame) -> DataFrame:
+    """(_l_leaf, _l_exact, seed): each wording's template among the seeds, taken by falling rank (frequency, then hash).
+
+    A round takes every seed that no better open seed agrees with, lets all
+    wordings that agree with it join the best such seed, and closes them; the
+    best open seed of each leaf is always taken, so the rounds end.
+    """
+    open_pairs, out = land(seed_pairs(judged)), None
+    while not open_pairs.isEmpty():
+        best = open_pairs.groupBy("_l_leaf", "_l_exact").agg(F.max("rank").alias("best"))
+        taken = land(best.filter(F.col("_l_exact") == F.col("best._l_exact")).select(F.col("_l_leaf").alias("t_leaf"), F.col("_l_exact").alias("t_exact")))
+        fits = open_pairs.join(taken, (F.col("_l_leaf") == F.col("t_leaf")) & (F.col("seed") == F.col("t_exact")), "left_semi")
+        joined = land(fits.groupBy("_l_leaf", "_l_exact").agg(F.max("rank").alias("to")).select("_l_leaf", "_l_exact", F.col("to._l_exact").alias("seed")))
+        out = joined if out is None else out.unionByName(joined)
+        closed = joined.select(F.col("_l_leaf").alias("c_leaf"), F.col("_l_exact").alias("c_exact"))
+        rest = open_pairs.join(closed, (F.col("_l_leaf") == F.col("c_leaf")) & (F.col("_l_exact") == F.col("c_exact")), "left_anti")
+        rest = rest.join(closed, (F.col("_l_leaf") == F.col("c_leaf")) & (F.col("seed") == F.col("c_exact")), "left_anti")
+        open_pairs = land(rest)
+    return out if out is not None else open_pairs.select("_l_leaf", "_l_exact", "seed")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
