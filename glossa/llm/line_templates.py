@@ -68,7 +68,7 @@ def line_leaves(keyed: DataFrame) -> DataFrame:
     """Narrow rows: document key, line number, leaf and hash of the masked wording."""
     t = F.col("_l_tokens")
     return _tokenised(_lines(keyed)).select("_l_id", "_l_hash", "_l_no", _leaf(t).alias("_l_leaf"),
-                                   F.xxhash64(F.array_join(t, " ")).alias("_l_exact"))
+                                   F.xxhash64(t).alias("_l_exact"))
 
 
 def leaf_members(keyed: DataFrame, leaves: DataFrame) -> DataFrame:

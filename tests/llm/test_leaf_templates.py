@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -49,7 +50,7 @@ def _brute(lines):
     """Documents (one line each, all of one leaf) whose line goes, by the stated rule in plain Python."""
     wordings = Counter(lines)
     n = len(lines[0].split())
-    hashed = {w: int(np.uint64(xxhash.xxh64_intdigest(w.encode(), 42)).astype(np.int64)) for w in wordings}
+    hashed = {w: int(np.uint64(reduce(lambda h, x: xxhash.xxh64_intdigest(x.encode(), h), w.split(), 42)).astype(np.int64)) for w in wordings}
     fixed = []
     for i in range(n):
         (word, times), = Counter(x.split()[i] for x in lines).most_common(1)
