@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.text import explode_items
+from glossa.plans.hotjoin import split_join
 from glossa.session import cut_lineage
 
 
@@ -97,10 +98,8 @@ def class_rows(df: DataFrame, label: int, label_col: str = "label") -> DataFrame
 
 
 def weight_features(feature_ids: DataFrame, ratio: DataFrame, key_col: str = "feature_id") -> DataFrame:
-    """Presence x ratio.  Large-large equi join on the feature key; AQE
-    broadcasts the ratio side at run time when it is measured small and
-    splits skewed (frequent-feature) partitions otherwise."""
-    return feature_ids.join(ratio.select(key_col, F.col("ratio").alias("value")), key_col)
+    """Presence x ratio, rows of frequent features spread over several tasks."""
+    return split_join(feature_ids, ratio.select(key_col, F.col("ratio").alias("value")), key_col)
 
 
 def feature_space_violations(feature_ids: DataFrame, weights: DataFrame, key_col: str = "feature_id") -> DataFrame:

@@ -3,13 +3,18 @@
 Vectors are rows ``(token, vec ARRAY<FLOAT>)``.  The lookup is a left join
 on the token; unknown tokens get a small deterministic vector derived from
 md5 (the reference draws unseeded noise, so only the three-way rule is
-comparable), [PAD] gets zeros.  Pooling works per document on its own
-array of (energy, vector) pairs with higher-order functions, so no
-(occurrence x dimension) rows are ever materialised.
+comparable), [PAD] gets zeros.  Pooling folds vectors into mergeable softmax
+states, so neither (occurrence x dimension) rows nor a document's vectors are
+ever gathered.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,24 +54,64 @@ def halves_sum(vec, hidden: int) -> Column:
     return F.zip_with(F.slice(v, 1, hidden), F.slice(v, hidden + 1, hidden), lambda a, b: a + b)
 
 
+HELD = 4_096          # documents whose partial states a task holds at once
+
+
+def _merged(m: float, z: float, total: np.ndarray, m2: float, z2: float, total2: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """Two softmax states (maximum, sum of exponentials, weighted sum) as one: both rescaled to the larger maximum."""
+    top = max(m, m2)
+    a, b = math.exp(m - top), math.exp(m2 - top)
+    return top, a * z + b * z2, a * total + b * total2
+
+
 def attention_pool(occurrences: DataFrame, vectors: DataFrame, projection: Column, key: str = "doc_id",
                    id_col: str = "token_id") -> DataFrame:
     """E5: ``context = sum_t softmax_t(v_t . p) v_t`` per document.
 
-    ``occurrences`` are (key, pos, token_id) rows; ``projection`` is an
-    array column (one row broadcast).  Each document's pairs are gathered
-    once (bounded by its distinct tokens) and reduced with array functions.
+    ``occurrences`` are (key, pos, token_id) rows; ``projection`` is an array
+    column (one row broadcast).  Every task folds its rows into one state per
+    document (at most ``HELD`` at once), and the states of a document are
+    merged in a stream: no task gathers a document's vectors.
     """
     # a token's occurrences in a document share energy and vector: one row with their number
     counted = occurrences.groupBy(key, id_col).agg(F.count(F.lit(1)).alias("_n"))
     j = counted.join(vectors.select(id_col, "vec"), id_col)
     j = j.withColumn("_e", F.aggregate(F.zip_with("vec", projection, lambda a, b: a * b), F.lit(0.0),
                                        lambda acc, x: acc + x))
-    per = j.groupBy(key).agg(F.collect_list(F.struct("_e", "_n", "vec")).alias("_items"), F.max("_e").alias("_m"))
-    items = F.transform("_items", lambda it: F.struct((it["_n"] * F.exp(it["_e"] - F.col("_m"))).alias("w"), it["vec"].alias("vec")))
-    per = per.withColumn("_items", items).withColumn(
-        "_z", F.aggregate("_items", F.lit(0.0), lambda acc, it: acc + it["w"]))
-    first = F.col("_items")[0]["vec"]
-    zero = F.transform(first, lambda x: F.lit(0.0))
-    ctx = F.aggregate("_items", zero, lambda acc, it: F.zip_with(acc, it["vec"], lambda a, b: a + it["w"] * b))
-    return per.select(key, F.transform(ctx, lambda x: x / F.col("_z")).alias("context"))
+    kind = occurrences.schema[key].dataType.simpleString()
+    state = f"`{key}` {kind}, m double, z double, total array<double>"
+
+    def rows(states: dict) -> pd.DataFrame:
+        return pd.DataFrame({key: list(states), "m": [s[0] for s in states.values()], "z": [s[1] for s in states.values()],
+                             "total": [s[2] for s in states.values()]})
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict = {}
+        for pdf in batches:
+            for k, n, vec, e in zip(pdf[key], pdf["_n"], pdf["vec"], pdf["_e"]):
+                own = (float(e), float(n), n * np.asarray(vec, dtype=np.float64))
+                states[k] = _merged(*states[k], *own) if k in states else own
+                if len(states) > HELD:
+                    yield rows(states)
+                    states = {}
+        if states:
+            yield rows(states)
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = None, None
+        for pdf in batches:
+            done: dict = {}
+            for k, m, z, total in zip(pdf[key], pdf["m"], pdf["z"], pdf["total"]):
+                if own is not None and k == at:
+                    own = _merged(*own, m, z, np.asarray(total))
+                    continue
+                if own is not None:
+                    done[at] = own[2] / own[1]
+                at, own = k, (m, z, np.asarray(total))
+            if done:
+                yield pd.DataFrame({key: list(done), "context": list(done.values())})
+        if own is not None:
+            yield pd.DataFrame({key: [at], "context": [own[2] / own[1]]})
+
+    parts = j.select(key, "_n", "vec", "_e").mapInPandas(fold, state)
+    return parts.repartition(key).sortWithinPartitions(key).mapInPandas(merge, f"`{key}` {kind}, context array<double>")

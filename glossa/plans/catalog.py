@@ -17,7 +17,7 @@ from glossa.functions import text as tx
 from glossa.operators import nb, split, vocab
 from glossa.plans import sqltext as S
 from glossa.session import cut_lineage
-from glossa.sources.tables import labelled_documents, spread, table, text_table
+from glossa.sources.tables import labelled_documents, read_labelled_csv, spread, table, text_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -720,6 +720,43 @@ def q_weighted_features(spark, sf):
     return w.select("doc_id", "feature_id", r6("value").alias("value"))
 
 
+@register("feature_store", f"""
+WITH {MODEL_SQL}
+SELECT o.doc_id, o.split, count(*) AS n_features, round(sum(m.ratio), 6) + 0.0 AS ratio_sum
+FROM occ o JOIN model m ON o.feature = m.feature GROUP BY o.doc_id, o.split
+""")
+def q_feature_store(spark, sf):
+    """The presence and ratio tables written bucketed by feature, read back and joined without an exchange."""
+    from glossa.sources.sinks import read_feature_store, work_folder, write_feature_store
+
+    s, v, model = nb_model(spark, sf)
+    featured = s.select("doc_id", "split", tx.feature_set("tokens").alias("features"))
+    path = work_folder(spark, "features")
+    write_feature_store(vocab.feature_id_rows(featured, v, keep_cols=("split",)), model.select("feature_id", "ratio"), path)
+    stored, weights = read_feature_store(spark, path)
+    return stored.join(weights, "feature_id").groupBy("doc_id", "split").agg(
+        F.count(F.lit(1)).alias("n_features"), (F.round(F.sum("ratio"), 6) + F.lit(0.0)).alias("ratio_sum"))
+
+
+@register("labelled_csv", """
+SELECT d.doc_id, d.text, CAST(l.quality AS INTEGER) AS label
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL
+""")
+def q_labelled_csv(spark, sf):
+    """A1: the labelled corpus written as quoted CSV and read back in byte ranges."""
+    from pyspark.sql import types as T
+
+    from glossa.sources.sinks import work_folder
+
+    docs = table(spark, sf, "documents").select("doc_id", "text").join(
+        table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id").filter("text is not null")
+    path = work_folder(spark, "csv")
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).csv(path)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("label", T.IntegerType())])
+    return read_labelled_csv(spark, path, schema)
+
+
 @register("feature_space_check", f"""
 WITH {MODEL_SQL},
 pr AS (SELECT o.doc_id, o.split, v.feature_id FROM occ o JOIN vocab v ON o.feature = v.feature)

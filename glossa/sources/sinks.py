@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.session import ensure_checkpoint_dir
+from glossa.sources.buckets import bucket_count, open_bucketed, write_bucketed
 from glossa.sources.tables import PREDICTION_COLUMNS, require_columns
 
 MODEL_WEIGHT_COLUMNS = ["feature_id", "ratio", "w"]
@@ -47,6 +48,39 @@ def read_features(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("split") == split).select("doc_id", "feature_id")
 
 
+def write_feature_store(presence: DataFrame, weights: DataFrame, path: str) -> None:
+    """Presence (split, doc_id, feature_id) and the features' columns (feature_id, ratio, ...), both bucketed by feature."""
+    require_columns(presence, ["split", "doc_id", "feature_id"])
+    require_columns(weights, ["feature_id"])
+    spark = presence.sparkSession
+    write_bucketed(presence.select("split", "doc_id", "feature_id"), f"{path}/presence", ["feature_id"])
+    write_bucketed(weights, f"{path}/weights", ["feature_id"])
+    width = weights.agg(F.coalesce(F.max("feature_id") + 1, F.lit(0)).cast("long").alias("width"))
+    width.withColumn("buckets", F.lit(bucket_count(spark))).coalesce(1).write.parquet(f"{path}/store")  # last: the store is whole
+
+
+def read_feature_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Presence and feature columns; a join of the two on feature_id reads them without an exchange."""
+    buckets = spark.read.parquet(f"{path}/store").first()["buckets"]
+    return tuple(open_bucketed(spark, f"{path}/{name}", ["feature_id"], buckets) for name in ("presence", "weights"))
+
+
+def feature_vectors(spark: SparkSession, path: str, split: str, value: str | None = None) -> DataFrame:
+    """(doc_id, features): the store as sparse vectors for other learners; values 1, or the features' column ``value``.
+
+    Documents without any feature have no row, as in the store.
+    """
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    width = int(spark.read.parquet(f"{path}/store").first()["width"])
+    presence, weights = read_feature_store(spark, path)
+    rows = presence.filter(F.col("split") == split)
+    rows = rows.join(weights.select("feature_id", F.col(value).cast("double").alias("v")), "feature_id") if value else rows.withColumn("v", F.lit(1.0))
+    pairs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("feature_id").cast("int").alias("i"), "v"))).alias("p"))
+    to_vector = F.udf(lambda i, v: SparseVector(width, i, v), VectorUDT())
+    return pairs.select("doc_id", to_vector("p.i", "p.v").alias("features"))
+
+
 def vocabulary(spark: SparkSession, path: str, build: Callable[[], DataFrame], reuse: bool = True) -> DataFrame:
     """Reuse the stored vocabulary when present, else build and store it."""
     if reuse:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glossa.sources.csvsplit import csv_records, parse_records
+
 CORPUS_SCHEMA = T.StructType([
     T.StructField("text", T.StringType(), True),
     T.StructField("label", T.IntegerType(), True),
@@ -59,23 +61,16 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType = CORPUS_SCHEMA) -> DataFrame:
-    """A1: labelled CSV split with quoted multi-line texts.
-
-    ``multiLine`` files cannot be split between tasks; land them once to
-    parquet (``land_parquet``) and read that for every later job.
+    """A1: labelled CSV with quoted multi-line texts, scanned in byte ranges by many tasks.
 
     The header names the columns: required names that it lacks are refused
     (A2), further columns are dropped, and the order is free.
     """
-    def reader():
-        return spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-
-    header = reader().csv(path)
+    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     require_columns(header, schema.fieldNames())
     known = {f.name: f for f in schema}
     found = T.StructType([known.get(c, T.StructField(c, T.StringType(), True)) for c in header.columns])
-    df = reader().schema(found).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
-    return df.select(*schema.fieldNames())
+    return parse_records(csv_records(spark, path), found).select(*schema.fieldNames())
 
 
 def land_parquet(df: DataFrame, path: str) -> DataFrame:
