@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import let, read_table, sealed, unsealed, words
+from glossa.llm.common import let, read_table, sealed, unsealed
 from glossa.operators.membership import bit_filter, maybe_members
 from glossa.session import cut_lineage, land
 
@@ -46,12 +46,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _tokens(line: Column) -> Column:
-    masked = F.when(line.rlike(r"\d"), F.regexp_replace(line, r"[^\x20\x09-\x0D]*\d[^\x20\x09-\x0D]*", WILD))
-    return words(F.coalesce(masked, line))
+    masked = F.when(line.rlike(r"\d"), F.regexp_replace(line, r"[^ ]*\d[^ ]*", WILD))
+    return F.array_remove(F.split(F.coalesce(masked, line), " "), "")
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    return keyed.select("_l_id", "_l_hash", F.posexplode(F.split("_l_text", "\n")).alias("_l_no", "_l_line"))
+    """One row per line, all white space in it made spaces: splitting at one character needs no pattern."""
+    text = F.col("_l_text")
+    spaced = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.regexp_replace(text, r"[\x09\x0B-\x0D]", " ")).otherwise(text)
+    return keyed.select("_l_id", "_l_hash", F.posexplode(F.split(spaced, "\n")).alias("_l_no", "_l_line"))
 
 
 def _tokenised(lines: DataFrame) -> DataFrame:
