@@ -1,5 +1,7 @@
 """Sequence/NB vocabularies, dense index, stratified split invariants."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from glossa.functions import text as tx
@@ -12,17 +14,21 @@ def _tok(spark, texts):
     return df.select("doc_id", tx.tokenize("text").alias("tokens"))
 
 
-def test_sequence_vocabulary_cases(spark):
-    sv = vocab.seq_vocabulary(_tok(spark, ["Good movie", "Bad movie", "GOOD acting"]))
-    itos = [r["token"] for r in sv.orderBy("token_id").collect()]
-    assert itos == ["[PAD]", "[UNK]", "[BOS]", "[EOS]", "acting", "bad", "good", "movie"]
-    ids = [r["token_id"] for r in sv.orderBy("token_id").collect()]
-    assert ids == list(range(8))
-    probe = spark.createDataFrame([(0, ["good", "missing", "movie"]), (1, ["excellent"])], "doc_id long, tokens array<string>")
+def test_sequence_vocabulary_is_sorted_dense_and_order_free(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abzéß0") for _ in range(rng.randint(1, 3))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    used = sorted({w for t in texts for w in t.split()})
+    sv = vocab.seq_vocabulary(_tok(spark, texts))
+    rows = sorted(tuple(r) for r in sv.select("token_id", "token").collect())
+    assert rows == list(enumerate(vocab.RESERVED_TOKENS + used))
+    probes = [[rng.choice(used + ["never-seen", "??"]) for _ in range(n)] for n in (0, 1, 6, 30)]
+    probe = spark.createDataFrame(list(enumerate(probes)), "doc_id long, tokens array<string>")
     got = {r["doc_id"]: r["token_ids"] for r in vocab.token_ids(probe, sv).collect()}
-    assert got == {0: [6, 1, 7], 1: [1]}
-    shuffled = vocab.seq_vocabulary(_tok(spark, ["GOOD acting", "Bad movie", "Good movie"]).repartition(3))
-    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, sv.collect()))
+    number = {w: i for i, w in rows}
+    assert got == {k: [number.get(w, vocab.UNK_ID) for w in ws] for k, ws in enumerate(probes)}
+    again = vocab.seq_vocabulary(_tok(spark, texts[::-1]).repartition(3))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, sv.collect()))
 
 
 def test_nb_vocabulary_order_and_lookup(spark):
