@@ -7,8 +7,8 @@ from any explicitly blocked member to every alias that no rule names.  An
 explicit allow always stands: an allowed url is never blocked by its aliases.
 
 Edges come from the pages themselves (``<link rel=canonical>`` and
-``<meta http-equiv=refresh>``, relative targets resolved) and, if given, from
-a table of crawled redirects.  Targets that were not crawled are judged by the
+``<meta http-equiv=refresh>``; every such tag, relative targets, bare queries
+and dot segments resolved) and, if given, from a table of crawled redirects.  Targets that were not crawled are judged by the
 rules too.  A node is host, path and query: scheme and fragment do not make
 another resource.
 
@@ -18,7 +18,8 @@ judged once each, however many pages share one.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no
 rule, no aliases and is allowed; null html has no edges; repeated rows give
-repeated results; two rules of equal length that fit cannot both be longest
+repeated results; long html is searched whole; a page with several canonical
+tags is an alias of all their targets; two rules of equal length that fit cannot both be longest
 unless equal, then block wins; empty table: empty result.
 """
 
@@ -36,11 +37,13 @@ from glossa.session import cut_lineage
 # The rules of the contract query.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
-_CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+_CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical\b)[^>]*>"""
 _REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _HREF = r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _URL = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
+_URL_PARTS = r"^([^/?#]*://[^/?#]*)([^?#]*)(.*)$"
+_DOTS = r"(?:^|/)\.\.?(?:/|$)"
 
 
 def host(url: Column) -> Column:
@@ -56,22 +59,34 @@ def node(url: Column) -> Column:
     return F.when(url.contains("://"), F.md5(F.concat(host(url), F.regexp_extract(url, r"://[^/?#]*([^#]*)", 1))))
 
 
+def without_dots(url: Column) -> Column:
+    """An absolute url whose path has its ``.`` and ``..`` segments resolved; ``..`` at the root stays there."""
+    part = lambda i: F.regexp_extract(url, _URL_PARTS, i)
+    segments = F.split(F.regexp_replace(part(2), "^/", ""), "/")
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda a, s: F.when(
+        s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))))
+    closing = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(part(2).rlike(_DOTS), F.concat(part(1), F.lit("/"), F.array_join(kept, "/"), closing, part(3))).otherwise(url)
+
+
 def resolve(target: Column, url: Column) -> Column:
-    """``target`` of a link on the page ``url`` as an absolute url; null if there is none."""
+    """``target`` of a link on the page ``url`` as an absolute url without dot segments; null if there is none."""
     t = F.replace(F.trim(target), F.lit("&amp;"), F.lit("&"))
     base = F.concat(F.lit("http://"), host(url))
     folder = F.regexp_replace(F.when(path(url) == "", "/").otherwise(path(url)), r"[^/]*$", "")
-    return (F.when((t == "") | t.startswith("#") | (host(url) == ""), F.when(t.rlike(_SCHEME), t))
-            .when(t.rlike(_SCHEME), t).when(t.startswith("//"), F.concat(F.lit("http:"), t))
-            .when(t.startswith("/"), F.concat(base, t)).otherwise(F.concat(base, folder, t)))
+    whole = (F.when((t == "") | t.startswith("#") | (host(url) == ""), F.when(t.rlike(_SCHEME), t))
+             .when(t.rlike(_SCHEME), t).when(t.startswith("//"), F.concat(F.lit("http:"), t))
+             .when(t.startswith("/"), F.concat(base, t)).when(t.startswith("?"), F.concat(base, F.when(path(url) == "", "/").otherwise(path(url)), t))
+             .otherwise(F.concat(base, folder, t)))
+    return without_dots(whole)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url): canonical and refresh targets of every page."""
-    tag = F.regexp_extract("html", _CANONICAL, 0)
-    canonical = F.concat(*[F.regexp_extract(tag, _HREF, i) for i in (1, 2, 3)])
-    refresh = F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _URL, 1)
-    found = pages.select("url", F.explode(F.array(canonical, refresh)).alias("target")).filter("target <> ''")
+    """(from_url, to_url): the targets of all canonical and refresh tags of every page."""
+    tags = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    canonical = F.transform(tags(_CANONICAL), lambda tag: F.concat(*[F.regexp_extract(tag, _HREF, i) for i in (1, 2, 3)]))
+    refresh = F.transform(tags(_REFRESH), lambda tag: F.regexp_extract(tag, _URL, 1))
+    found = pages.select("url", F.explode(F.concat(canonical, refresh)).alias("target")).filter("target <> ''")
     return found.select(F.col("url").alias("from_url"), resolve(F.col("target"), F.col("url")).alias("to_url"))
 
 
@@ -132,18 +147,30 @@ ORACLE_SQL = f"""
 WITH RECURSIVE rules(action, rule, r_host, r_path) AS (
   SELECT a, r, split_part(r, '/', 1), substr(r, instr(r, '/')) FROM (VALUES {", ".join(f"('{a}', '{r}')" for a, r in RULES)}) t(a, r)),
 targets AS (
-  SELECT url, unnest([
-    concat(regexp_extract(tag, {_literal(_HREF)}, 1), regexp_extract(tag, {_literal(_HREF)}, 2), regexp_extract(tag, {_literal(_HREF)}, 3)),
-    regexp_extract(regexp_extract(html, {_literal(_REFRESH)}, 0), {_literal(_URL)}, 1)]) AS raw
-  FROM (SELECT url, html, regexp_extract(html, {_literal(_CANONICAL)}, 0) AS tag FROM pages)),
+  SELECT url, unnest(list_concat(
+    list_transform(regexp_extract_all(html, {_literal(_CANONICAL)}), lambda tag: concat(
+      regexp_extract(tag, {_literal(_HREF)}, 1), regexp_extract(tag, {_literal(_HREF)}, 2), regexp_extract(tag, {_literal(_HREF)}, 3))),
+    list_transform(regexp_extract_all(html, {_literal(_REFRESH)}), lambda tag: regexp_extract(tag, {_literal(_URL)}, 1)))) AS raw
+  FROM pages),
 cleaned AS (
   SELECT url, replace(trim(raw), '&amp;', '&') AS t, {_SQL_HOST.format(u='url')} AS h, {_SQL_PATH.format(u='url')} AS p
   FROM targets WHERE raw <> '' AND url IS NOT NULL),
-links AS (
+resolved AS (
   SELECT DISTINCT url AS from_url, CASE
     WHEN regexp_matches(t, '{_SCHEME}') THEN t WHEN t = '' OR t[1] = '#' OR h = '' THEN NULL
     WHEN t[1:2] = '//' THEN 'http:' || t WHEN t[1] = '/' THEN 'http://' || h || t
+    WHEN t[1] = '?' THEN 'http://' || h || CASE WHEN p = '' THEN '/' ELSE p END || t
     ELSE 'http://' || h || regexp_replace(CASE WHEN p = '' THEN '/' ELSE p END, '[^/]*$', '') || t END AS to_url FROM cleaned),
+parted AS (
+  SELECT *, regexp_extract(to_url, {_literal(_URL_PARTS)}, 1) AS u1, regexp_extract(to_url, {_literal(_URL_PARTS)}, 2) AS u2,
+    regexp_extract(to_url, {_literal(_URL_PARTS)}, 3) AS u3, string_split(regexp_replace(u2, '^/', ''), '/') AS segs FROM resolved),
+folded AS (
+  SELECT *, list_reduce(list_prepend(['']::VARCHAR[], list_transform(segs, lambda s: [s])), lambda a, s:
+    CASE WHEN s[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] WHEN s[1] = '.' THEN a ELSE list_concat(a, s) END) AS kept FROM parted),
+links AS (
+  SELECT DISTINCT from_url, CASE WHEN regexp_matches(u2, '{_DOTS}')
+    THEN u1 || array_to_string(kept, '/') || CASE WHEN len(kept) = 1 OR segs[-1] IN ('.', '..') THEN '/' ELSE '' END || u3 ELSE to_url END AS to_url
+  FROM folded),
 urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT to_url FROM links WHERE to_url IS NOT NULL),
 parts AS (SELECT url, {_SQL_HOST.format(u='url')} AS host, {_SQL_PATH.format(u='url')} AS path, {_SQL_NODE.format(u='url')} AS node FROM urls),
 judged AS (
