@@ -1,14 +1,13 @@
 """Secret scan with sliding-window entropy (operator 3), in SQL functions only.
 
-Three plain patterns give the base spans.  In the text between assignments,
+Three plain patterns give the base spans.  In the text between base spans,
 every run of 20 or more characters of the base64 and url alphabets is a
 candidate: its character class (hex, mixed case with digits, one case with
-digits) sets the limit, and a window of 20 characters slides over the run.
+digits, mixed case without digits) sets the limit, and a window of 20 characters slides over the run.
 The window's counts are updated by the character that enters and the one that
 leaves, and with them the sum of c log2 c that gives its Shannon entropy.  The
 run is a secret if any window reaches its class's limit, unless the allow list
-matches (uuids, digit strings, dates, slugs and paths) or a base pattern has
-found it already.
+matches the whole of it (uuids, digit strings, dates, slugs and paths).
 
 Spans are in code points, end exclusive.  Positions come from the lengths of
 what a pattern matches and what lies between, summed in blocks, so a long text
@@ -32,6 +31,7 @@ from glossa.llm.common import let, read_table
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run of 20 or more from its first AKIA; a shorter one holds no longer match
 HEX = r"[0-9a-f]{24,}"
+KNOWN = f"{ACCESS}|{HEX}"
 MIN_VALUE = 6
 
 WINDOW = 20
@@ -40,10 +40,10 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALLOW = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_=-]+$",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9TZ/_+-]*$",
     r"^/?[A-Za-z]+([/_-]([A-Za-z]+|[0-9]+))+/?$",
 ]
-LIMITS = {"hex": 2.9, "mixed": 3.7, "single": 3.5}
+LIMITS = {"hex": 2.9, "mixed": 3.7, "single": 3.5, "letters": 3.9}
 _BLOCK = 256
 
 
@@ -113,7 +113,8 @@ def max_entropy(run: Column, window: int = WINDOW) -> Column:
 def _limit(run: Column) -> Column:
     """Entropy that makes a run of its character class a secret; null for classes that are never one."""
     digit, upper, lower = run.rlike("[0-9]"), run.rlike("[A-Z]"), run.rlike("[a-z]")
-    return (F.when(~digit | ~(upper | lower), F.lit(None).cast("double")).when(run.rlike("^[0-9a-fA-F]+$"), F.lit(LIMITS["hex"]))
+    return (F.when(~digit & upper & lower, F.lit(LIMITS["letters"]))
+            .when(~digit | ~(upper | lower), F.lit(None).cast("double")).when(run.rlike("^[0-9a-fA-F]+$"), F.lit(LIMITS["hex"]))
             .when(upper & lower, F.lit(LIMITS["mixed"])).otherwise(F.lit(LIMITS["single"])))
 
 
@@ -121,8 +122,7 @@ def _is_secret(run: Column, allow: list[str]) -> Column:
     listed = F.lit(False)
     for p in allow:
         listed = listed | run.rlike(p)
-    known = run.rlike(HEX) | run.rlike(ACCESS)
-    return F.when(_limit(run).isNull() | known | listed, F.lit(False)).otherwise(max_entropy(run) >= _limit(run))
+    return F.when(_limit(run).isNull() | listed, F.lit(False)).otherwise(max_entropy(run) >= _limit(run))
 
 
 def scan(docs: DataFrame, text: str = "text", allow: list[str] | None = None) -> DataFrame:
@@ -131,8 +131,11 @@ def scan(docs: DataFrame, text: str = "text", allow: list[str] | None = None) ->
     t = F.col("_x_text")
     df = docs.withColumn("_x_text", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("_x_parts", _pieces(t, ASSIGN))
-    inside = F.transform("_x_parts", lambda p: F.when(p["between"].rlike(CANDIDATE), F.filter(
-        _spans(_pieces(p["between"], CANDIDATE), p["start"]), lambda s: _is_secret(s["hit"], allow))))
+    # between assignments, and there between the other base spans
+    runs = lambda part, start: F.filter(_spans(_pieces(part, CANDIDATE), start), lambda s: _is_secret(s["hit"], allow))
+    inside = F.transform("_x_parts", lambda p: F.when(p["between"].rlike(CANDIDATE), F.flatten(F.filter(F.transform(
+        _pieces(p["between"], KNOWN), lambda q: F.when(q["between"].rlike(CANDIDATE), runs(q["between"], p["start"] + q["start"]))),
+        lambda x: x.isNotNull()))))
     valid = F.filter(_spans(F.col("_x_parts")), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN, 2)) >= MIN_VALUE)
     return df.withColumns({
         "_x_assign": valid, "_x_access": _spans(_pieces(t, ACCESS)), "_x_hex": _spans(_pieces(t, HEX)),
@@ -171,7 +174,7 @@ def _sql_spans(column: str, pattern: str) -> str:
       'pt': b[i], 'h': h[i]}}) FROM (SELECT regexp_split_to_array({column}, {_sql(pattern)}) AS b, regexp_extract_all({column}, {_sql(pattern)}) AS h))"""
 
 
-_SQL_ALLOWED = " OR ".join(f"regexp_matches(h, {_sql(p)})" for p in [*ALLOW, HEX, ACCESS])
+_SQL_ALLOWED = " OR ".join(f"regexp_matches(h, {_sql(p)})" for p in ALLOW)
 ORACLE_SQL = f"""
 WITH t AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
 cut AS (SELECT rid, {_sql_spans('text', ASSIGN)} AS a, {_sql_spans('text', ACCESS)} AS k, {_sql_spans('text', HEX)} AS x FROM t),
@@ -180,16 +183,17 @@ flat AS (
 base AS (
   SELECT rid, kind, (m.p0 + length(m.pt))::BIGINT AS s, (m.p0 + length(m.pt) + length(m.h))::BIGINT AS e FROM flat
   WHERE m.h IS NOT NULL AND (kind > 0 OR length(regexp_extract(m.h, {_sql(ASSIGN)}, 2)) >= {MIN_VALUE})),
+rest AS (SELECT rid, m.p0 AS p0, unnest({_sql_spans('m.pt', KNOWN)}) AS m FROM flat WHERE kind = 0),
 runs AS (
-  SELECT rid, p0, unnest({_sql_spans('pt', CANDIDATE)}) AS m FROM (SELECT rid, m.p0 AS p0, m.pt AS pt FROM flat WHERE kind = 0)),
+  SELECT rid, p0, unnest({_sql_spans('pt', CANDIDATE)}) AS m FROM (SELECT rid, p0 + m.p0 AS p0, m.pt AS pt FROM rest)),
 cands AS (
   SELECT rid, (p0 + m.p0 + length(m.pt))::BIGINT AS s, m.h AS h,
     regexp_matches(m.h, '[0-9]') AS d, regexp_matches(m.h, '[A-Z]') AS u, regexp_matches(m.h, '[a-z]') AS l FROM runs WHERE m.h IS NOT NULL),
 entropies AS (
   SELECT rid, 3 AS kind, s, s + length(h) AS e,
-    CASE WHEN regexp_matches(h, '^[0-9a-fA-F]+$') THEN {LIMITS["hex"]} WHEN u AND l THEN {LIMITS["mixed"]} ELSE {LIMITS["single"]} END AS lim,
+    CASE WHEN regexp_matches(h, '^[0-9a-fA-F]+$') AND d THEN {LIMITS["hex"]} WHEN u AND l AND NOT d THEN {LIMITS["letters"]} WHEN u AND l THEN {LIMITS["mixed"]} ELSE {LIMITS["single"]} END AS lim,
     list_max(list_transform(range(1, length(h) - {WINDOW - 2}), lambda i: list_aggregate(string_split(substr(h, i, {WINDOW}), ''), 'entropy'))) AS ent
-  FROM cands WHERE d AND (u OR l) AND NOT ({_SQL_ALLOWED})),
+  FROM cands WHERE ((d AND (u OR l)) OR (u AND l)) AND NOT ({_SQL_ALLOWED})),
 spans AS (SELECT * FROM base UNION ALL SELECT rid, kind, s, e FROM entropies WHERE ent >= lim),
 named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || s || ':' || e AS txt FROM spans),
 grouped AS (
