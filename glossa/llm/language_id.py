@@ -40,18 +40,35 @@ KEEP = 0.15
 MAX_GRAMS = 50_000
 SLOT_BITS = 20
 PROBES = 2
+MAX_LANGS = 10_000    # counts sent to every task
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """text, lang of about ``rows`` documents per language among those that are not held out."""
-    allowed = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = allowed.groupBy(F.col("lang").alias("c_lang")).agg(F.count("*").alias("n"))
-    luck = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    return allowed.join(counts, F.col("lang") == F.col("c_lang")).filter(luck * F.col("n") < rows).select("text", "lang")
+def learnable(docs: DataFrame) -> DataFrame:
+    return docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
+def language_counts(docs: DataFrame) -> DataFrame:
+    """c_lang, n: documents that may be learnt from, per language."""
+    return cut_lineage(learnable(docs).groupBy(F.col("lang").alias("c_lang")).agg(F.count("*").alias("n")))
+
+
+def training_sample(docs: DataFrame, rows: int = FIT_ROWS, counts: DataFrame | None = None) -> DataFrame:
+    """text, lang of about ``rows`` documents per language among those that are not held out.
+
+    Equal rows (doc_id and text) are one, so a row repeated over much of the
+    table does not pass the bound.  Counts of up to ``MAX_LANGS`` languages
+    are sent to the texts, which then stay where they are.
+    """
+    counts = language_counts(docs) if counts is None else counts
+    few = counts.limit(MAX_LANGS + 1).count() <= MAX_LANGS
+    key = F.xxhash64("doc_id", "text", F.lit("language"))
+    luck = F.pmod(key, F.lit(1 << 30)) / (1 << 30)
+    chosen = learnable(docs).join(F.broadcast(counts) if few else counts, F.col("lang") == F.col("c_lang")).filter(luck * F.col("n") < rows)
+    return chosen.select("text", "lang", "doc_id").dropDuplicates(["doc_id", "lang", "text"]).select("text", "lang")
 
 
 def gram_shares(sample: DataFrame) -> DataFrame:
@@ -76,10 +93,13 @@ def gram_shares(sample: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS, max_grams: int = MAX_GRAMS, slot_bits: int = SLOT_BITS) -> dict:
     """Languages, bit-sliced filters (masks x slots) and false-positive rates."""
-    shares = cut_lineage(gram_shares(cut_lineage(training_sample(docs, rows))))
+    counts = language_counts(docs)
+    shares = cut_lineage(gram_shares(cut_lineage(training_sample(docs, rows, counts))))
     best = shares.groupBy(F.col("gram").alias("b_gram")).agg(F.max("share").alias("best"))
-    own = shares.join(best, F.col("gram") == F.col("b_gram")).filter((F.col("docs") >= MIN_DOCS) & (F.col("share") >= KEEP * F.col("best")))
+    own = cut_lineage(shares.join(best, F.col("gram") == F.col("b_gram")).filter(
+        (F.col("docs") >= MIN_DOCS) & (F.col("share") >= KEEP * F.col("best"))).select("lang", "gram", "docs"))
     langs = sorted(r[0] for r in shares.select("lang").distinct().collect())
+    known = {r["c_lang"]: r["n"] for r in counts.filter(F.col("c_lang").isin(langs)).collect()}
     masks = np.zeros((max(1, -(-len(langs) // 64)), 1 << slot_bits), dtype=np.uint64)
     rates = np.zeros(len(langs))
     for i, lang in enumerate(langs):  # at most MAX_GRAMS hashes a language
@@ -89,7 +109,8 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, max_grams: int = MAX_GRAMS, slot_
         for s in slots(grams, slot_bits):
             masks[i // 64, s] |= bit
         rates[i] = ((masks[i // 64] & bit) > 0).mean() ** PROBES
-    return {"langs": langs, "masks": masks, "rates": rates, "slot_bits": slot_bits}
+    return {"langs": langs, "masks": masks, "rates": rates, "slot_bits": slot_bits,
+            "prior": np.array([known[lang] for lang in langs], dtype=float) / max(1, sum(known.values()))}
 
 
 def slots(h: np.ndarray, slot_bits: int) -> list[np.ndarray]:
@@ -116,6 +137,8 @@ def classify(texts: list, model: dict) -> tuple[np.ndarray, np.ndarray]:
             bit = (word[i // 64] >> np.uint64(i % 64)) & np.uint64(1)
             hits[lo:hi, i] += np.bincount(row - lo, weights=weight * bit, minlength=hi - lo)
     true = np.maximum(hits - rates * total[:, None], 0) / np.maximum(1 - rates, 1e-9)
+    told = true.sum(axis=1, keepdims=True) > 0
+    true = np.where(told, true, model["prior"]) if n_langs else true  # a text without known n-grams: the commonest language
     best = np.argmax(true, axis=1) if n_langs else np.zeros(len(texts), dtype=int)
     has_letter = np.array([any(map(str.isalpha, t)) if t else False for t in texts], dtype=bool)
     if not n_langs:
