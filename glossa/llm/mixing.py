@@ -11,10 +11,14 @@ target by less than one document per source.
 The trades run in chunks of a source (documents dealt by hash, so a source
 with a third of all rows is many chunks); each leaves one fractional document
 at most, and these residuals meet in the next level of a reduction tree, until
-one is left per source, which is rounded to the nearer side.  Random numbers
-are hashes of the document, so reruns agree.
-
-Defined cases: null or blank text has size 0 and takes nothing; null is a
+one is left per source, which is taken with the probability it has left.
+Random numbers are hashes of the document and of its number among equal rows,
+so reruns agree and rows repeated over a third of the table fall into many
+chunks.
+
+Defined cases: null or blank text has size 0 and takes nothing; long texts are
+counted whole; ties between sources cannot occur, ties between documents in
+size are traded in the order of their hashes; null is a
 source of its own that ranks last; a source of size 0 has target 0; repeated
 rows are decided one by one (which of equal rows is taken makes no
 difference); empty table: empty result; a null doc_id is an id like others.
@@ -27,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import SPACE, read_table, sealed, unsealed
+from glossa.llm.common import SPACE, numbered, read_table, sealed, unsealed
 from glossa.plans.ranking import dense_index
 from glossa.session import cut_lineage
 
@@ -83,7 +87,7 @@ def pivot(size: np.ndarray, part: np.ndarray, chance: np.ndarray) -> np.ndarray:
 
 def _trade(pdf: pd.DataFrame) -> pd.DataFrame:
     """One chunk: large documents first, so that what stays open at the end is small."""
-    pdf = pdf.sort_values(["size", "hash", "id", "no_id"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["size", "hash", "id", "no_id", "nr"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
     pdf["part"] = pivot(pdf["size"].to_numpy(), pdf["part"].to_numpy(), (pdf["luck"].to_numpy(dtype=np.int64) & ((1 << 53) - 1)) / (1 << 53))
     return pdf.drop(columns="chunk")
 
@@ -91,7 +95,7 @@ def _trade(pdf: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, chunk: int = CHUNK) -> DataFrame:
     """doc_id, source, hash (of the text), size, source_size, target and copies, one row per row of ``docs``."""
     size = F.coalesce(F.regexp_count("text", F.lit("[^" + SPACE[1:] + "+")), F.lit(0)).cast("long")
-    sized = cut_lineage(docs.select("doc_id", "source", F.xxhash64("text").alias("hash"), size.alias("size")))
+    sized = cut_lineage(numbered(docs.select("doc_id", "source", F.xxhash64("text").alias("hash"), size.alias("size"))))
     goal = targets(sized, weights, share, max_copies)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sized.join(goal, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("each", each)
@@ -105,7 +109,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int
     settled, level, per = [], 0, 1
     while most > 1:
         most, per = -(-most // chunk), per * chunk
-        dealt = rows.withColumn("luck", F.xxhash64("id", "no_id", "hash", F.lit(SEED + level)))
+        dealt = rows.withColumn("luck", F.xxhash64("id", "no_id", "hash", "nr", F.lit(SEED + level)))
         n = F.ceil(F.col("t_docs") / per)
         part = dealt.withColumn("chunk", F.pmod(F.xxhash64("luck", F.lit("chunk")), n))
         traded = cut_lineage(part.groupBy("source", "chunk").applyInPandas(_trade, schema)).drop("luck")
@@ -114,10 +118,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int
     out = rows
     for s in settled:
         out = out.unionByName(s)
+    chance = F.pmod(F.xxhash64("id", "no_id", "hash", "nr", F.lit("last")), F.lit(1 << 53)) / (1 << 53)  # for the last one of a source
     return out.withColumns({
         "doc_id": F.when(~F.col("no_id"), F.col("id")),
-        "copies": (F.col("whole") + (F.col("part") >= 0.5).cast("int")).cast("long"),
-    }).drop("t_docs", "whole", "part", "id", "no_id")
+        "copies": (F.col("whole") + (chance < F.col("part")).cast("int")).cast("long"),
+    }).drop("t_docs", "whole", "part", "id", "no_id", "nr")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -136,4 +141,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def op8_pivotal_mix(spark, sf_dir) -> DataFrame:
     out = mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
