@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import read_table
+from glossa.llm.common import numbered, read_table
 from glossa.session import cut_lineage
 
 CAPACITY = 2_048
@@ -265,13 +265,13 @@ def evolve(sizes: np.ndarray, elites: list[np.ndarray], capacity: int, seed: int
 
 # ------------------------------------------------------------ distribution
 
-ITEM = "doc_id string, piece int, start long, length long, ids_crc32 long, shard long"
-_ORDER = ["length", "doc_id", "piece", "start", "ids_crc32"]
+ITEM = "doc_id string, piece int, start long, length long, ids_crc32 long, nr long, shard long"
+_ORDER = ["length", "doc_id", "piece", "start", "ids_crc32", "nr"]
 
 
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     """The same order of a shard's pieces on every island; rows equal in all columns are interchangeable."""
-    return pdf.sort_values(_ORDER, ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
+    return pdf.sort_values(_ORDER, ascending=[False, *[True] * 5], kind="stable").reset_index(drop=True)
 
 
 def pack_pieces(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, shard: int = SHARD, rounds: int = ROUNDS) -> DataFrame:
@@ -309,11 +309,11 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLAN
         return settle
 
     targets = [F.col("origin"), (F.col("origin") + 1) % islands][:islands]  # an elite stays and also goes to the next island
-    done, left, n = [], items, items.count()
+    done, left, n = [], numbered(items), items.count()
     for r in range(rounds):
         shards = max(1, -(-n // shard))
         last = r == rounds - 1 or shards == 1
-        dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(r)), F.lit(shards)))
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nr", F.lit(r)), F.lit(shards)))
         spread = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
         first = spread.groupBy("shard", "island").applyInPandas(start, f"{ITEM}, island int, bin long")
         moved = first.withColumn("origin", F.col("island")).withColumn("island", F.explode(F.array(*targets)))
@@ -323,7 +323,7 @@ def pack_pieces(items: DataFrame, capacity: int = CAPACITY, islands: int = ISLAN
         done.append(packed.filter("done").select(*items.columns, number.alias("sequence_id"), "offset"))
         if last:
             break
-        left = packed.filter("not done").select(*items.columns)
+        left = packed.filter("not done").select(*items.columns, "nr")
         n = left.count()
         if not n:
             break
