@@ -244,8 +244,8 @@ def op5_quality_rules(spark, sf_dir) -> DataFrame:
     return out.select(
         "doc_id", F.col("_q_n").alias("n_words"), F.col("_q_word_chars").alias("word_chars"), F.col("_q_symbols").alias("n_symbols"),
         F.col("_q_dup_lines").alias("n_dup_lines"), F.col("_q_repeat").alias("n_repeat_words"),
-        F.round("_q_dc", 6).alias("char_distance"), F.round("_q_dw", 6).alias("word_distance"),
-        F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"))
+        F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"),
+        F.round("_q_dc", 6).alias("char_distance"), F.round("_q_dw", 6).alias("word_distance"))
 
 
 def _sql_list(words: list[str]) -> str:
