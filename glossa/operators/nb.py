@@ -105,3 +105,16 @@ def weight_features(feature_ids: DataFrame, ratio: DataFrame, key_col: str = "fe
 def feature_space_violations(feature_ids: DataFrame, weights: DataFrame, key_col: str = "feature_id") -> DataFrame:
     """Feature ids of the data that the weight table does not know (must be empty)."""
     return feature_ids.select(key_col).join(weights.select(key_col), key_col, "left_anti")
+
+
+def feature_space_by_split(featured: DataFrame, nb_vocab: DataFrame) -> DataFrame:
+    """C8 for data that were not encoded with the model's vocabulary: per split the presence entries, those that the
+    vocabulary does not know, and the documents that hold such an entry (doc_id, split, features).
+
+    Unknown entries are counted per document first, so the last exchange carries one row per split and task.
+    """
+    rows = explode_items(featured, "features", "feature", "doc_id", "split")
+    looked = rows.join(nb_vocab.select("feature", F.lit(1).alias("_known")), "feature", "left")
+    each = looked.groupBy("split", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_known").isNull()).alias("bad"))
+    return each.groupBy("split").agg(F.sum("n").alias("features"), F.sum("bad").alias("unknown_features"),
+                                     F.count_if(F.col("bad") > 0).alias("docs_with_unknown"))

@@ -48,9 +48,9 @@ def prepare_corpus(corpora: Mapping[str, DataFrame], out_dir: str, seed: int = 4
     assigned = stratified_split(pooled.select("doc_id", "label"), parts=parts, seed=seed).select("doc_id", "split")
     joined = pooled.select("doc_id", "label", "text", "origin").join(assigned, "doc_id")
     sinks.write_splits(joined.withColumn("tokens", tokenizer(F.col("text"))), f"{out_dir}/splits")
-    split_df = pooled.sparkSession.read.parquet(f"{out_dir}/splits")
-    nb_vocabulary(split_df.filter(F.col("split") == "train")).write.mode("overwrite").parquet(f"{out_dir}/vocabulary")
-    vocab = pooled.sparkSession.read.parquet(f"{out_dir}/vocabulary")
+    split_df = sinks.read_splits(pooled.sparkSession, f"{out_dir}/splits")
+    vocab = sinks.vocabulary(pooled.sparkSession, f"{out_dir}/vocabulary",
+                             lambda: nb_vocabulary(split_df.filter(F.col("split") == "train")), reuse=False)
     featured = split_df.select("doc_id", "split", feature_set("tokens").alias("features"))
     sinks.write_features(feature_id_rows(featured, vocab, keep_cols=("split",)), f"{out_dir}/features")
     files = {name: sorted(df.inputFiles()) for name, df in corpora.items()}

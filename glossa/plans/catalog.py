@@ -374,6 +374,28 @@ def q_seq_padded(spark, sf):
     return seq.pad_to_longest(_encoded(spark, sf)).select("doc_id", "input_ids")
 
 
+LENGTH_BATCHES = """placed AS (SELECT *, (row_number() OVER (ORDER BY len(input_ids), doc_id) - 1) // 64 AS batch FROM enc),
+wide AS (SELECT doc_id, label, batch, input_ids, max(len(input_ids)) OVER (PARTITION BY batch) AS w FROM placed)"""
+
+
+@register("seq_batch_padded", f"""
+WITH {ENC_SQL}, {LENGTH_BATCHES}
+SELECT doc_id, batch, list_resize(input_ids, w, CAST(0 AS BIGINT)) AS input_ids FROM wide
+""")
+def q_seq_batch_padded(spark, sf):
+    return seq.pad_batches(_encoded(spark, sf), 64).select("doc_id", "batch", "input_ids")
+
+
+@register("padding_cells", f"""
+WITH {ENC_SQL}, {LENGTH_BATCHES}
+SELECT count(*) AS n_rows, count(DISTINCT batch) AS n_batches, CAST(sum(len(input_ids)) AS BIGINT) AS tokens,
+       CAST(sum(w) - sum(len(input_ids)) AS BIGINT) AS padded_by_batch,
+       CAST(max(w) * count(*) - sum(len(input_ids)) AS BIGINT) AS padded_globally FROM wide
+""")
+def q_padding_cells(spark, sf):
+    return seq.padding_cells(seq.pad_batches(_encoded(spark, sf), 64))
+
+
 @register("seq_lengths", f"""
 WITH {ENC_SQL}
 SELECT doc_id, CAST(len(list_filter(input_ids, lambda x: x <> 0)) AS INTEGER) AS length,
@@ -771,6 +793,18 @@ def q_feature_space_check(spark, sf):
     return bad.groupBy("split").agg(F.count(F.lit(1)).alias("nnz"), F.count_if(F.col("_k").isNull()).alias("violations"))
 
 
+@register("feature_space_by_split", f"""
+WITH {MODEL_SQL}
+SELECT split, count(*) AS features, count(*) FILTER (WHERE feature NOT IN (SELECT feature FROM vocab)) AS unknown_features,
+       count(DISTINCT doc_id) FILTER (WHERE feature NOT IN (SELECT feature FROM vocab)) AS docs_with_unknown
+FROM occ GROUP BY split
+""")
+def q_feature_space_by_split(spark, sf):
+    """C8 on features of every split against the vocabulary of the training split."""
+    s, v, _ = nb_model(spark, sf)
+    return nb.feature_space_by_split(s.select("doc_id", "split", tx.feature_set("tokens").alias("features")), v)
+
+
 @register("matrix_stats", f"""
 WITH {MODEL_SQL},
 pr AS (SELECT o.doc_id, o.split, v.feature_id FROM occ o JOIN vocab v ON o.feature = v.feature)
@@ -1089,19 +1123,35 @@ FROM tok t LEFT JOIN found f ON t.doc_id = f.doc_id
 def q_prepare_corpus(spark, sf):
     """H8 over two corpora that share texts (and come with ids that are unique only together with their origin's letter)."""
     from glossa.operators.prepare import prepare_corpus
-    from glossa.sources.sinks import work_folder
+    from glossa.sources.sinks import read_splits, work_folder
+    from glossa.sources.versions import published
 
     both = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     part = lambda letter, df: df.select(
         F.concat(F.lit(letter), F.col("doc_id").cast("string")).alias("doc_id"), "text", F.col("quality").alias("label"))
     out = work_folder(spark, "prepare")
     prepare_corpus({"documents": part("d", both), "copies": part("c", both.filter("toxic = 1"))}, out, seed=SEED)
-    counts = spark.read.parquet(f"{out}/features").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_features"))
-    rows = spark.read.parquet(f"{out}/splits")
+    counts = published(spark, f"{out}/features").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_features"))
+    rows = read_splits(spark, f"{out}/splits")
     return rows.join(counts, "doc_id", "left").select(
         "doc_id", "origin", "label", "split", F.size("tokens").alias("n_tokens"), F.coalesce("n_features", F.lit(0)).alias("n_features"))
 
 
+@register("stored_predictions", f"""
+WITH {PREDS_SQL}
+SELECT model, doc_id, label, CASE WHEN model = 'm2' THEN label ELSE prediction END AS prediction FROM preds
+""")
+def q_stored_predictions(spark, sf):
+    """Three models stored, one of them written again, all read back."""
+    from glossa.sources import sinks
+
+    out = sinks.work_folder(spark, "predictions")
+    all_models = predictions(spark, sf)
+    sinks.write_predictions(all_models, out)
+    sinks.write_predictions(all_models.filter("model = 'm2'").withColumn("prediction", F.col("label")), out)
+    return sinks.read_predictions(spark, out).select("model", "doc_id", "label", "prediction")
+
+
 @register("summary_union", f"""
 WITH {BUCKETS_SQL}
 SELECT model, CAST(NULL AS INTEGER) AS bucket_id, 'all' AS length_bucket, CAST(sum(samples) AS BIGINT) AS samples

@@ -1,7 +1,9 @@
 """Sinks and reloads between jobs.
 
 Every intermediate the reference pickles or writes as CSV/NumPy is a
-parquet table here, partitioned by the column later jobs filter on.
+parquet table here, partitioned by the column later jobs filter on.  All but
+the summary are published by manifest (``versions``): rewriting a store never
+destroys the one before it.
 """
 
 from __future__ import annotations
@@ -9,11 +11,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.session import ensure_checkpoint_dir
+from glossa.sources import versions
 from glossa.sources.buckets import bucket_count, open_bucketed, write_bucketed
 from glossa.sources.tables import PREDICTION_COLUMNS, require_columns
 
@@ -29,23 +31,27 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
 def write_splits(split_df: DataFrame, path: str) -> None:
     """One table, partitioned by split (train / validation / test)."""
     require_columns(split_df, ["doc_id", "label", "split"])
-    split_df.write.mode("overwrite").partitionBy("split").parquet(path)
+    versions.publish(split_df, path, ["split"])
+
+
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    return versions.published(spark, path)
 
 
 def read_split(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Partition pruning reads only the requested split."""
-    return spark.read.parquet(path).filter(F.col("split") == name)
+    return read_splits(spark, path).filter(F.col("split") == name)
 
 
 def write_features(presence: DataFrame, path: str) -> None:
     """Sparse binary matrix as ``(split, doc_id, feature_id)``, sorted by document inside files."""
     require_columns(presence, ["split", "doc_id", "feature_id"])
-    (presence.select("split", "doc_id", "feature_id").repartition("split", "doc_id")
-     .sortWithinPartitions("doc_id", "feature_id").write.mode("overwrite").partitionBy("split").parquet(path))
+    rows = presence.select("split", "doc_id", "feature_id").repartition("split", "doc_id").sortWithinPartitions("doc_id", "feature_id")
+    versions.publish(rows, path, ["split"])
 
 
 def read_features(spark: SparkSession, path: str, split: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("split") == split).select("doc_id", "feature_id")
+    return versions.published(spark, path).filter(F.col("split") == split).select("doc_id", "feature_id")
 
 
 def write_feature_store(presence: DataFrame, weights: DataFrame, path: str) -> None:
@@ -83,28 +89,26 @@ def feature_vectors(spark: SparkSession, path: str, split: str, value: str | Non
 
 def vocabulary(spark: SparkSession, path: str, build: Callable[[], DataFrame], reuse: bool = True) -> DataFrame:
     """Reuse the stored vocabulary when present, else build and store it."""
-    if reuse:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as e:  # only an absent table is built; any other failure must not replace it
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if not reuse or versions.current(spark, path) is None:
+        versions.publish(build(), path)
+    return versions.published(spark, path)
 
 
 def save_model(weights: DataFrame, params: DataFrame, path: str) -> None:
-    """Weight table and one-row parameter table."""
+    """Weight table and one-row parameter table, published together."""
     require_columns(weights, MODEL_WEIGHT_COLUMNS)
     require_columns(params, MODEL_PARAM_COLUMNS)
-    weights.write.mode("overwrite").parquet(f"{path}/weights")
-    params.coalesce(1).write.mode("overwrite").parquet(f"{path}/params")
+    version = versions.new_version(path)
+    weights.write.parquet(f"{version}/weights")
+    params.coalesce(1).write.parquet(f"{version}/params")
+    versions.commit(weights.sparkSession, path, version)
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """A11 reload with the key check of the reference."""
-    weights = spark.read.parquet(f"{path}/weights")
-    params = spark.read.parquet(f"{path}/params")
+    version = versions.require_current(spark, path)
+    weights = spark.read.parquet(f"{version}/weights")
+    params = spark.read.parquet(f"{version}/params")
     require_columns(weights, MODEL_WEIGHT_COLUMNS, "Saved weights lack")
     require_columns(params, MODEL_PARAM_COLUMNS, "Saved parameters lack")
     row = params.first().asDict()
@@ -115,11 +119,14 @@ def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 
 def write_predictions(pred: DataFrame, path: str) -> None:
-    """The unified predictions table, partitioned by model (appending a model replaces its partition)."""
+    """The unified predictions table; a model that is written again replaces its rows, the other models stay."""
     require_columns(pred, ["model", "text", "label", "prediction"])
-    cols = [c for c in PREDICTION_COLUMNS if c in pred.columns]
-    (pred.select(*cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("model").parquet(path))
+    versions.publish_parts(pred.select(*[c for c in PREDICTION_COLUMNS if c in pred.columns]), path, "model")
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """The latest predictions of every model."""
+    return versions.published_parts(spark, path)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from glossa.operators import nb
 from glossa.operators.prepare import compare_models, prepare_corpus
 from glossa.operators.score import predict_single_text
 from glossa.sources import tables
+from glossa.sources.versions import published
 
 
 def test_prepare_corpus_end_to_end(spark):
@@ -25,12 +26,12 @@ def test_prepare_corpus_end_to_end(spark):
                           f"{d}/out").first()
     n = docs.count()
     assert meta["train_samples"] + meta["validation_samples"] + meta["test_samples"] == n
-    splits = spark.read.parquet(f"{d}/out/splits")
+    splits = published(spark, f"{d}/out/splits")
     assert splits.select("doc_id").distinct().count() == n
     assert set(r["origin"] for r in splits.select("origin").distinct().collect()) == {"train_file", "test_file"}
-    vocab = spark.read.parquet(f"{d}/out/vocabulary")
+    vocab = published(spark, f"{d}/out/vocabulary")
     assert vocab.count() == meta["total_features"]
-    feats = spark.read.parquet(f"{d}/out/features")
+    feats = published(spark, f"{d}/out/features")
     assert feats.join(vocab, "feature_id", "left_anti").count() == 0
     assert spark.read.json(f"{d}/out/metadata").first()["labels"].asDict() == {"negative": 0, "positive": 1}
 

@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.sources import sinks
+from glossa.sources import sinks, versions
 
 
 def _tmp():
@@ -44,7 +44,11 @@ def test_model_round_trip_and_key_check(spark):
     sinks.save_model(w, p, f"{d}/m")
     weights, params = sinks.load_model(spark, f"{d}/m")
     assert weights.count() == 1 and params["intercept"] == 0.2
-    w.drop("ratio").write.mode("overwrite").parquet(f"{d}/m/weights")
+    damaged = versions.new_version(f"{d}/m")
+    w.drop("ratio").write.parquet(f"{damaged}/weights")
+    p.write.parquet(f"{damaged}/params")
+    assert sinks.load_model(spark, f"{d}/m")[1]["intercept"] == 0.2  # not committed yet
+    versions.commit(spark, f"{d}/m", damaged)
     with pytest.raises(ValueError, match="Saved weights lack"):
         sinks.load_model(spark, f"{d}/m")
 
@@ -55,7 +59,7 @@ def test_predictions_and_summary_sinks(spark):
                                  "model string, doc_id long, text string, label int, prediction int")
     sinks.write_predictions(pred, f"{d}/pred")
     sinks.write_predictions(pred.filter("model = 'A'").withColumn("prediction", F.lit(0)), f"{d}/pred")
-    back = {r["model"]: r["prediction"] for r in spark.read.parquet(f"{d}/pred").collect()}
+    back = {r["model"]: r["prediction"] for r in sinks.read_predictions(spark, f"{d}/pred").collect()}
     assert back == {"A": 0, "B": 0}  # A replaced, B kept
     summary = spark.createDataFrame([("A", 1, "101-200 words", 3, 0.5), ("A", 0, "1-100 words", 2, 1.0)],
                                     "model string, bucket_id int, length_bucket string, samples long, accuracy double")
