@@ -1,18 +1,14 @@
 """Column functions for text normalisation, tokens, n-grams and length buckets.
 
-Every function maps Column -> Column and stays inside the JVM (whole-stage
-codegen), except the entity decoder, which is an Arrow batch UDF that only
-receives the rows containing an ampersand.
+Every function maps Column -> Column and stays inside the JVM.
 """
 
 from __future__ import annotations
 
-import html
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from glossa.functions.entities import decode_references
 
 # ---------------------------------------------------------------------------
 # Fixed values that must equal the reference for identical tokens.
@@ -55,21 +51,14 @@ def strip_tags(text) -> Column:
     return F.when(t.contains("<"), F.regexp_replace(t, TAG_PATTERN, " ")).otherwise(t)
 
 
-@F.pandas_udf(T.StringType())
-def _unescape_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: s if s is None else html.unescape(s))
-
-
 def unescape_entities(text) -> Column:
     """B2: HTML5 character references decoded once (named, decimal, hex).
 
     A reference starts with ``&`` followed by ``#`` or an ASCII letter (every
-    named entity is ASCII); only such rows are shipped to the Arrow worker,
-    the others pass as null and keep their value, so bare ampersands cost
-    one null column per batch.
+    named entity is ASCII); other rows keep their value unread.
     """
     t = _col(text)
-    return F.coalesce(_unescape_batch(F.when(t.contains("&") & t.rlike("&[#A-Za-z]"), t)), t)
+    return F.when(t.contains("&") & t.rlike("&[#A-Za-z]"), decode_references(t)).otherwise(t)
 
 
 def expand_contractions(text) -> Column:
@@ -83,8 +72,8 @@ def expand_contractions(text) -> Column:
 
 
 def normalize(text) -> Column:
-    """B1-B6 in the reference order: tags, entities, lower case, apostrophes."""
-    return expand_contractions(F.lower(unescape_entities(strip_tags(text))))
+    """B1-B6 in the reference order: tags, entities, lower case, apostrophes (decoded text bound once, read by several rules)."""
+    return F.transform(F.array(F.lower(unescape_entities(strip_tags(text)))), expand_contractions).getItem(0)
 
 
 def words(text) -> Column:
