@@ -3,13 +3,18 @@
 Vectors are scaled to length one, so that cosine >= t means a distance of at
 most sqrt(2 - 2 t).  Equal vectors of a label are one point with a weight.
 
-Upper levels: nested nets with halving radii over a bounded sample give at
-most ``MAX_CENTERS`` centers; every point goes to the nearest one, and the
-cells' sizes and covering radii are counted over all points.  Two cells of a
-label are traversed together only if their centers are no farther apart than
-both covering radii and the limit; cells above ``BLOCK`` points (a label may
-hold a third of all rows) are dealt into blocks and pairs of blocks go to
-tasks of their own.  Lower levels: inside a task both blocks get cover trees;
+Upper levels: a group (first a label, then a cell) of more than ``BLOCK``
+points gets a net of nested centers from a bounded sample of its points, one
+center a block, at most ``FAN``; every point lives in the cell of its nearest
+center, and levels follow until no cell is larger than a block, so the cells
+grow in number with the data.  A point visits another cell of its group only
+if it may hold a partner: the point must be within the cell's covering radius
+plus the limit of its center, and within the limit of the half-space in which
+that center is nearer than the point's own.  Of two cells one sends its points
+to the other; visitors are compared with the points that live there, never
+with each other.  Data without structure prune nothing this way; then all
+blocks of a label meet.  Cells that no level divides are dealt into blocks and
+pairs of blocks.  Lower levels: inside a task both blocks get cover trees;
 node pairs are pruned by the same bound and what is left is compared exactly.
 
 A task returns each point's number of linked vectors and spanning stars of
@@ -30,12 +35,15 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import read_table
 from glossa.llm.components import components, stars
-from glossa.session import cut_lineage
+from glossa.session import land
 
 COSINE = 0.93
 BLOCK = 4_096         # points of a cell that one task holds of each side
-MAX_CENTERS = 1_024
-SAMPLE = 16_384       # points the upper nets are fitted on (documented bound)
+FAN = 256             # cells that one level makes of a group at most
+LEVELS = 6            # levels of cells; larger cells are left to pairs of blocks
+SAMPLE = 4_096        # expected points of a group that its net is fitted on (documented bound)
+CHUNK = 16_384        # points that one task sends to cells
+GROUP = ["label", "dim", "path"]
 LEAF = 128
 CHILDREN = 64
 _SLACK = 1e-9
@@ -47,7 +55,7 @@ def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def nested_centers(points: np.ndarray, wanted: int) -> np.ndarray:
-    """Nested nets with halving radii, coarse first, cut at ``wanted`` centers."""
+    """Rows of nested nets with halving radii, coarse first, cut at ``wanted`` centers."""
     chosen = [0]
     near = distance(points, points[[0]])[:, 0]
     radius = 2.0
@@ -59,7 +67,7 @@ def nested_centers(points: np.ndarray, wanted: int) -> np.ndarray:
                 break
             chosen.append(int(far[0]))
             near = np.minimum(near, distance(points, points[[far[0]]])[:, 0])
-    return points[chosen]
+    return np.array(chosen)
 
 
 class Node:
@@ -157,70 +165,123 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     some = F.exists("embedding", lambda v: v != 0)
     usable = vectors.filter(F.col("label").isNotNull() & F.col("embedding").isNotNull()).filter(fine).filter(some)
     grouped = usable.groupBy("label", "embedding").agg(F.count("*").alias("times"), F.min("vec_id").alias("least"))
-    return cut_lineage(grouped.withColumns({"dim": F.size("embedding"), "cid": F.monotonically_increasing_id()}))
-
-
-def cells_of(points: DataFrame, cosine: float = COSINE, block: int = BLOCK, max_centers: int = MAX_CENTERS, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """Points with their cell, and the pairs of blocks to traverse: (label, dim, cell, blk, task, side)."""
-    spark, n = points.sparkSession, points.count()
-    wanted = int(min(max_centers, max(1, -(-n // block))))
-    luck = F.pmod(F.xxhash64("embedding", F.lit("net")), F.lit(1 << 30))
-    picked = points.filter(luck < int(min(1.0, sample / max(n, 1)) * (1 << 30))) if wanted > 1 else points.filter(F.lit(False))
-    got = picked.select("dim", F.transform("embedding", lambda v: v.cast("double")).alias("embedding")).toPandas()
-    centers = {int(d): nested_centers(_matrix(g["embedding"]), wanted) for d, g in got.groupby("dim")}
-    shared = spark.sparkContext.broadcast(centers)  # MAX_CENTERS vectors of each length in the sample
-
-    def assign(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            cell, far = np.zeros(len(pdf), np.int32), np.full(len(pdf), 2.0)
-            for d, idx in pdf.groupby("dim").indices.items():
-                if int(d) in shared.value:
-                    dist = distance(_matrix(pdf["embedding"].iloc[idx]), shared.value[int(d)])
-                    cell[idx], far[idx] = dist.argmin(axis=1), dist.min(axis=1)
-            yield pdf.assign(cell=cell, far=far)
-
-    schema = ", ".join(f"{c} {t}" for c, t in points.dtypes) + ", cell int, far double"
-    placed = cut_lineage(points.mapInPandas(assign, schema))
-    cells = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blks"), F.max("far").alias("far"))
-    pairs = [(d, i, j, float(v)) for d, x in centers.items() for i, row in enumerate(distance(x, x)) for j, v in enumerate(row) if i <= j]
+    return land(grouped.withColumns({"dim": F.size("embedding"), "cid": F.monotonically_increasing_id()}))
+
+
+def visits(dots: np.ndarray, centers: np.ndarray, lives: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest center of every row of ``dots`` (points x centers), and which cells it is sent to.
+
+    A partner of x in cell j is no nearer to x's center i than to j's, so the
+    angle between x and the half-space of j, whose sine is
+    (x.ci - x.cj) / |ci - cj|, is at most that of the threshold.  A point that
+    lives in the group goes to its own cell and, of each two cells, only one
+    way; a visitor goes wherever it may have partners.
+    """
+    near = dots.argmax(axis=1)
+    own, gap = dots[np.arange(len(dots)), near][:, None], distance(centers, centers)
+    np.fill_diagonal(gap, 1.0)
+    sent = own - dots <= (np.sqrt(1 - cosine * cosine) + _SLACK) * gap[near]
+    other = np.arange(len(centers))[None, :]
+    oneway = (near[:, None] < other) ^ ((near[:, None] + other) % 2 == 1)
+    sent &= ~lives[:, None] | oneway | (near[:, None] == other)
+    return near, sent
+
+
+def next_level(placed: DataFrame, sizes: DataFrame, level: int, cosine: float, block: int, sample: int) -> DataFrame:
+    """The points of groups with more than ``block`` inhabitants, in the cells of those groups."""
+    big = sizes.filter(F.col("homes") > block).withColumns({
+        "fan": F.least(F.lit(FAN), F.ceil(F.col("homes") / block)).cast("int"), "chunks": F.ceil((F.col("homes") + F.col("guests")) / CHUNK).cast("int")})
+    points = placed.join(big, GROUP)
+    luck = F.pmod(F.xxhash64("embedding", F.lit(f"net {level}")), F.lit(1 << 30))
+    picked = points.filter(F.col("lives") & (luck < F.lit(float(sample)) / F.col("homes") * (1 << 30)))
+    types = dict(placed.dtypes)
+    group = ", ".join(f"{c} {types[c]}" for c in GROUP)
+
+    def net(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cid", ignore_index=True)
+        x = _matrix(pdf["embedding"])
+        chosen = nested_centers(x, int(pdf["fan"].iloc[0]))
+        return pdf.iloc[chosen].assign(cell=np.arange(len(chosen), dtype=np.int32))[[*GROUP, "cell", "embedding", "chunks"]]
+
+    nets = land(picked.select(*GROUP, "cid", "embedding", "fan", "chunks").groupBy(*GROUP).applyInPandas(
+        net, f"{group}, cell int, embedding {types['embedding']}, chunks int"))
+    fresh = points.select(*placed.columns, F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int").alias("chunk"), F.lit(-1).alias("cell"))
+    spread = nets.select(F.lit(-1).cast("long").alias("cid"), "label", "dim", "embedding", F.lit(0).cast("long").alias("times"), "path",
+                         F.lit(False).alias("lives"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cell")
+
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        heads, rows = pdf[pdf["cell"] >= 0].sort_values("cell"), pdf[pdf["cell"] < 0].reset_index(drop=True)
+        if not len(rows):
+            return rows.assign(far=0.0)[out]
+        if not len(heads):  # no point of the group was drawn: one cell
+            return rows.assign(path=rows["path"] + "/0", far=0.0)[out]
+        centers, x, parts = _matrix(heads["embedding"]), _matrix(rows["embedding"]), []
+        for i in range(0, len(rows), 4_096):
+            dots = x[i:i + 4_096] @ centers.T
+            lives = rows["lives"].to_numpy(bool)[i:i + 4_096]
+            near, sent = visits(dots, centers, lives, cosine)
+            r, c = np.nonzero(sent)
+            part = rows.iloc[r + i]
+            parts.append(part.assign(path=part["path"] + np.char.add("/", c.astype(str)).astype(object), lives=lives[r] & (near[r] == c),
+                                     far=np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots[r, c]))))
+        return pd.concat(parts, ignore_index=True)[out]
+
+    out = [*placed.columns, "far"]
+    sent = land(fresh.unionByName(spread).groupBy(*GROUP, "chunk").applyInPandas(send, ", ".join(f"{c} {types[c]}" for c in placed.columns) + ", far double"))
+    radii = land(sent.filter("lives").groupBy(*GROUP).agg(F.max("far").alias("radius")))
     limit = F.lit(float(np.sqrt(2 - 2 * cosine)) + _SLACK)
-    cells = cut_lineage(cells)
-    one, two = (cells.select("label", "dim", F.col("cell").alias(f"c{s}"), F.col("blks").alias(f"b{s}"), F.col("far").alias(f"f{s}")) for s in (1, 2))
-    apart = spark.createDataFrame(pairs, "dim int, c1 int, c2 int, apart double")
-    both = one.join(two, ["label", "dim"]).filter("c1 <= c2").join(apart, ["dim", "c1", "c2"], "left").filter(
-        F.coalesce("apart", F.lit(0.0)) <= F.col("f1") + F.col("f2") + limit)
-    blocks = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    tasks = both.withColumn("k1", blocks("b1")).withColumn("k2", blocks("b2")).filter("c1 < c2 or k1 <= k2")
-    tasks = tasks.withColumn("task", F.xxhash64("label", "dim", "c1", "k1", "c2", "k2"))
-    sides = tasks.select("label", "dim", F.explode(F.array(
-        F.struct(F.col("c1").alias("cell"), F.col("k1").alias("blk"), F.lit(0).alias("side")),
-        F.struct(F.col("c2").alias("cell"), F.col("k2").alias("blk"), F.lit(1).alias("side")))).alias("s"), "task",
-        ((F.col("c1") == F.col("c2")) & (F.col("k1") == F.col("k2"))).alias("own"))
-    sides = sides.select("label", "dim", "s.*", "task", "own").filter("not own or side = 0")
-    dealt = placed.join(cells.select("label", "dim", "cell", "blks"), ["label", "dim", "cell"]).withColumn(
-        "blk", F.pmod(F.xxhash64("cid"), F.col("blks")).cast("int"))
-    return dealt, cut_lineage(sides)
+    return land(sent.join(radii, GROUP).filter(F.col("lives") | (F.col("far") <= F.col("radius") + limit)).select(*placed.columns))
+
+
+def cells_of(points: DataFrame, cosine: float = COSINE, block: int = BLOCK, sample: int = SAMPLE, levels: int = LEVELS) -> DataFrame:
+    """Points with their cell (label, dim, path) and whether they live there or visit, and the cell's homes and guests."""
+    todo, done = points.withColumns({"path": F.lit(""), "lives": F.lit(True)}), []
+    for level in range(levels + 1):
+        sizes = land(todo.groupBy(*GROUP).agg(F.count_if("lives").alias("homes"), F.count_if(~F.col("lives")).alias("guests")))
+        last = level == levels or sizes.filter(F.col("homes") > block).isEmpty()
+        done.append(todo.join(sizes if last else sizes.filter(F.col("homes") <= block), GROUP))
+        if last:
+            break
+        todo = next_level(todo, sizes, level, cosine, block, sample)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def tasks_of(cells: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Each point once for every pair of blocks (``visit``, k1, k2) it takes part in, on a side.
+
+    Blocks of inhabitants meet each other (k1 <= k2, with themselves on side
+    0 only) and every block of visitors (k2).
+    """
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    upto = lambda n: F.slice(F.sequence(F.lit(0), F.col(n)), 1, F.col(n))
+    task = lambda visit, one, two, side: F.struct(F.lit(visit).alias("visit"), one.alias("k1"), two.alias("k2"), side.alias("side"))
+    b = F.col("blk")
+    dealt = cells.withColumns({"hb": blocks("homes"), "gb": blocks("guests")}).withColumn(
+        "blk", F.pmod(F.xxhash64("cid"), F.when(F.col("lives"), F.col("hb")).otherwise(F.col("gb"))).cast("int"))
+    living = F.concat(F.transform(upto("hb"), lambda k: task(False, F.least(b, k), F.greatest(b, k), (k < b).cast("int"))),
+                      F.transform(upto("gb"), lambda m: task(True, b, m, F.lit(0))))
+    visiting = F.transform(upto("hb"), lambda k: task(True, k, b, F.lit(1)))
+    return dealt.select(*GROUP, "cid", "times", "embedding", F.explode(F.when(F.col("lives"), living).otherwise(visiting)).alias("t")).select(
+        *GROUP, "t.*", "cid", "times", "embedding")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``vectors`` (vec_id, label, embedding)."""
     classes = classes_of(vectors)
-    points = classes.select("cid", "label", "dim", "embedding", "times")
-    dealt, sides = cells_of(points, cosine, block)
+    tasks = tasks_of(cells_of(classes.select("cid", "label", "dim", "embedding", "times"), cosine, block), block)
 
     def search(key, pdf):
         side = pdf["side"].to_numpy()
         x = _matrix(pdf["embedding"])
         cid, w = pdf["cid"].to_numpy(np.int64), pdf["times"].to_numpy(np.int64)
-        own = bool(pdf["own"].iloc[0])
+        own = not key[3] and key[4] == key[5]
         a, b = side == 0, side == 1
         return compare(x[a], cid[a], w[a], None if own else x[b], cid[b], w[b], cosine)
 
-    found = dealt.join(sides, ["label", "dim", "cell", "blk"]).select("task", "side", "own", "cid", "times", "embedding").groupBy(
-        "task", "own").applyInPandas(search, "cid long, links long, root long")
-    found = cut_lineage(found)
+    found = land(tasks.groupBy(*GROUP, "visit", "k1", "k2").applyInPandas(search, "cid long, links long, root long"))
     links = found.groupBy(F.col("cid").alias("l_cid")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("root >= 0").select("cid", "root"), "cid", "root").withColumnRenamed("root", "c_root")
     placed = classes.join(links, F.col("cid") == F.col("l_cid"), "left").join(roots, F.col("cid") == F.col("node"), "left").select(
