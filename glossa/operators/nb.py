@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.text import explode_items
@@ -92,6 +92,18 @@ def ratios_for_alphas(counts: DataFrame, alphas: Sequence[float], key_col: str =
     return out
 
 
+def first_step(ratio, cost: float) -> Column:
+    """H2 helper: what a present feature adds to the score after one diagonal Newton step from zero weights.
+
+    On ratio-weighted presences r the squared-hinge objective with cost C has,
+    at zero, the gradient -2 C r (n_pos - n_neg) and the curvature
+    1 + 2 C r^2 (n_pos + n_neg) in each feature (bias left out); the score
+    adds weight times r.  Needs the columns ``n_pos`` and ``n_neg``.
+    """
+    square = F.lit(2.0 * cost) * ratio * ratio
+    return square * (F.col("n_pos") - F.col("n_neg")) / (F.lit(1.0) + square * (F.col("n_pos") + F.col("n_neg")))
+
+
 def class_rows(df: DataFrame, label: int, label_col: str = "label") -> DataFrame:
     """The rows of one class."""
     return df.filter(F.col(label_col) == label)

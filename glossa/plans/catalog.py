@@ -828,25 +828,29 @@ def _grid_cells():
 
 
 def grid_accuracy(spark, sf) -> DataFrame:
-    """Accuracy on the validation part of every (C, alpha) cell with unit SVM weights scaled by C.
+    """Accuracy on the validation part of every (C, alpha) cell with the weights of one diagonal Newton step.
 
-    Counts are computed once; the four ratio columns are projections of the
-    same count table, and all sixteen cells are conditional averages of one
-    pass over the validation scores.
+    Counts are computed once; the weights of all sixteen cells are projections
+    of the same count table, and the cells conditional averages of one pass
+    over the validation scores (nine decimals, so that cancelling sums are
+    zero in any order).  The fitted grid is ``svm_grid_search``.
     """
     s, train = train_tokens(spark, sf)
     featured = train.select("doc_id", "label", tx.feature_set("tokens").alias("features"))
     ratios = nb.ratios_for_alphas(nb.class_doc_freq(nb.doc_features(featured)), ALPHAS)
     val = s.filter(F.col("split") == "validation")
     occ = nb.doc_features(val.select("doc_id", "label", tx.feature_set("tokens").alias("features")))
-    sums = occ.join(ratios, "feature").groupBy("doc_id").agg(
-        *[F.sum(f"ratio_{i}").alias(f"s_{i}") for i in range(len(ALPHAS))])
+    steps = ratios.select("feature", *[nb.first_step(F.col(f"ratio_{ai}"), c).alias(f"w_{n}") for n, c, _, ai in _grid_cells()])
+    sums = occ.join(steps, "feature").groupBy("doc_id").agg(*[F.sum(f"w_{n}").alias(f"s_{n}") for n, _, _, _ in _grid_cells()])
     scored = val.select("doc_id", "label").join(sums, "doc_id", "left")
     cells = []
-    for cell_no, c, a, ai in _grid_cells():
-        pred = sc.svm_label(F.lit(c) * F.coalesce(F.col(f"s_{ai}"), F.lit(0.0)))
+    for cell_no, c, a, _ in _grid_cells():
+        score = F.round(F.coalesce(F.col(f"s_{cell_no}"), F.lit(0.0)), 9)
+        pred = sc.svm_label(score)
+        short = F.greatest(F.lit(0.0), F.lit(1.0) - (F.lit(2) * F.col("label") - F.lit(1)) * score)
         cells.append(F.struct(F.lit(cell_no).alias("cell_no"), F.lit(c).alias("C"), F.lit(a).alias("alpha"),
-                              F.avg(tx.correct_flag("label", pred).cast("double")).alias("accuracy")))
+                              F.avg(tx.correct_flag("label", pred).cast("double")).alias("accuracy"),
+                              F.avg(short * short).alias("mean_loss")))
     return scored.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
 
 
@@ -855,22 +859,23 @@ alphas AS (SELECT * FROM (VALUES {', '.join(f'({i}, CAST({a} AS DOUBLE))' for i,
 cs AS (SELECT * FROM (VALUES {', '.join(f'({i}, CAST({c} AS DOUBLE))' for i, c in enumerate(CS))}) c(ci, C)),
 gt AS (SELECT a.ai, a.alpha, sum(n_pos) + a.alpha * count(*) AS pt, sum(n_neg) + a.alpha * count(*) AS nt
        FROM cnt CROSS JOIN alphas a GROUP BY a.ai, a.alpha),
-gr AS (SELECT cnt.feature, gt.ai, ln(((n_pos + gt.alpha) / pt) / ((n_neg + gt.alpha) / nt)) AS r FROM cnt CROSS JOIN gt),
-vs AS (SELECT o.doc_id, gr.ai, sum(gr.r) AS sm FROM occ o JOIN gr ON o.feature = gr.feature
-       WHERE o.split = 'validation' GROUP BY o.doc_id, gr.ai),
-vd AS (SELECT d.doc_id, d.label, a.ai, coalesce(vs.sm, 0.0) AS sm FROM stok d CROSS JOIN alphas a
-       LEFT JOIN vs ON vs.doc_id = d.doc_id AND vs.ai = a.ai WHERE d.split = 'validation'),
+gr AS (SELECT cnt.feature, n_pos, n_neg, gt.ai, ln(((n_pos + gt.alpha) / pt) / ((n_neg + gt.alpha) / nt)) AS r FROM cnt CROSS JOIN gt),
+wt AS (SELECT gr.feature, gr.ai, cs.ci, 2 * C * r * r * (n_pos - n_neg) / (1 + 2 * C * r * r * (n_pos + n_neg)) AS w FROM gr CROSS JOIN cs),
+vs AS (SELECT o.doc_id, wt.ai, wt.ci, sum(wt.w) AS sm FROM occ o JOIN wt ON o.feature = wt.feature
+       WHERE o.split = 'validation' GROUP BY o.doc_id, wt.ai, wt.ci),
 grid AS (SELECT CAST(c.ci * {len(ALPHAS)} + a.ai AS INTEGER) AS cell_no, c.C, a.alpha,
-                avg(CAST(coalesce(label = CAST(c.C * sm > 0 AS TINYINT), false) AS INTEGER)) AS accuracy
-         FROM vd JOIN alphas a ON vd.ai = a.ai CROSS JOIN cs c GROUP BY c.ci, a.ai, c.C, a.alpha)"""
+                avg(CAST(coalesce(label = CAST(round(coalesce(vs.sm, 0.0), 9) > 0 AS TINYINT), false) AS INTEGER)) AS accuracy,
+                avg(pow(greatest(0.0, 1.0 - (2 * label - 1) * round(coalesce(vs.sm, 0.0), 9)), 2)) AS mean_loss
+         FROM stok d CROSS JOIN alphas a CROSS JOIN cs c LEFT JOIN vs ON vs.doc_id = d.doc_id AND vs.ai = a.ai AND vs.ci = c.ci
+         WHERE d.split = 'validation' GROUP BY c.ci, a.ai, c.C, a.alpha)"""
 
 
 @register("grid_accuracy", f"""
 WITH {GRID_SQL}
-SELECT cell_no, C, alpha, round(accuracy, 6) AS accuracy FROM grid
+SELECT cell_no, C, alpha, round(accuracy, 6) AS accuracy, round(mean_loss, 6) AS mean_loss FROM grid
 """)
 def q_grid_accuracy(spark, sf):
-    return grid_accuracy(spark, sf).withColumn("accuracy", r6("accuracy"))
+    return grid_accuracy(spark, sf).withColumns({"accuracy": r6("accuracy"), "mean_loss": r6("mean_loss")})
 
 
 @register("grid_best", f"""
