@@ -40,6 +40,7 @@ GENERATIONS = 5
 ROUNDS = 3
 SETTLED = 0.995       # bins at least this full are final before the last round
 CACHE = 1_200_000     # tokenised words a worker keeps
+JOINED = 64           # new words encoded in one call
 
 
 # --------------------------------------------------------------- tokenising
@@ -68,11 +69,34 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str], lead: str) -> list[bytes]:
+        """Each word's ids behind ``lead``, ``JOINED`` words a call.
+
+        Newlines stand between them, at which the splitting rule breaks and which no other id is made of; words with
+        white space or control characters, and calls whose newlines do not come back alone, are encoded one by one.
+        """
+        mark, out = array("I", self._newline(1)), dict.fromkeys(words, b"")
+        joined = [w for w in words if w.isprintable()] if len(mark) == 1 else []
+        alone = [w for w in words if not w.isprintable()] if joined else words
+        calls = [joined[k:k + JOINED] for k in range(0, len(joined), JOINED)]
+        made = self.tokenizer.encode_batch_fast(["\n".join([lead + w for w in ws]) for ws in calls], add_special_tokens=False)
+        for ws, e in zip(calls, made):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == mark[0]).tolist()
+            if len(ends) != len(ws) - 1:
+                alone = alone + ws
+                continue
+            raw = ids.tobytes()
+            for w, a, b in zip(ws, [0, *[x + 1 for x in ends]], [*ends, len(ids)]):
+                out[w] = raw[4 * a:4 * b]
+        out.update(zip(alone, self._raw([lead + w for w in alone])))
+        return [out[w] for w in words]
+
     def _learn(self, into: dict[str, bytes], fresh: set[str], lead: str) -> None:
         """Encodes new words; one that ends in a comma or full stop behind a letter shares its stem's ids."""
         stems = {w: w[:-1] for w in fresh if len(w) > 1 and w[-1] in ",." and w[-2].isalpha()}
         plain = list(fresh.difference(stems).union(stems.values()).difference(into))
-        into.update(zip(plain, self._raw([lead + w for w in plain])))
+        into.update(zip(plain, self._words(plain, lead)))
         into.update((w, into[stem] + self.ends[w[-1]]) for w, stem in stems.items())
 
     def _newline(self, n: int) -> bytes:
