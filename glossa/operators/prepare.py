@@ -23,6 +23,9 @@ from glossa.operators.vocab import feature_id_rows, nb_vocabulary
 from glossa.sources import sinks
 from glossa.sources.tables import require_unique, union_results, validate_corpus, with_row_identity
 
+#: Vocabulary rows of a join partition up to which the lookup builds a hash table (about 100 bytes a row).
+HASHED_ROWS = 1_500_000
+
 
 def pool_corpora(corpora: Mapping[str, DataFrame]) -> DataFrame:
     """A2-A6 + G1: one table with ``doc_id`` (unique over all corpora) and ``origin``.
@@ -37,6 +40,16 @@ def pool_corpora(corpora: Mapping[str, DataFrame]) -> DataFrame:
     return require_unique(union_corpora(checked))
 
 
+def hashed_lookup(vocab: DataFrame) -> DataFrame:
+    """The stored vocabulary, to be joined by hash tables where a partition of it surely fits one, else by merging.
+
+    A merge join sorts the presence rows, many times the vocabulary's, by their
+    strings; the features are distinct, so their partitions are even.
+    """
+    width = int(vocab.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return vocab.hint("shuffle_hash") if vocab.count() <= HASHED_ROWS * width else vocab
+
+
 def prepare_corpus(corpora: Mapping[str, DataFrame], out_dir: str, seed: int = 42,
                    tokenizer: Callable[[Column], Column] = tokenize,
                    parts: Sequence[tuple[str, float]] = DEFAULT_PARTS) -> DataFrame:
@@ -46,13 +59,16 @@ def prepare_corpus(corpora: Mapping[str, DataFrame], out_dir: str, seed: int = 4
     """
     pooled = pool_corpora(corpora)
     assigned = stratified_split(pooled.select("doc_id", "label"), parts=parts, seed=seed).select("doc_id", "split")
-    joined = pooled.select("doc_id", "label", "text", "origin").join(assigned, "doc_id")
+    # the whole shuffle width: tokenising costs far more a byte than what adaptive execution sizes partitions for
+    width = int(pooled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = (pooled.select("doc_id", "label", "text", "origin").repartition(width, "doc_id")
+              .join(assigned.repartition(width, "doc_id"), "doc_id"))
     sinks.write_splits(joined.withColumn("tokens", tokenizer(F.col("text"))), f"{out_dir}/splits")
     split_df = sinks.read_splits(pooled.sparkSession, f"{out_dir}/splits")
     vocab = sinks.vocabulary(pooled.sparkSession, f"{out_dir}/vocabulary",
                              lambda: nb_vocabulary(split_df.filter(F.col("split") == "train")), reuse=False)
     featured = split_df.select("doc_id", "split", feature_set("tokens").alias("features"))
-    sinks.write_features(feature_id_rows(featured, vocab, keep_cols=("split",)), f"{out_dir}/features")
+    sinks.write_features(feature_id_rows(featured, hashed_lookup(vocab), keep_cols=("split",)), f"{out_dir}/features")
     files = {name: sorted(df.inputFiles()) for name, df in corpora.items()}
     meta = run_metadata(split_df, vocab, seed=seed, parts=parts, sources=files)
     write_metadata(meta, f"{out_dir}/metadata")
